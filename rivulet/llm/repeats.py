@@ -94,7 +94,10 @@ def minimisers(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def kept_suffixes(docs: DataFrame) -> DataFrame:
-    """``(gram, doc, tag, at)`` for every minimiser; ``docs`` has ``doc``, ``tag`` and ``_text``."""
+    """``(gram, doc, tag, at, known)`` for every minimiser; ``docs`` has ``doc``, ``tag`` and ``_text``.
+
+    ``known``: the gram occurs twice in this very batch, so it needn't be looked up.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
@@ -102,13 +105,17 @@ def kept_suffixes(docs: DataFrame) -> DataFrame:
             at, grams, _ = minimisers(words, ends)
             owner = np.searchsorted(ends, at, side="right")
             begin = np.concatenate([[0], ends])[owner]
-            rows = pa.array(owner)
+            rows, own = pa.array(owner), grams[at]
+            order = np.argsort(own, kind="stable")
+            same = own[order][1:] == own[order][:-1]
+            known = np.zeros(len(own), bool)
+            known[order[1:][same]] = known[order[:-1][same]] = True
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[at].view(np.int64)), batch.column("doc").take(rows), batch.column("tag").take(rows), pa.array((at - begin).astype(np.int32))],
-                ["gram", "doc", "tag", "at"],
+                [pa.array(own.view(np.int64)), batch.column("doc").take(rows), batch.column("tag").take(rows), pa.array((at - begin).astype(np.int32)), pa.array(known)],
+                ["gram", "doc", "tag", "at", "known"],
             )
 
-    return docs.mapInArrow(run, "gram long, doc long, tag long, at int")
+    return docs.mapInArrow(run, "gram long, doc long, tag int, at int, known boolean")
 
 
 def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +169,7 @@ def _copies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (doc, tag, at): starts of copied stretches, joined to spans of words."""
+    names, types = ["doc", "tag", "start", "stop"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     open_: list[int] | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -179,15 +187,15 @@ def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.insert(0, open_)
         open_ = rows.pop()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["doc", "tag", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
     if open_ is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([c]) for c in open_], ["doc", "tag", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(open_, types)], names)
 
 
 def _named(docs: DataFrame, id: str, text: str) -> DataFrame:
     doc = F.col(f"`{id}`").cast("long")
     return docs.select(
-        F.coalesce(doc, F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(doc.isNull(), f"`{text}`").alias("tag"), utf8(f"`{text}`").alias("_text")
+        F.coalesce(doc, F.lit((1 << 63) - 1)).alias("doc"), F.hash(doc.isNull(), f"`{text}`").alias("tag"), utf8(f"`{text}`").alias("_text")
     )
 
 
@@ -205,17 +213,18 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     named = _named(docs, id, text)
     suffixes = materialise(kept_suffixes(named), "suffixes")
     often = suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    places = suffixes.join(often, "gram", "left_semi").select("doc", "tag", "at")
+    places = suffixes.where("NOT known").join(often, "gram", "left_semi").select("doc", "tag", "at")
+    places = places.unionByName(suffixes.where("known").select("doc", "tag", "at"))
     places = materialise(places.groupBy("doc", "tag").agg(F.collect_set("at").alias("places")), "places")
     discard(suffixes)
     release_shuffles(spark)
     rows = named.join(places, ["doc", "tag"]).select("doc", "tag", "_text", "places")
-    stretches = rows.mapInArrow(_stretches, "stretch long, doc long, tag long, at int, known boolean")
+    stretches = rows.mapInArrow(_stretches, "stretch long, doc long, tag int, at int, known boolean")
     dealt = stretches.withColumn("_to", F.when(F.col("known"), F.xxhash64("doc", "at")).otherwise(F.col("stretch")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     copies = dealt.repartition(parts, "_to").sortWithinPartitions("known", "stretch", "doc", "tag", "at").drop("_to")
-    copies = copies.mapInArrow(_copies, "doc long, tag long, at int")
-    spans = copies.repartition("doc").sortWithinPartitions("doc", "tag", "at").mapInArrow(_spans, "doc long, tag long, start long, stop long")
+    copies = copies.mapInArrow(_copies, "doc long, tag int, at int")
+    spans = copies.repartition("doc").sortWithinPartitions("doc", "tag", "at").mapInArrow(_spans, "doc long, tag int, start long, stop long")
     spans = materialise(spans, "spans")
     discard(places)
     release_shuffles(spark)
@@ -245,7 +254,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     spans = repeated_spans(docs)
     spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     doc = F.col("doc_id").cast("long")
-    keyed = docs.withColumn("_doc", F.coalesce(doc, F.lit((1 << 63) - 1))).withColumn("_tag", F.xxhash64(doc.isNull(), "text"))
+    keyed = docs.withColumn("_doc", F.coalesce(doc, F.lit((1 << 63) - 1))).withColumn("_tag", F.hash(doc.isNull(), "text"))
     spans = spans.withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
     schema = docs.schema
 
