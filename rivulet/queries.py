@@ -1 +1,454 @@
-QUERIES, SQL = {}, {}
+"""Registered queries over the driver's tables, each with the SQL that says the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .functions.aggregates import whole_column
+from .operators.delta import IncrementalFilter, IncrementalGroup, IncrementalJoin
+from .operators.relational import SortKey, add_column, filter_rows, group_rows, join_rows, select_columns, sort_keys
+from .operators.table import Table
+from .operators.views import SortedView
+from .plans.pipeline import build_pipeline, mini_filter, mini_group
+from .sources.storage import read_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None):
+    def add(fn: Query) -> Query:
+        QUERIES[name or fn.__name__] = fn
+        if sql:
+            SQL[name or fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _small(spark: SparkSession, df: DataFrame, name: str) -> Table:
+    return Table.from_dataframe(name, df)
+
+
+_SPEC = [("total", "o_totalprice", "sum"), ("average", "o_totalprice", "avg"), ("n", "o_totalprice", "count"), ("p95", "o_totalprice", "p95")]
+
+
+@_query("""SELECT o_orderpriority, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 2) AS average, count(o_totalprice) AS n,
+  round(quantile_cont(o_totalprice, 0.95), 4) AS p95 FROM orders WHERE o_totalprice >= 200000 GROUP BY 1""")
+def flagship_cascade(spark, sf):
+    kept = filter_rows(read_table(spark, sf, "orders"), "o_totalprice >= 200000")
+    return _rounded(_rounded(group_rows(kept, ["o_orderpriority"], _SPEC), "total", "average", digits=2), "p95")
+
+
+# -- predicates
+
+_PREDICATES = {
+    "filter_compare": ("l_quantity >= 45", "l_quantity >= 45"),
+    "filter_and_or_not": ("l_quantity < 5 AND l_discount > 0.05 OR NOT l_tax <= 0.07", "l_quantity < 5 AND l_discount > 0.05 OR NOT l_tax <= 0.07"),
+    "filter_parens": ("(l_returnflag = 'R' or l_returnflag = 'A') and !(l_linenumber != 1)", "l_returnflag IN ('R', 'A') AND l_linenumber = 1"),
+    "filter_not_equal": ("l_returnflag != 'N' AND l_linenumber == 2", "l_returnflag <> 'N' AND l_linenumber = 2"),
+    "filter_unknown_column": ("nothing > 5 OR l_linenumber = 3", "l_linenumber = 3"),
+    "filter_type_mismatch_false": ("l_returnflag = 5 OR l_quantity > 49.5", "l_quantity > 49.5"),
+    "filter_temporal_null_only": ("l_shipdate = '1995-01-01' OR NOT l_shipdate IS NULL AND l_quantity = 1", "l_quantity = 1"),
+}
+for _name, (_expr, _where) in _PREDICATES.items():
+    _query(f"SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE {_where}", _name)(
+        lambda spark, sf, e=_expr: select_columns(filter_rows(read_table(spark, sf, "lineitem"), e), ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
+    )
+
+_NULLED = {
+    "filter_not_over_null": ("NOT q > 30", "NOT coalesce(q > 30, false)"),
+    "filter_is_null": ("q IS NULL", "q IS NULL"),
+    "filter_is_not_null": ("q is not null AND q >= 48", "q IS NOT NULL AND q >= 48"),
+    "filter_null_literal": ("q = null OR q = 7", "q = 7"),
+}
+for _name, (_expr, _where) in _NULLED.items():
+    _query(f"SELECT * FROM (SELECT l_orderkey, l_linenumber, nullif(l_quantity, 10) AS q FROM lineitem) WHERE {_where}", _name)(
+        lambda spark, sf, e=_expr: filter_rows(read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.nullif("l_quantity", F.lit(10.0)).alias("q")), e)
+    )
+
+
+@_query("SELECT * FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE ELSE value END AS v FROM events) WHERE NOT isnan(v) AND v > 50", "filter_nan")
+def _filter_nan(spark, sf):
+    v = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("v")
+    return filter_rows(read_table(spark, sf, "events").select("event_id", v), "v > 50")
+
+
+@_query("SELECT event_id, user_id FROM events WHERE event_type = 'purchase'")
+def filter_string_eq(spark, sf):
+    return select_columns(filter_rows(read_table(spark, sf, "events"), "event_type = 'purchase'"), ["event_id", "user_id"])
+
+
+@_query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment LIKE 'B%' AND c_acctbal > 0")
+def filter_udf(spark, sf):
+    df = read_table(spark, sf, "customer")
+    return select_columns(filter_rows(df, lambda r: r["c_mktsegment"].startswith("B") and r["c_acctbal"] > 0), ["c_custkey", "c_mktsegment"])
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'")
+def filter_over_filter(spark, sf):
+    return select_columns(filter_rows(filter_rows(read_table(spark, sf, "orders"), "o_totalprice > 100000"), "o_orderstatus = 'F'"), ["o_orderkey"])
+
+
+@_query("SELECT i FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_acctbal FROM customer) WHERE c_acctbal > 9000")
+def filter_expr_indices(spark, sf):
+    table = _small(spark, read_table(spark, sf, "customer").orderBy("c_custkey"), "customer")
+    return spark.createDataFrame([(i,) for i in table.filter_expr("c_acctbal > 9000")], "i long")
+
+
+# -- projections and computed columns
+
+
+@_query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
+def project(spark, sf):
+    return select_columns(read_table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_quantity"])
+
+
+_NET = "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem"
+
+
+@_query(_NET)
+def computed_expr(spark, sf):
+    df = add_column(read_table(spark, sf, "lineitem"), "net", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4))
+    return select_columns(df, ["l_orderkey", "l_linenumber", "net"])
+
+
+@_query("SELECT s_suppkey, upper(s_name) AS loud, s_nationkey * 2 AS twice FROM supplier")
+def computed_udf(spark, sf):
+    from pyspark.sql import types as T
+
+    df = add_column(read_table(spark, sf, "supplier"), "loud", lambda r: r["s_name"].upper(), T.StringType())
+    return select_columns(add_column(df, "twice", lambda r: r["s_nationkey"] * 2, T.IntegerType()), ["s_suppkey", "loud", "twice"])
+
+
+# -- joins
+
+
+def _people(spark, sf):
+    """Two sides of events with orphans each way."""
+    e = read_table(spark, sf, "events")
+    left = e.where("event_type = 'purchase' AND user_id < 100").select("event_id", "user_id", "value")
+    right = e.where("event_type = 'error' AND user_id >= 50").select("event_id", "user_id", "ts")
+    return left, right
+
+
+for _how in ("inner", "left", "right", "full"):
+    _query(
+        f"""SELECT a.event_id, a.user_id, a.value, b.event_id AS right_event_id, b.user_id AS right_user_id, b.ts AS right_ts
+        FROM (SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND user_id < 100) a
+        {_how.upper()} JOIN (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error' AND user_id >= 50) b ON a.user_id = b.user_id""",
+        f"join_{_how}",
+    )(lambda spark, sf, h=_how: join_rows(*_people(spark, sf), on="user_id", how=h))
+
+
+@_query("SELECT d.doc_id, d.lang, l.doc_id AS right_doc_id, l.quality AS right_quality, l.toxic AS right_toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def join_default_left(spark, sf):
+    return join_rows(read_table(spark, sf, "documents").select("doc_id", "lang"), read_table(spark, sf, "labels"), on="doc_id")
+
+
+@_query("""SELECT a.l_orderkey, a.l_linenumber, b.l_orderkey AS right_l_orderkey, b.l_linenumber AS right_l_linenumber, b.l_tax AS right_l_tax
+  FROM lineitem a LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 25) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber""")
+def join_composite(spark, sf):
+    df = read_table(spark, sf, "lineitem")
+    right = filter_rows(df, "l_quantity > 25").select("l_orderkey", "l_linenumber", "l_tax")
+    return join_rows(df.select("l_orderkey", "l_linenumber"), right, on=["l_orderkey", "l_linenumber"])
+
+
+@_query("""WITH a AS (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer), b AS (SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier)
+  SELECT c_custkey, a.k, s_suppkey AS right_s_suppkey, b.k AS right_k FROM a FULL JOIN b ON a.k = b.k""")
+def join_null_keys(spark, sf):
+    a = read_table(spark, sf, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("k"))
+    b = read_table(spark, sf, "supplier").select("s_suppkey", F.nullif("s_nationkey", F.lit(3)).alias("k"))
+    return join_rows(a, b, on="k", how="outer")
+
+
+@_query("""WITH a AS (SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'NaN'::DOUBLE ELSE c_nationkey::DOUBLE END AS k FROM customer),
+  b AS (SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN 'NaN'::DOUBLE ELSE s_nationkey::DOUBLE END AS k FROM supplier)
+  SELECT c_custkey, s_suppkey AS right_s_suppkey FROM a LEFT JOIN b ON a.k = b.k AND NOT isnan(a.k)""")
+def join_nan_keys(spark, sf):
+    key = lambda c: F.when(F.col(c) == 3, F.lit(float("nan"))).otherwise(F.col(c).cast("double")).alias("k")
+    a = read_table(spark, sf, "customer").select("c_custkey", key("c_nationkey"))
+    b = read_table(spark, sf, "supplier").select("s_suppkey", key("s_nationkey"))
+    return select_columns(join_rows(a, b, on="k"), ["c_custkey", "right_s_suppkey"])
+
+
+@_query("SELECT a.event_type, b.event_type AS right_event_type, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id GROUP BY 1, 2")
+def join_many_to_many(spark, sf):
+    counts = read_table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    both = join_rows(counts, counts, on="user_id", how="inner")  # counts multiply: the pairs themselves are never made
+    return both.groupBy("event_type", "right_event_type").agg(F.sum(F.col("n") * F.col("right_n")).alias("n"))
+
+
+@_query("SELECT c_mktsegment AS right_c_mktsegment, round(sum(o_totalprice), 2) AS total, count(o_totalprice) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def join_then_group(spark, sf):
+    joined = join_rows(read_table(spark, sf, "orders"), read_table(spark, sf, "customer"), how="inner", left_on="o_custkey", right_on="c_custkey")
+    return _rounded(group_rows(joined, "right_c_mktsegment", [("total", "o_totalprice", "sum"), ("n", "o_totalprice", "count")]), "total", digits=2)
+
+
+# -- aggregates
+
+for _kind, _sql in (
+    ("sum", "round(sum(l_extendedprice), 2)"), ("avg", "round(avg(l_extendedprice), 4)"), ("min", "min(l_extendedprice)"),
+    ("max", "max(l_extendedprice)"), ("count_non_null", "count(l_extendedprice)"),
+):
+    _query(f"SELECT {_sql} AS v FROM lineitem", f"agg_{_kind}")(lambda spark, sf, k=_kind: _whole(read_table(spark, sf, "lineitem"), k))
+
+
+def _whole(df, kind):
+    v = whole_column(df, kind, "l_extendedprice")
+    return df.agg((F.round(v, {"sum": 2, "avg": 4}[kind]) if kind in ("sum", "avg") else v).alias("v"))
+
+
+@_query("SELECT 0.0::DOUBLE AS s, NULL::DOUBLE AS a, count(l_returnflag) AS n FROM lineitem")
+def agg_non_numeric(spark, sf):
+    df = read_table(spark, sf, "lineitem")
+    return df.agg(*[whole_column(df, k, "l_returnflag").alias(n) for k, n in (("sum", "s"), ("avg", "a"), ("count_non_null", "n"))])
+
+
+_ALL = [(f, "l_quantity", f) for f in ("sum", "count", "avg", "min", "max", "median")]
+
+
+@_query("""SELECT l_returnflag, round(sum(l_quantity), 2) AS sum, count(l_quantity) AS count, round(avg(l_quantity), 6) AS avg, min(l_quantity) AS min,
+  max(l_quantity) AS max, median(l_quantity) AS median FROM lineitem GROUP BY 1""")
+def group_all_functions(spark, sf):
+    return _rounded(_rounded(group_rows(read_table(spark, sf, "lineitem"), "l_returnflag", _ALL), "sum", digits=2), "avg", digits=6)
+
+
+@_query("SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) AS price, max(l_linenumber)::DOUBLE AS line FROM lineitem GROUP BY 1, 2")
+def group_multi_key(spark, sf):
+    return _rounded(group_rows(read_table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], [("price", "l_extendedprice", "sum"), ("line", "l_linenumber", "maximum")]), "price", digits=2)
+
+
+_PS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "percentile(0.333)": 0.333}
+
+
+@_query("SELECT l_linestatus, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) AS q{i}" for i, p in enumerate(_PS.values())) + " FROM lineitem GROUP BY 1")
+def group_percentiles(spark, sf):
+    df = group_rows(read_table(spark, sf, "lineitem"), "l_linestatus", [(f"q{i}", "l_extendedprice", n) for i, n in enumerate(_PS)])
+    return _rounded(df, *[f"q{i}" for i in range(len(_PS))])
+
+
+@_query("SELECT nullif(event_type, 'error') AS k, count(value) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def group_null_key(spark, sf):
+    df = read_table(spark, sf, "events").select(F.nullif("event_type", F.lit("error")).alias("k"), "value")
+    return _rounded(group_rows(df, "k", [("n", "value", "count"), ("total", "value", "sum")]), "total")
+
+
+@_query("SELECT CASE WHEN event_id % 5 = 0 THEN 'NaN' ELSE CAST(event_id % 5 AS VARCHAR) END AS k, count(*) AS n FROM events GROUP BY 1")
+def group_nan_key(spark, sf):
+    key = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise((F.col("event_id") % 5).cast("double"))
+    df = group_rows(read_table(spark, sf, "events").select(key.alias("k"), "value"), "k", [("n", "value", "count")])
+    return df.select(F.when(F.isnan("k"), "NaN").otherwise(F.col("k").cast("long").cast("string")).alias("k"), "n")
+
+
+@_query("""SELECT event_type, count(v) AS n, round(sum(v), 4) AS total, min(v) AS low FROM
+  (SELECT event_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS v FROM events) GROUP BY 1""")
+def group_nan_excluded(spark, sf):
+    v = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("v")
+    df = read_table(spark, sf, "events").select("event_type", v)
+    return _rounded(group_rows(df, "event_type", [("n", "v", "count"), ("total", "v", "sum"), ("low", "v", "min")]), "total")
+
+
+@_query("SELECT c_mktsegment, 0::BIGINT AS n, NULL::DOUBLE AS total FROM customer GROUP BY 1")
+def group_count_non_numeric(spark, sf):
+    return group_rows(read_table(spark, sf, "customer"), "c_mktsegment", [("n", "c_name", "count"), ("total", "c_name", "sum")])
+
+
+@_query("SELECT CAST(ts AS DATE) AS day, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def group_date(spark, sf):
+    df = read_table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    return _rounded(group_rows(df, "day", [("n", "value", "count"), ("mean", "value", "mean")]), "mean", digits=6)
+
+
+@_query("SELECT count(c_acctbal) AS n, round(sum(c_acctbal), 2) AS total FROM customer HAVING count(*) > 0")
+def group_empty_by(spark, sf):
+    return _rounded(group_rows(read_table(spark, sf, "customer"), [], [("n", "c_acctbal", "count"), ("total", "c_acctbal", "sum")]), "total", digits=2)
+
+
+@_query("SELECT count(c_acctbal) AS n FROM customer WHERE c_acctbal > 1e12 HAVING count(*) > 0")
+def group_empty_input(spark, sf):
+    return group_rows(filter_rows(read_table(spark, sf, "customer"), "c_acctbal > 1000000000000"), [], [("n", "c_acctbal", "count")])
+
+
+@_query("SELECT * FROM (SELECT o_custkey, count(o_totalprice) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) WHERE n >= 15")
+def group_then_filter(spark, sf):
+    df = group_rows(read_table(spark, sf, "orders"), "o_custkey", [("n", "o_totalprice", "count"), ("total", "o_totalprice", "sum")])
+    return _rounded(filter_rows(df, "n >= 15"), "total", digits=2)
+
+
+# -- sorts and slices: the rank is a column, as results are compared without order
+
+_SORTS = {
+    "sort_asc": (lambda: sort_keys(["c_acctbal", "c_custkey"]), "c_acctbal, c_custkey"),
+    "sort_desc": (lambda: sort_keys(["c_acctbal", "c_custkey"], True), "c_acctbal DESC, c_custkey DESC"),
+    "sort_multi": (lambda: sort_keys(["c_mktsegment", "c_acctbal", "c_custkey"], [False, True, False]), "c_mktsegment, c_acctbal DESC, c_custkey"),
+    "sort_nulls_first": (lambda: sort_keys(["b", "c_custkey"], [True, False]), "b DESC NULLS FIRST, c_custkey"),
+    "sort_nulls_last": (lambda: [SortKey.descending("b"), SortKey.ascending("c_custkey")], "b DESC NULLS LAST, c_custkey"),
+}
+for _name, (_keys, _order) in _SORTS.items():
+    _query(
+        f"SELECT row_number() OVER (ORDER BY {_order}) - 1 AS place, c_custkey FROM (SELECT *, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_acctbal END AS b FROM customer)", _name
+    )(lambda spark, sf, k=_keys: _ranked(spark, sf, k()))
+
+
+def _ranked(spark, sf, keys):
+    df = read_table(spark, sf, "customer").withColumn("b", F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal")))
+    view = SortedView("s", Table.from_dataframe("customer", df.select("c_custkey", "c_mktsegment", "c_acctbal", "b")), keys)
+    return view.ordered().select(F.col("__at").alias("place"), "c_custkey")
+
+
+def _slice(spark, sf, start, stop):
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    ordered = orders.orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return ordered.limit(stop) if not start else ordered.offset(start).limit(stop - start)
+
+
+_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "topk_slice")(lambda spark, sf: _slice(spark, sf, 0, 10))
+_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", "slice_range")(lambda spark, sf: _slice(spark, sf, 5, 15))
+
+
+@_query("SELECT o_orderpriority, count(o_totalprice) AS n, max(o_totalprice) AS top FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 50000 GROUP BY 1")
+def filter_sort_group_chain(spark, sf):
+    table = Table.from_dataframe("orders", read_table(spark, sf, "orders"))
+    view = table.filter("o_orderstatus = 'O' AND o_totalprice > 50000").sort("o_totalprice", True).group_by("o_orderpriority", [("n", "o_totalprice", "count"), ("top", "o_totalprice", "max")])
+    return view.to_df()
+
+
+# -- ticks: a root over a driver table, edits by place, views brought up to date
+
+_EDITED = """WITH c AS (SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)"""
+
+
+def _nation(spark, sf):
+    return Table.from_dataframe("nation", read_table(spark, sf, "nation").orderBy("n_nationkey"))
+
+
+@_query(f"{_EDITED}, e AS (SELECT n_regionkey FROM c UNION ALL SELECT 1) SELECT n_regionkey, count(*) AS n FROM e GROUP BY 1")
+def tick_insert(spark, sf):
+    t = _nation(spark, sf)
+    view = t.group_by("n_regionkey", [("n", "n_regionkey", "count")])
+    t.append_row({"n_nationkey": 100, "n_name": "new", "n_regionkey": 1})
+    t.tick()
+    return view.to_df()
+
+
+@_query(f"{_EDITED} SELECT n_nationkey, CASE WHEN i = 3 THEN 'renamed' ELSE n_name END AS n_name FROM c WHERE CASE WHEN i = 3 THEN 'renamed' ELSE n_name END <> 'nothing'")
+def tick_update(spark, sf):
+    t = _nation(spark, sf)
+    view = t.filter("n_name != 'nothing'")
+    t.set_value(3, "n_name", "renamed")
+    t.tick()
+    return view.to_df().select("n_nationkey", "n_name")
+
+
+@_query(f"{_EDITED} SELECT n_nationkey, n_regionkey FROM c WHERE i NOT IN (0, 5) AND n_regionkey >= 1")
+def tick_delete(spark, sf):
+    t = _nation(spark, sf)
+    kept = IncrementalFilter(t, "n_regionkey >= 1")
+    t.delete_row(0)
+    t.delete_row(4)
+    kept.sync()
+    return kept.to_df().select("n_nationkey", "n_regionkey")
+
+
+@_query(f"""{_EDITED}, e AS (SELECT n_nationkey, CASE WHEN i = 7 THEN 4 ELSE n_regionkey END AS n_regionkey FROM c WHERE i <> 2 UNION ALL SELECT 50, 2 UNION ALL SELECT 51, 4)
+  SELECT n_regionkey, count(*) AS n, sum(n_nationkey)::DOUBLE AS total, avg(n_nationkey) AS mean FROM e GROUP BY 1""")
+def tick_batch(spark, sf):
+    t = _nation(spark, sf)
+    groups = IncrementalGroup(t, "n_regionkey", [("n", "n_nationkey", "count"), ("total", "n_nationkey", "sum"), ("mean", "n_nationkey", "avg")])
+    t.set_value(7, "n_regionkey", 4)
+    t.delete_row(2)
+    t.append_rows([{"n_nationkey": 50, "n_name": "x", "n_regionkey": 2}, {"n_nationkey": 51, "n_name": "y", "n_regionkey": 4}])
+    groups.sync()
+    return groups.to_df()
+
+
+@_query(f"{_EDITED} SELECT n_regionkey, min(n_nationkey)::DOUBLE AS low, max(n_nationkey)::DOUBLE AS high, median(n_nationkey)::DOUBLE AS mid FROM c WHERE i <> 0 GROUP BY 1")
+def tick_group_min_retract(spark, sf):
+    t = _nation(spark, sf)
+    groups = IncrementalGroup(t, "n_regionkey", [("low", "n_nationkey", "min"), ("high", "n_nationkey", "max"), ("mid", "n_nationkey", "median")])
+    t.delete_row(0)
+    groups.sync()
+    return groups.to_df()
+
+
+@_query(f"""{_EDITED}, a AS (SELECT n_nationkey, CASE WHEN i = 1 THEN 4 ELSE n_regionkey END AS n_regionkey FROM c),
+  b AS (SELECT r_regionkey, r_name FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 9, 'far')
+  SELECT n_nationkey, n_regionkey, r_regionkey AS right_r_regionkey, r_name AS right_r_name FROM a FULL JOIN b ON n_regionkey = r_regionkey""")
+def tick_join_both_sides(spark, sf):
+    left, right = _nation(spark, sf), Table.from_dataframe("region", read_table(spark, sf, "region").orderBy("r_regionkey"))
+    joined = IncrementalJoin(left, right, how="full", left_on="n_regionkey", right_on="r_regionkey")
+    left.set_value(1, "n_regionkey", 4)
+    right.delete_row(2)
+    right.append_row({"r_regionkey": 9, "r_name": "far"})
+    joined.sync()
+    return joined.to_df().select("n_nationkey", "n_regionkey", "right_r_regionkey", "right_r_name")
+
+
+# -- text round trips
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_roundtrip(spark, sf):
+    return Table.from_csv("n", _nation(spark, sf).to_csv(), spark).to_df()
+
+
+@_query("SELECT r_name, r_regionkey FROM region")
+def json_roundtrip(spark, sf):
+    return Table.from_json("r", Table.from_dataframe("region", read_table(spark, sf, "region")).to_json(), spark).to_df()
+
+
+@_query("SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier")
+def pandas_roundtrip(spark, sf):
+    return Table.from_pandas("s", Table.from_dataframe("supplier", read_table(spark, sf, "supplier")).to_pandas(), spark).to_df()
+
+
+@_query("SELECT count(DISTINCT n_name) AS unique_strings, count(n_name) AS total_references FROM nation")
+def interner_stats(spark, sf):
+    t = Table.from_dataframe("nation", read_table(spark, sf, "nation"), use_string_interning=True)
+    s = t.interner_stats()
+    return spark.createDataFrame([(s["unique_strings"], s["total_references"])], "unique_strings long, total_references long")
+
+
+# -- pipelines from specs
+
+
+@_query("SELECT o_orderstatus, count(o_totalprice) AS n, round(quantile_cont(o_totalprice, 0.9), 4) AS high FROM orders WHERE o_totalprice > 150000 GROUP BY 1")
+def pipeline_spec(spark, sf):
+    nodes = [
+        {"id": "big", "source_id": "base", "kind": "filter", "expr": "o_totalprice > 150000"},
+        {"id": "ranked", "source_id": "big", "kind": "sort", "keys": [{"column": "o_totalprice", "descending": True}]},
+        {"id": "by", "source_id": "ranked", "kind": "group", "group_by": ["o_orderstatus"], "aggregates": [
+            {"alias": "n", "column": "o_totalprice", "function": "count"}, {"alias": "high", "column": "o_totalprice", "function": "p90"}]},
+    ]
+    return _rounded(build_pipeline(Table.from_dataframe("orders", read_table(spark, sf, "orders")), nodes)["by"].to_df(), "high")
+
+
+@_query("""SELECT coalesce(o_orderpriority, '-') AS o_orderpriority, round(sum(o_totalprice), 2) AS a, count(*) AS n FROM orders
+  WHERE (o_orderstatus = 'O' OR o_totalprice > 300000) AND lower(o_orderpriority) LIKE '%urgent%' GROUP BY 1""")
+def mini_language(spark, sf):
+    df = read_table(spark, sf, "orders")
+    kept = df.where(mini_filter("o_orderstatus = O or o_totalprice > 300000 and o_orderpriority contains urgent", df.schema))
+    return _rounded(mini_group(kept, "o_orderpriority | a=sum(o_totalprice), n=count()"), "a", digits=2)
+
+
+@_query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click' AND value > 20")
+def stream_filter(spark, sf):
+    """Every row of the events table through a stream and into a stored table."""
+    from .streaming.changes import streamed_filter
+    from .sources.storage import shared_folder
+    import uuid
+
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = read_table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    kept = streamed_filter(stream, "event_type = 'click' AND value > 20").select("event_id", "user_id", "value")
+    kept.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(path)
