@@ -1,0 +1,223 @@
+"""The operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rivulet.llm import chat, decontaminate, order_minhash, packing, repeats, sharding, simhash, toxicity, url_filter, warc
+from rivulet.llm.common import materialise, shared_path
+from rivulet.llm.components import connected_components
+
+RNG = random.Random(11)
+WORDS = [f"w{i}" for i in range(900)]
+
+
+def prose(n):
+    return " ".join(RNG.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base, passage = prose(300), prose(70)
+    rows = [(0, base), (1, base), (2, base + " end"), (3, None), (4, ""), (5, "one two"), (None, prose(80)), (7, prose(40) + " " + passage), (8, passage + "\n" + prose(33)), (9, prose(4000)), (9, prose(60)), (10, base), (10, base)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 1, 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, fp int, shard int")
+    return materialise(df, "test-docs")
+
+
+def test_url_filter(spark):
+    urls = ["https://A.Example.org/es/x?q", "http://example.org/en/123#a", "notexample.org/es/", None, "", "x://com/fr/", "ftp://spam-farm.net/a", "http://fr.com", "http://b.com/de/\u00e9", "http://example.org/es"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("old"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, url_filter.RULES).collect()}
+    assert got == {
+        0: ("a.example.org", "/es/x", "example.org/es/", "block"), 1: ("example.org", "/en/123", "example.org/en/1", "block"), 2: ("", "", None, "allow"),
+        3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("com", "/fr/", "com/fr/", "allow"), 6: ("spam-farm.net", "/a", None, "block"),
+        7: ("fr.com", "", None, "allow"), 8: ("b.com", "/de/\u00e9", "com/de/", "block"), 9: ("example.org", "/es", "org/", "allow"),
+    }
+    assert url_filter.judge_urls(df.limit(0), url_filter.RULES).count() == 0
+    assert url_filter.judge_urls(df, []).where("verdict = 'allow'").count() == len(urls)
+
+
+def test_many_rules_as_brute_force(spark):
+    rules = [url_filter.host_path_rule(RNG.choice(["allow", "block"]), f"{RNG.choice('abc')}{RNG.choice(['.x', '', '.y.z'])}/{RNG.choice(['', 'p/', 'p', 'q-r/1'])}") for _ in range(60)]
+    rules = list({r.name: r for r in rules}.values())
+    urls = [f"h://{RNG.choice(['', 'm.'])}{RNG.choice('abc')}{RNG.choice(['.x', '', '.y.z'])}{RNG.choice(['', '/', '/p/', '/pp', '/q-r/12', '/Q-r/1'])}" for _ in range(300)]
+    got = url_filter.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()
+    for r in got:
+        fit = [x for x in rules if (r["host"] == x.name.split("/")[0] or r["host"].endswith("." + x.name.split("/")[0])) and r["path"].startswith("/" + x.name.split("/", 1)[1])]
+        assert r["rule"] == (max(fit, key=lambda x: (len(x.name), x.action == "block", x.name)).name if fit else None)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 120)] + [(5, 5), (None, 3), (200, 201), (201, 202), (200, 202)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**{i: 0 for i in range(1, 41)}, **{x: 100 for x in range(101, 120)}, 201: 200, 202: 200}
+
+
+def test_near_duplicates_against_brute_force(spark, docs):
+    got = simhash.near_duplicates(docs.drop("fp")).collect()
+    assert len(got) == docs.count()
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    fps = [simhash.simhash((t or "").encode()) for _, t in texts]
+    want = []
+    for i, f in enumerate(fps):
+        group, todo = set(), [i]
+        while todo:
+            x = todo.pop()
+            if x not in group:
+                group.add(x)
+                todo += [y for y in range(len(fps)) if (fps[x] ^ fps[y]).bit_count() <= 4]
+        want.append((texts[i][0], f"{f:016x}", min((texts[x][0] for x in group if texts[x][0] is not None), default=None)))
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["fingerprint"], r["component_id"])) for r in got)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id IN (0, 1, 10)").count() == 1 and kept.where("doc_id IS NULL").count() == 1
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_packing(spark, docs):
+    got = packing.pack(docs).collect()
+    by_seq, by_doc = {}, {}
+    for r in got:
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        by_doc.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+    for places in by_seq.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert by_doc[3] == by_doc[4] == [(0, 0, 1)] and len(by_doc[10]) == 2 * len(by_doc[0])
+    loose = [r["length"] for r in got if r["length"] < 1024]
+    assert len(by_seq) <= len(got) - len(loose) + len(packing.best_fit(loose, 1024)) + 1
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", None), (None, 0, "tool", "x"), (2, None, None, "y"), (3, 0, "user", "t"), (3, 0, "user", "t"), (3, 1, "assistant", "z" * 5000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    out = chat.format_chats(df)
+    formatted = {r["conv_id"]: r["formatted"] for r in out.collect()}
+    assert chat.parse(formatted[1]) == [("user", ""), ("assistant", "b</s>")] and chat.parse(formatted[None]) == [("tool", "x")]
+    back = {r["conv_id"]: r for r in chat.read_back(out).collect()}
+    assert (back[3]["n_turns"], back[3]["loss_chars"], back[2]["loss_chars"]) == (3, 5000, 0)
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_decontaminate(spark, docs):
+    item = next(r["text"] for r in docs.where("doc_id = 7").collect()).split()[40:80]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, prose(30)), (5, " ".join(item).upper())], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.contaminations(docs, bench).collect())
+    assert got == [(7, 1, 0), (7, 5, 0), (8, 1, 0), (8, 5, 0)]
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 2
+    assert decontaminate.contaminations(docs, bench.limit(0)).count() == 0 and decontaminate.contaminations(docs.limit(0), bench).count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(600):
+        bad, junk = rng.random() < 0.2, rng.random() < 0.2
+        words = [rng.choice(WORDS) for _ in range(40)] + [rng.choice(["vile", "rotten"])] * bad + ["@@@", "zzzz"] * junk
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(junk), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, low_quality int, toxic int")
+    held, seen = df.where("doc_id >= 400"), df.where("doc_id < 400")
+    chain = toxicity.train(seen.select("doc_id", "text"), seen.select("doc_id", "low_quality", "toxic"), toxicity.CATEGORIES)
+    scored = toxicity.score(held, chain).join(held, "doc_id")
+    right = scored.where((F.col("p_toxic") >= 0.5) == (F.col("toxic") == 1)).count() / scored.count()
+    assert right > 0.97 and len(chain[1].earlier) == 1
+    odd = spark.createDataFrame([(1, None, 0), (None, "vile", 0), (1, "", 0), (1, "", 0)], "doc_id long, text string, p_toxic int")
+    assert toxicity.score(odd, chain).count() == 4 and toxicity.score(odd.limit(0), chain).count() == 0
+    empty = toxicity.train(seen.limit(0).select("doc_id", "text"), seen.select("doc_id", "low_quality", "toxic"), toxicity.CATEGORIES)
+    assert toxicity.score(odd, empty).count() == 4
+    assert toxicity.keep_civil(df.drop("low_quality", "toxic"), seen.select("doc_id", "text"), seen.select("doc_id", "low_quality", "toxic")).columns == ["doc_id", "text"]
+
+
+def test_sharding(spark, docs):
+    df = spark.range(0, 1003, 1, 7).select(F.col("id"), (F.col("id") % 3).alias("slot"))
+    for run_rows in (10**6, 5):
+        got = sharding.shard(df, 10, run_rows=run_rows).collect()
+        assert sorted(r["id"] for r in got) == list(range(1003))
+        by = {}
+        for r in got:
+            by.setdefault(r["shard"], []).append(r["slot"])
+        assert {len(s) for s in by.values()} == {100, 101} and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert sharding.shard(docs.drop("shard"), 40).count() == docs.count()
+    assert sharding.shard(df.limit(0), 4).count() == 0
+
+
+def brute_spans(texts):
+    """Word spans that an earlier place has, by all 50-word stretches."""
+    first, marks = {}, {}
+    for key in sorted(texts):
+        w = texts[key].split()
+        for i in range(len(w) - repeats.LEAST + 1):
+            s = tuple(w[i : i + repeats.LEAST])
+            if s in first:
+                marks.setdefault(key, set()).update(range(i, i + repeats.LEAST))
+            else:
+                first[s] = (key, i)
+    return {k: sorted(v) for k, v in marks.items()}
+
+
+def test_repeats_against_brute_force(spark):
+    rng = random.Random(13)
+    passages = [prose(n) for n in (50, 51, 64, 120, 49)]
+    texts = {}
+    for i in range(40):
+        parts = [prose(rng.randrange(1, 60)) for _ in range(3)]
+        parts[1:1] = rng.sample(passages, rng.randrange(3))
+        texts[i] = "  ".join(parts)
+    texts[40] = texts[3]
+    texts[41] = "the " * 130
+    texts[42] = passages[2] + " " + passages[2]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {}
+    for r in repeats.repeated_spans(df).collect():
+        got.setdefault(r["doc"], set()).update(range(r["start"], r["stop"]))
+    assert {k: sorted(v) for k, v in got.items()} == brute_spans(texts)
+    cut = {r["doc_id"]: r["text"] for r in repeats.cut_repeats(df).collect()}
+    assert not brute_spans(cut) or all(len(v) for v in brute_spans(cut).values())
+    assert cut[40] == "" and all(cut[k] == t for k, t in texts.items() if k not in got)
+
+
+def test_repeats_edge_cases(spark, docs):
+    out = repeats.cut_repeats(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    rows = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert rows[3] is None and rows[4] == "" and rows[1] == "" and rows[0] is not None and rows[8].strip() == " ".join(rows[8].split())
+    assert repeats.repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_warc(spark):
+    rows = [(3, "http://a", "x" * 200), (1, None, "x" * 200), (2, "http://b\r\nX: y", "x" * 200), (4, "u", "s"), (5, "u", "s"), (6, "u", None), (7, "u", "é" * 100), (7, "u", "é" * 100), (None, "u", "x" * 200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0))
+    got = warc.read_archives(warc.write_archives(df, shared_path(spark, "test-warc"))).collect()
+    assert sorted(repr((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"])) for r in got) == sorted(map(repr, [
+        (1, "response", None, 200), (2, "revisit", 1, 200), (3, "revisit", 1, 200), (4, "response", None, 1), (5, "response", None, 1), (6, "response", None, 0),
+        (7, "response", None, 200), (7, "revisit", 7, 200), (None, "revisit", 1, 200)]))
+    assert warc.read_archives(warc.write_archives(df.limit(0), shared_path(spark, "test-warc"))).count() == 0
+
+
+def test_order_minhash_neighbours(spark, docs):
+    import hashlib
+
+    for part in (docs, docs.where("doc_id = 0"), docs.where("doc_id IS NULL"), docs.limit(0)):
+        got = order_minhash.neighbour_report(part).collect()
+        rows = sorted(((r["doc_id"], r["text"] or "") for r in part.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        want = []
+        for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+            want.append((i, len(t), hashlib.sha256(order_minhash.edited(t, n).encode()).hexdigest(), order_minhash.to_text(order_minhash.fingerprint(t.encode())), round(order_minhash.likeness(order_minhash.fingerprint(t.encode()), order_minhash.fingerprint(n.encode())), 6)))
+        assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_next"], 6))) for r in got)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"} and 0 < out.select("doc_id").distinct().count() < docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf).columns == docs.columns

@@ -1,0 +1,204 @@
+"""The operators' own rules, without Spark."""
+
+import io
+import json
+import random
+import zipfile
+
+import numpy as np
+import pytest
+
+from rivulet.llm import chat, decontaminate, order_minhash, packing, repeats, sharding, simhash, tokens, warc
+
+
+def test_simhash_against_plain_python():
+    import xxhash
+
+    def plain(text):
+        words = text.encode().lower().split()
+        grams = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([b" ".join(words)] if words else [])
+        hs = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    rng = random.Random(1)
+    for n in (0, 1, 3, 4, 5, 50, 400):
+        text = " ".join(rng.choice(["a", "B", "é", "cc", "d\u00a0d"]) for _ in range(n))
+        assert simhash.simhash(text.encode()) == plain(text)
+
+
+@pytest.mark.parametrize("most", [10**9, 4_000, 500])
+def test_cell_links_join_all_within_the_radius(most):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 6, np.uint64)
+    fps = set(base.tolist())
+    for b in base.tolist():
+        for _ in range(12):
+            x = b
+            for bit in rng.integers(0, 64, rng.integers(1, 6)).tolist():
+                x ^= 1 << bit
+            fps.add(x)
+    fps = np.array(sorted(fps), np.uint64)
+    a, b = simhash.cell_links(fps, fps, np.full(len(fps), 2, np.int8), 0, 4, most)
+    assert (np.bitwise_count(a ^ b) >= 1).all()
+    got = {int(f): int(f) for f in fps} | {int(x): int(y) for x, y in zip(a, b)}
+    want = {}
+    for f in fps.tolist():  # brute force
+        group, todo = set(), [f]
+        while todo:
+            x = todo.pop()
+            if x not in group:
+                group.add(x)
+                todo += [y for y in fps.tolist() if bin(x ^ y).count("1") <= 4]
+        want[f] = min(group)
+    assert got == want
+
+
+def test_ids_are_those_of_the_tokenizers_library():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_vocabulary()
+    t = Tokenizer.from_file(path)
+    for text in ("", "Hello  world\n\n x", "été ça 12345 don't", "a<|endoftext|>b", "\U0001f600 \u200b\u00a0z", "x" * 3000, "\r\n\t tab"):
+        assert tokens.token_ids(text, path).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_best_fit_and_cut():
+    rng = random.Random(2)
+    sizes = [rng.randrange(1, 1025) for _ in range(3000)]
+    bins = packing.best_fit(sizes, 1024)
+    assert sorted(i for b in bins for i in b) == list(range(3000))
+    loads = [sum(sizes[i] for i in b) for b in bins]
+    assert max(loads) <= 1024 and len(bins) <= 1.02 * sum(sizes) / 1024 + 1
+    assert packing.cut(1024, 1024) == [(0, 1024)] and packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut(2048, 1024) == [(0, 1024), (1024, 1024)]
+
+
+def test_escapes_are_reversible_and_leave_no_control_string():
+    rng = random.Random(3)
+    parts = [*chat.CONTROL, "\\", "\\a", "\\b", "<", "[", "x", "</", "s>"]
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=rng.randrange(9)))
+        e = chat.escape(text)
+        assert chat.unescape(e) == text and not any(c in e for c in chat.CONTROL)
+    turns = [("user", "a[INST]"), ("tool[ROLE]", "</s>"), ("assistant", ""), ("system", "\\"), ("", "x")]
+    assert chat.parse(chat.render(turns)) == turns
+
+
+def test_locating_turns():
+    turns = [("system", "s"), *[(r, f"{r} {i} </s>") for i in range(80) for r in ("user", "assistant")]]
+    for part in (turns[:7], turns):
+        whole, spans, loss, rewritten = chat.locate(part)
+        assert rewritten is None and "".join(whole[a:b] for a, b in spans) == whole
+        assert [chat.unescape(whole[a:b]) for a, b in loss] == [t for r, t in part if r == "assistant"]
+    counting = lambda ts: "".join(f"#{i}{r}:{t};" for i, (r, t) in enumerate(ts))
+    whole, spans, loss, rewritten = chat.locate(turns, counting)
+    assert rewritten is None and [whole[a:b] for a, b in loss] == [t for r, t in turns if r == "assistant"]
+    last_only = lambda ts: "".join(f"{r}:{t if i == len(ts) - 1 else '-'};" for i, (r, t) in enumerate(ts))
+    assert chat.locate(turns[:5], last_only)[1:] == ([], [], 1)
+    assert chat.locate([], chat.render) == ("", [], [], None)
+
+
+def brute_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, w in enumerate(item, 1):
+        new = [i]
+        for j, v in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (w != v)))
+        row = new
+    return min(row)
+
+
+def test_edit_distance():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = [[rng.randrange(4) for _ in range(rng.randrange(lo, 70))] for lo in (1, 0)]
+        assert decontaminate.edit_distance_within(a, b)[0] == brute_distance(a, b)
+
+
+def test_edited_items_are_found_and_others_not():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(n) for n in (5, 15, 15, 30, 45, 60)]
+    plan = decontaminate.plan_for([(i, [w.encode() for w in x]) for i, x in enumerate(items)], 0.2, 0.99)
+    found = tried = 0
+    for _ in range(150):
+        k = rng.randrange(1, len(items))
+        new = list(items[k])
+        for _ in range(rng.randrange(plan.edits(len(new)) + 1)):
+            kind, p = rng.randrange(3), rng.randrange(len(new))
+            new[p : p + (kind != 1)] = [rng.choice(vocabulary)] if kind != 2 else []
+        doc = text(rng.randrange(80)) + new + text(rng.randrange(80))
+        got = {r[1]: r for r in decontaminate.matches([" ".join(doc).encode()], plan)}
+        within = {i for i, x in enumerate(items) if brute_distance(x, doc) <= plan.edits(len(x))}
+        assert set(got) <= within
+        for i, r in got.items():
+            assert brute_distance(items[i], doc) == r[2] == brute_distance(items[i], doc[r[3] : r[4]])
+        found, tried = found + (k in got), tried + 1
+    assert found >= 0.97 * tried
+    assert not list(decontaminate.matches([b"", b"  "], plan)) and not list(decontaminate.matches([b"a b"], decontaminate.plan_for([], 0.2, 0.99)))
+
+
+def test_minimisers_and_hashes():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 62, 400, np.uint64)
+    h = repeats.stretch_hashes(words, repeats.LEAST)
+    again = np.concatenate([rng.integers(0, 1 << 62, 33, np.uint64), words[100:150], rng.integers(0, 1 << 62, 33, np.uint64)])
+    assert h[100] in repeats.stretch_hashes(again, repeats.LEAST) and len(h) == 400 - repeats.LEAST + 1
+    a = repeats.minimisers(words, np.array([400]))
+    grams = {int(a[1][i]) for i in a[0]}
+    b = repeats.minimisers(again, np.array([len(again)]))
+    inside = [i for i in b[0].tolist() if 33 <= i <= 33 + repeats.LEAST - repeats.K]
+    assert inside and any(int(b[1][i]) in grams for i in inside)
+
+
+def test_cut_words():
+    assert repeats.cut_words(" a  b c\nd é f ", [(1, 3)]) == " a\nd é f "
+    assert repeats.cut_words("a b c", [(0, 3)]) == "" and repeats.cut_words("a b c", [(0, 1), (2, 3)]) == " b"
+
+
+def test_matrix_rows_have_exact_margins():
+    counts, sizes = [5, 0, 7, 1, 20], sharding.shard_sizes(33, 4)
+    before = np.concatenate([[0], np.cumsum(counts)])
+    m = np.array([sharding.matrix_row(before, sizes, i, 3) for i in range(5)])
+    assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).tolist() == sizes.tolist() and (m >= 0).all()
+    seen = np.array([sharding.matrix_row(np.array([0, 10, 20]), np.array([10, 10]), 0, s)[0] for s in range(2000)])
+    assert abs(seen.mean() - 5) < 0.15 and abs(seen.var() - 10 * 0.25 * 10 / 19) < 0.15
+
+
+def test_zip_and_zip64(tmp_path, monkeypatch):
+    def build(path, records):
+        path.write_bytes(warc.package(records))
+        return str(path)
+
+    recs = [(f"r{i}", warc.record({"WARC-Type": "response"}, b"\r\n\r\n" * i)) for i in range(5)]
+    plain = build(tmp_path / "a.zip", recs)
+    assert [p for _, _, p in warc.read_archive(plain)] == [b"\r\n\r\n" * i for i in range(5)]
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 50)
+    monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
+    big = build(tmp_path / "b.zip", recs)
+    assert b"PK\x06\x06" in (tmp_path / "b.zip").read_bytes()
+    assert [n for n, _, _ in warc.read_archive(big)] == [f"r{i}" for i in range(5)]
+    for bad in (b"", b"PK", b"x" * 100):
+        (tmp_path / "c.zip").write_bytes(bad)
+        with pytest.raises(ValueError):
+            warc.directory(warc.RangeFile(str(tmp_path / "c.zip")))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x", "y" * 100)
+    (tmp_path / "d.zip").write_bytes(packed.getvalue())
+    with pytest.raises(ValueError):
+        warc.directory(warc.RangeFile(str(tmp_path / "d.zip")))
+
+
+def test_order_minhash():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    text = [rng.choice(words) for _ in range(300)]
+    fp = lambda w: order_minhash.fingerprint(" ".join(w).encode())
+    like = lambda a, b: order_minhash.likeness(fp(a), fp(b))
+    near, moved = text[:290] + ["z"] * 10, text[150:] + text[:150]
+    other = [rng.choice(words) for _ in range(300)]
+    assert like(text, text) == 1 and like(text, near) > 0.7 and like(text, other) < 0.1
+    assert like(text, moved) < like(text, near)  # the same k-mers in another order
+    assert order_minhash.edited("abcdefg", "xy") == "abcdexy" and order_minhash.edited("ab", "xy") == "ab" and order_minhash.edited("abc", "") == "ab"
+    assert order_minhash.to_text(order_minhash.from_text(order_minhash.to_text(fp([])))) == order_minhash.to_text(fp([]))
