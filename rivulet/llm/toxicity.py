@@ -17,54 +17,63 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, table, utf8
 
-#: Labelled rows that the models are fitted on at most, and distinct words taken from one of them.
+#: Labelled rows that the models are fitted on at most, and distinct words and stems taken from one of them.
 SAMPLE_ROWS, SAMPLE_WORDS = 6_000, 16_384
 #: Bytes of a word's beginnings that count as features of their own.
 STEMS = (4, 5, 6, 7)
 _SPACES = bytes(c if chr(c).isalnum() or c >= 128 or c == 39 else 32 for c in range(256))
 
 
-def words_of(text: bytes) -> set[bytes]:
-    """The distinct words, A-Z lower-cased, and their beginnings: inflected forms share a stem."""
+def features(text: bytes) -> np.ndarray:
+    """Hashes of the distinct words, A-Z lower-cased, and of their beginnings: inflected forms share a stem."""
     words = set(text.lower().translate(_SPACES).split())
-    return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STEMS))
+    words = words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STEMS))
+    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
 
 
 @dataclass
 class Link:
-    """One category: weights of its words, of the earlier probabilities, and the bias."""
+    """One category: hashes of its words in order, their weights, those of the earlier probabilities, and the bias."""
 
     category: str
-    weights: dict[bytes, float]
+    words: np.ndarray
+    weights: np.ndarray
     earlier: np.ndarray
     bias: float
 
-    def predict(self, texts: Sequence[set[bytes]], before: np.ndarray) -> np.ndarray:
-        get = self.weights.get
-        known = self.weights.keys()
-        sums = np.array([sum(get(w) for w in known & t) for t in texts], float)
+    def predict(self, texts: Sequence[np.ndarray], before: np.ndarray) -> np.ndarray:
+        rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        words = np.concatenate([*texts, np.zeros(0, np.uint64)])
+        sums = np.zeros(len(texts))
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            known = self.words[at] == words
+            sums = np.bincount(rows[known], self.weights[at[known]], len(texts))
         z = sums + before @ self.earlier + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class _Bag:
-    """The words of the examples that occur in ``least`` of them at least, as (example, word) pairs."""
-
-    def __init__(self, texts: Sequence[set[bytes]], least: int = 5):
-        number: dict[bytes, int] = {}
-        cols = [np.array([number.setdefault(w, len(number)) for w in sorted(t)], np.int64) for t in texts]
-        rows = np.repeat(np.arange(len(texts)), [len(c) for c in cols])
-        cols = np.concatenate([*cols, np.zeros(0, np.int64)])
-        often = np.bincount(cols, minlength=len(number)) >= least
-        keep = often[cols]
-        place = np.cumsum(often) - 1
-        self.rows, self.cols = rows[keep], place[cols[keep]]
-        self.names = [w for w, o in zip(number, often.tolist()) if o]
+    """The words that occur in ``least`` of the examples at least, as (example, word) pairs."""
+
+    def __init__(self, texts: Sequence[np.ndarray], least: int = 5):
+        rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+        words = np.concatenate([*texts, np.zeros(0, np.uint64)])
+        order = np.argsort(words, kind="stable")
+        rows, words = rows[order], words[order]
+        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])[: len(words)])
+        many = np.diff(np.append(first, len(words)))
+        often = many >= least
+        keep = np.repeat(often, many)
+        self.names = words[first[often]]
+        self.rows = rows[keep]
+        self.cols = np.repeat(np.arange(len(self.names), dtype=np.int32), many[often])
         self.n = len(texts)
 
 
@@ -104,13 +113,14 @@ def _fit(bag: _Bag, use: np.ndarray, y: np.ndarray, before: np.ndarray, strict:
     return weights, e, bias
 
 
-def fit_chain(texts: Sequence[set[bytes]], labels: dict[str, np.ndarray], folds: int = 5) -> list[Link]:
+def fit_chain(texts: Sequence[np.ndarray], labels: dict[str, np.ndarray], folds: int = 5) -> list[Link]:
     """``labels``: 0 or 1 by category, in the order of the chain."""
     bag, chain = _Bag(texts), []
     fold, before = np.arange(bag.n) % folds, np.zeros((bag.n, 0))
     for category, y in labels.items():
         x, e, bias = _fit(bag, np.ones(bag.n, bool), y, before)
-        chain.append(Link(category, {bag.names[i]: float(x[i]) for i in np.flatnonzero(x)}, e, bias))
+        used = np.flatnonzero(x)
+        chain.append(Link(category, bag.names[used], x[used], e, bias))
         held = np.zeros(bag.n)
         for k in range(folds):
             x, e, bias = _fit(bag, fold != k, y, before)
@@ -120,7 +130,7 @@ def fit_chain(texts: Sequence[set[bytes]], labels: dict[str, np.ndarray], folds:
     return chain
 
 
-def predict_chain(chain: Sequence[Link], texts: Sequence[set[bytes]]) -> np.ndarray:
+def predict_chain(chain: Sequence[Link], texts: Sequence[np.ndarray]) -> np.ndarray:
     before = np.zeros((len(texts), 0))
     for link in chain:
         before = np.concatenate([before, link.predict(texts, before)[:, None]], axis=1)
@@ -141,13 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
-            found = [b" ".join(sorted(words_of(t))[:SAMPLE_WORDS]) for t in batch.column("_text").to_pylist()]
+            found = [features(t)[:SAMPLE_WORDS].tobytes() for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *[batch.column(f"_y{i}") for i in range(len(categories))]], ["words", *[f"_y{i}" for i in range(len(categories))]])
 
     ddl = "words binary, " + ", ".join(f"_y{i} int" for i in range(len(categories)))
     rows = texts.join(F.broadcast(drawn), "_id").mapInArrow(run, ddl).toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True)
-    return fit_chain([set(bytes(w).split()) for w in rows["words"]], {c: rows[f"_y{i}"].to_numpy(np.int64) for i, c in enumerate(categories)})
+    return fit_chain([np.frombuffer(w, np.uint64) for w in rows["words"]], {c: rows[f"_y{i}"].to_numpy(np.int64) for i, c in enumerate(categories)})
 
 
 def score(docs: DataFrame, chain: Sequence[Link], id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,7 +168,7 @@ def score(docs: DataFrame, chain: Sequence[Link], id: str = "doc_id", text: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
-            p = predict_chain(shipped.value, [words_of(t) for t in batch.column("_text").to_pylist()])
+            p = predict_chain(shipped.value, [features(t) for t in batch.column("_text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(id), *[pa.array(c) for c in p.T]], [id, *names])
 
     return kept.mapInArrow(run, f"`{id}` {dict(kept.dtypes)[id]}, " + ", ".join(f"{c} double" for c in names))
@@ -191,7 +201,7 @@ def keep_civil(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshol
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            texts = [words_of((t or "").encode()) for t in batch.column("text").to_pylist()]
+            texts = [features((t or "").encode()) for t in batch.column("text").to_pylist()]
             keep = predict_chain(shipped.value, texts)[:, toxic] < threshold
             yield batch.filter(pa.array(keep))
 
