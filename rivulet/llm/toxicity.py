@@ -77,7 +77,7 @@ class _Bag:
         self.n = len(texts)
 
 
-def _fit(bag: _Bag, use: np.ndarray, y: np.ndarray, before: np.ndarray, strict: float = 9.0, ridge: float = 0.03, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+def _fit(bag: _Bag, use: np.ndarray, y: np.ndarray, before: np.ndarray, strict: float = 9.0, ridge: float = 0.03, steps: int = 600) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression with a ridge on the words that chance alone would hardly deal so unevenly to the classes.
 
     ``use``: which examples count. ``strict``: minus the logarithm of that
