@@ -121,6 +121,8 @@ def fit_chain(texts: Sequence[np.ndarray], labels: dict[str, np.ndarray], folds:
         x, e, bias = _fit(bag, np.ones(bag.n, bool), y, before)
         used = np.flatnonzero(x)
         chain.append(Link(category, bag.names[used], x[used], e, bias))
+        if len(chain) == len(labels):
+            break  # nothing follows that would see held-out predictions
         held = np.zeros(bag.n)
         for k in range(folds):
             x, e, bias = _fit(bag, fold != k, y, before)
