@@ -77,7 +77,38 @@ class _Bag:
         self.n = len(texts)
 
 
-def _fit(bag: _Bag, use: np.ndarray, y: np.ndarray, before: np.ndarray, strict: float = 9.0, ridge: float = 0.03, steps: int = 600) -> tuple[np.ndarray, np.ndarray, float]:
+def _lbfgs(loss, w: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """The minimum of a smooth convex function that returns its value and slope."""
+    value, slope = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(slope).max() < 1e-4:
+            break
+        d, held = -slope, []
+        for s, y in reversed(past):
+            a = (s @ d) / (s @ y)
+            held.append(a)
+            d = d - a * y
+        if past:
+            s, y = past[-1]
+            d = d * ((s @ y) / (y @ y))
+        else:
+            d = d / max(1.0, np.abs(slope).sum())
+        for (s, y), a in zip(past, reversed(held)):
+            d = d + s * (a - (y @ d) / (s @ y))
+        step, down = 1.0, slope @ d
+        while True:
+            new, (there, after) = w + step * d, loss(w + step * d)
+            if there <= value + 1e-4 * step * down or step < 1e-10:
+                break
+            step /= 2
+        if (after - slope) @ (new - w) > 1e-12:
+            past = [*past, (new - w, after - slope)][-memory:]
+        w, value, slope = new, there, after
+    return w
+
+
+def _fit(bag: _Bag, use: np.ndarray, y: np.ndarray, before: np.ndarray, strict: float = 9.0, ridge: float = 0.03, steps: int = 120) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression with a ridge on the words that chance alone would hardly deal so unevenly to the classes.
 
     ``use``: which examples count. ``strict``: minus the logarithm of that
@@ -99,15 +130,20 @@ def _fit(bag: _Bag, use: np.ndarray, y: np.ndarray, before: np.ndarray, strict:
     keep = chosen[cols]
     size = int(chosen.sum())
     rows, cols = rows[keep], (np.cumsum(chosen) - 1)[cols[keep]]
-    x, e, bias = np.zeros(size), np.zeros(before.shape[1]), float(np.log((n1 + 1) / (n - n1 + 1)))
-    gx, ge, gb = np.full(size, 1e-8), np.full(before.shape[1], 1e-8), 1e-8
-    for _ in range(steps):  # AdaGrad, full batch
-        z = np.bincount(rows, x[cols], bag.n) + before @ e + bias
-        r = np.where(use, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0.0)
-        dx = np.bincount(cols, r[rows], size) + ridge * x
-        de, db = before.T @ r + ridge * e, float(r.sum())
-        gx, ge, gb = gx + dx * dx, ge + de * de, gb + db * db
-        x, e, bias = x - 0.5 * dx / np.sqrt(gx), e - 0.5 * de / np.sqrt(ge), bias - 0.5 * db / gb**0.5
+    m = before.shape[1]
+    start = np.zeros(size + m + 1)
+    start[-1] = np.log((n1 + 1) / (n - n1 + 1))
+    target = np.where(use, y, 0.0)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(rows, w[:size][cols], bag.n) + before @ w[size:-1] + w[-1]
+        r = np.where(use, 1 / (1 + np.exp(-np.clip(z, -500, 500))) - target, 0.0)
+        slope = np.concatenate([np.bincount(cols, r[rows], size), before.T @ r, [r.sum()]])
+        slope[:-1] += ridge * w[:-1]
+        return float((np.logaddexp(0, z) - target * z)[use].sum() + ridge / 2 * (w[:-1] @ w[:-1])), slope
+
+    w = _lbfgs(loss, start, steps)
+    x, e, bias = w[:size], w[size:-1], float(w[-1])
     weights = np.zeros(words)
     weights[chosen] = x
     return weights, e, bias
