@@ -43,12 +43,17 @@ class AggregateFunction:
             return cls.PERCENTILE(float(m[1]))
         raise ValueError(f"unknown aggregate '{name}'")
 
+    @property
+    def rank(self) -> float | None:
+        """The share of a percentile; None for other aggregates."""
+        return {"median": 0.5, "percentile": self.p}.get(self.kind)
+
     def column(self, value: Column) -> Column:
         """``value``: a double that is null where it doesn't count."""
         if self.kind == "count":
             return F.count(value)
         if self.kind in ("median", "percentile"):
-            return F.percentile(value, 0.5 if self.kind == "median" else self.p)
+            return F.percentile(value, self.rank)
         return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[self.kind](value)
 
 

@@ -203,9 +203,20 @@ def group_rows(df: DataFrame, by: Sequence[str], agg: Sequence[tuple], order: bo
     for c in by:
         if c not in visible(df):
             raise ValueError(f"unknown group column '{c}'")
-    outs = [f.column(usable(df.schema, s)).alias(o) for o, s, f in specs(agg, df.schema)]
+    wanted = specs(agg, df.schema)
+    ranks: dict[str, list[float]] = {}  # all percentiles of a column share one buffer
+    for _, s, f in wanted:
+        if f.rank is not None and f.rank not in ranks.setdefault(s, []):
+            ranks[s].append(f.rank)
+    outs = [f.column(usable(df.schema, s)).alias(f"__a{i}") for i, (_, s, f) in enumerate(wanted) if f.rank is None]
+    outs += [F.percentile(usable(df.schema, s), F.array(*map(F.lit, ps))).alias(f"__p{k}") for k, (s, ps) in enumerate(ranks.items())]
+    place = {s: k for k, s in enumerate(ranks)}
+    final = [
+        (F.col(f"__a{i}") if f.rank is None else F.col(f"__p{place[s]}")[ranks[s].index(f.rank)]).alias(o) for i, (o, s, f) in enumerate(wanted)
+    ]
     if order and hidden(df):
         outs.append(F.min(F.struct(*_q(hidden(df)))).alias("__first"))
+        final.append(F.col("__first"))
     if by:
-        return df.groupBy(*_q(by)).agg(*outs)
-    return df.agg(*outs, F.count("*").alias("__n")).where("__n > 0").drop("__n")
+        return df.groupBy(*_q(by)).agg(*outs).select(*_q(by), *final)
+    return df.agg(*outs, F.count("*").alias("__n")).where("__n > 0").select(*final)
