@@ -132,7 +132,7 @@ def _fit(bag: _Bag, use: np.ndarray, y: np.ndarray, before: np.ndarray, strict:
     rows, cols = rows[keep], (np.cumsum(chosen) - 1)[cols[keep]]
     m = before.shape[1]
     start = np.zeros(size + m + 1)
-    start[-1] = np.log((n1 + 1) / (n - n1 + 1))
+    start[-1] = np.log((n1 + 1) / (n - n1 + 2))  # without examples it stays there: one third
     target = np.where(use, y, 0.0)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -179,8 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id: str
     """Fits the chain on at most ``sample_rows`` labelled documents, those of the least hash of their id.
 
     Rows with a null id, text or label are no examples; of an id's repeated
-    labels or texts each pair is one. Without examples, every probability is
-    one half of its prior: the chain has no words.
+    labels or texts each pair is one. Without examples the chain has no words
+    and every probability is one third, so nothing is rejected.
     """
     usable = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (id, *categories)))
     drawn = usable.select(F.col(f"`{id}`").alias("_id"), *[F.col(f"`{c}`").cast("int").alias(f"_y{i}") for i, c in enumerate(categories)])
