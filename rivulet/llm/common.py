@@ -104,6 +104,17 @@ def spread(ends: np.ndarray, total: int) -> np.ndarray:
     return np.cumsum(marks)[:total]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def utf8(name: str):
     """A text column as its UTF-8 bytes, null as empty: Python workers get no decoded strings."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

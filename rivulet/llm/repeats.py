@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, discard, materialise, release_shuffles, table, utf8
+from .common import CHUNK_BYTES, chunks, discard, fresh, materialise, release_shuffles, table, utf8
 
 #: A repeated passage has at least LEAST words, the gram at a minimiser K, a window of grams W.
 LEAST, K = 50, 20
@@ -250,24 +250,28 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """The documents without the passages that an earlier place has; ``n_chars`` follows the text, rows and columns stay."""
+    """The documents without the passages that an earlier place has; ``n_chars`` follows the text, rows and columns stay.
+
+    A null text stays null, a text that is all copies becomes empty; other columns may have any names.
+    """
+    key, mark, cuts = fresh(docs, "_doc", "_tag", "_spans")
     spans = repeated_spans(docs)
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias(cuts))
     doc = F.col("doc_id").cast("long")
-    keyed = docs.withColumn("_doc", F.coalesce(doc, F.lit((1 << 63) - 1))).withColumn("_tag", F.hash(doc.isNull(), "text"))
-    spans = spans.withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
+    keyed = docs.withColumn(key, F.coalesce(doc, F.lit((1 << 63) - 1))).withColumn(mark, F.hash(doc.isNull(), "text"))
+    spans = spans.withColumnsRenamed({"doc": key, "tag": mark})
     schema = docs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 4 * CHUNK_BYTES):
             texts = [
                 cut_words(t, [(s["start"], s["stop"]) for s in found]) if found else t
-                for t, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())
+                for t, found in zip(batch.column("text").to_pylist(), batch.column(cuts).to_pylist())
             ]
             columns = [pa.array(texts, batch.column("text").type) if f.name == "text" else batch.column(f.name) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    after = keyed.join(spans, ["_doc", "_tag"], "left").select(*schema.names, "_spans").mapInArrow(run, schema)
+    after = keyed.join(spans, [key, mark], "left").select(*[F.col(f"`{c}`") for c in (*schema.names, cuts)]).mapInArrow(run, schema)
     if "n_chars" in schema.names:
         after = after.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(schema["n_chars"].dataType))
     return after

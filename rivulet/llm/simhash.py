@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, release_shuffles, table, utf8
+from .common import chunks, fresh, materialise, release_shuffles, table, utf8
 from .components import connected_components
 
 #: Variants that a cell holds on average, and at most at once in memory.
@@ -218,9 +218,11 @@ def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     Of repeated rows with that doc_id the first read stays; a row without a
     doc_id stays only where no other is in its group. ``docs`` is read twice
     and has to give the same rows in the same order, as a stored table does.
+    Other columns, whatever their names, stay as they are.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    named = rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row").alias("_doc"), "text")
+    (row,) = fresh(docs, "_row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("_row")).alias("_doc"), "text")
     found = near_duplicates(named, id="_doc", size=size, radius=radius)
-    gone = found.where(F.col("_doc._row") != F.col("component_id._row")).select(F.col("_doc._row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = found.where(F.col("_doc._row") != F.col("component_id._row")).select(F.col("_doc._row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

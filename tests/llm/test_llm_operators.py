@@ -130,7 +130,8 @@ def test_toxicity(spark):
     odd = spark.createDataFrame([(1, None, 0), (None, "vile", 0), (1, "", 0), (1, "", 0)], "doc_id long, text string, p_toxic int")
     assert toxicity.score(odd, chain).count() == 4 and toxicity.score(odd.limit(0), chain).count() == 0
     empty = toxicity.train(seen.limit(0).select("doc_id", "text"), seen.select("doc_id", "low_quality", "toxic"), toxicity.CATEGORIES)
-    assert toxicity.score(odd, empty).count() == 4
+    assert toxicity.score(odd, empty).where("p_toxic < 0.5").count() == 4
+    assert toxicity.keep_civil(odd, odd, seen.limit(0).select("doc_id", "low_quality", "toxic")).count() == 4
     assert toxicity.keep_civil(df.drop("low_quality", "toxic"), seen.select("doc_id", "text"), seen.select("doc_id", "low_quality", "toxic")).columns == ["doc_id", "text"]
 
 
@@ -212,6 +213,19 @@ def test_order_minhash_neighbours(spark, docs):
         assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_next"], 6))) for r in got)
 
 
+def test_inner_names_may_be_columns(spark, docs):
+    """Columns named like those that the operators add for themselves come through unchanged."""
+    inner = ("_row", "_doc", "_tag", "_spans", "_part", "_run", "_key", "_ahead", "_text", "_gone", "component_id", "places")
+    df = docs.drop("fp", "shard")
+    wide = materialise(df.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in inner]), "test-wide")
+    bench = spark.createDataFrame([(1, prose(40))], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 0, 1), (7, 0, 0), (8, 0, 0)], "doc_id long, low_quality int, toxic int")
+    for out in (simhash.keep_one(wide), repeats.cut_repeats(wide), decontaminate.clean(wide, bench), toxicity.keep_civil(wide, wide, labels), sharding.shard(wide, 3, run_rows=2)):
+        rows = out.collect()
+        assert rows and [c for c in out.columns if c not in ("shard", "slot")] == wide.columns
+        assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in rows for c in inner)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
