@@ -92,6 +92,16 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_of_partitions_with_unlike_lengths(spark):
+    """640 and 384 ids: one sequence for each pair, though no partition can fill one by itself."""
+    n = 3_000
+    df = spark.range(0, 2 * n, 1, 2).select(F.col("id").alias("doc_id"), F.expr(f"repeat(' the', if(id < {n}, 639, 383))").alias("text"))
+    got = packing.pack(df)
+    assert got.groupBy("length").count().sort("length").collect() == [(384, n), (640, n)]
+    loads = got.groupBy("sequence_id").agg(F.sum("length").alias("total"), F.max("offset").alias("last"), F.min("offset").alias("first"))
+    assert loads.count() == n and loads.where("total = 1024 AND first = 0 AND last IN (384, 640)").count() == n
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", None), (None, 0, "tool", "x"), (2, None, None, "y"), (3, 0, "user", "t"), (3, 0, "user", "t"), (3, 1, "assistant", "z" * 5000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))

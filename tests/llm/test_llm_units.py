@@ -72,6 +72,23 @@ def test_best_fit_and_cut():
     assert packing.cut(1024, 1024) == [(0, 1024)] and packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut(2048, 1024) == [(0, 1024), (1024, 1024)]
 
 
+def test_matching_numbers_of_sizes_is_best_fit():
+    rng = random.Random(21)
+    for capacity in (5, 10, 64, 1024) * 10:
+        counts = {s: rng.randrange(1, 40) for s in rng.sample(range(1, capacity), rng.randrange(min(capacity, 200)))}
+        places, by_size = {}, {}
+        for size, *run in packing.match(counts, capacity):
+            by_size.setdefault(size, []).append(run)
+        for size, found in by_size.items():
+            for (rank, each, b, at), (end, *_) in zip(found, [*found[1:], [counts[size]]]):
+                for k in range(end - rank):
+                    places.setdefault(b + k // each, []).append((at + k % each * size, size))
+        assert all(at == sum(s for _, s in sorted(p)[:i]) for p in places.values() for i, (at, _) in enumerate(sorted(p)))
+        sizes = [s for s, n in counts.items() for _ in range(n)]
+        loads = [sum(sizes[i] for i in b) for b in packing.best_fit(sizes, capacity)]
+        assert sorted(sum(s for _, s in p) for p in places.values()) == sorted(loads)
+
+
 def test_escapes_are_reversible_and_leave_no_control_string():
     rng = random.Random(3)
     parts = [*chat.CONTROL, "\\", "\\a", "\\b", "<", "[", "x", "</", "s>"]
