@@ -4,8 +4,10 @@ The CGK random walk reads a word sequence with a pointer that moves on, or
 not, by a random bit for each step and word; it turns a small edit distance
 into a small Hamming distance. Each repetition draws a walk, embeds every
 benchmark item and the item-sized windows of the documents, and compares a few
-sampled places of the embeddings by hash. Repetitions are added until the
-collision probability measured on edited items reaches the target recall.
+sampled places of the embeddings by hash. For each class of item lengths
+repetitions are added until, of its items edited at the full rate, the share
+that collides with itself reaches the target recall; the items counted are
+those that collide least.
 Colliding windows are verified by their exact edit distance.
 
 Windows which cannot be within the edit distance of any item, because they
@@ -31,6 +33,8 @@ from .common import chunks, table, utf8
 
 #: UTF-8 bytes of benchmark texts that one pass ships to the executors; more are done in passes.
 PASS_BYTES = 16 << 20
+#: Edited items that the repetitions of a class are measured on (at least), and repetitions at most.
+TRIALS, MOST_REPETITIONS = 512, 1_024
 _SPACES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -64,15 +68,14 @@ def edit_distance_within(item: list[int], text: list[int]) -> tuple[int, int]:
 class Plan:
     """Everything a worker needs for one pass over the documents."""
 
-    def __init__(self, items: list[tuple[int, list[int]]], vocabulary: dict[bytes, int], rate: float, seed: int, repetitions: int, sampled: int):
-        self.items, self.vocabulary, self.rate, self.seed, self.repetitions, self.sampled = items, vocabulary, rate, seed, repetitions, sampled
+    def __init__(self, items: list[tuple[int, list[int]]], vocabulary: dict[bytes, int], rate: float, seed: int, repetitions: dict[int, int], sampled: int):
+        #: Repetitions by number of words.
+        self.repetitions = repetitions
+        self.items, self.vocabulary, self.rate, self.seed, self.sampled = items, vocabulary, rate, seed, sampled
         self.lengths = np.array([len(ids) for _, ids in items], np.int64)
         self.most_edits = np.array([self.edits(n) for n in self.lengths.tolist()], np.int64)
         self.longest = int(self.lengths.max()) if items else 0
-        rng = np.random.default_rng(seed)
-        #: Sampled places as shares of twice the length: the embedding has three steps a word, and the walk has passed most words after two.
-        self.shares = np.sort(rng.random((repetitions, sampled)), axis=1)
-        self.salts = rng.integers(0, 1 << 32, (repetitions, 1 + 2 * max(1, self.longest)), np.uint32)
+        self.draw(max(repetitions.values(), default=0))
         width = np.int64(len(vocabulary) + 1)
         pairs = sorted({(int(a * width + b), k) for k, (_, ids) in enumerate(items) for a, b in zip(ids, ids[1:])})
         codes = np.array([c for c, _ in pairs], np.int64)
@@ -81,22 +84,31 @@ class Plan:
         self.pair_items = np.array([k for _, k in pairs], np.int64)
         self.table = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if items and repetitions:
-            rows = np.full((len(items), self.longest), -1, np.int64)
+            keys, owners = [], []
             for k, (_, ids) in enumerate(items):
-                rows[k, : len(ids)] = ids
-            keys = np.concatenate([self.keys(rows[i : i + 1024], self.lengths[i : i + 1024]) for i in range(0, len(items), 1024)])
-            owners = np.repeat(np.arange(len(items)), repetitions)
-            order = np.argsort(keys.ravel(), kind="stable")
-            self.table = keys.ravel()[order], owners[order]
+                many = repetitions[len(ids)]
+                keys.append(self.keys(np.array([ids], np.int64), self.lengths[k : k + 1], 0, many)[0])
+                owners.append(np.full(many, k))
+            keys, owners = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(keys, kind="stable")
+            self.table = keys[order], owners[order]
+
+    def draw(self, repetitions: int) -> None:
+        """The walks; each has random numbers of its own, however many there are and however long the items."""
+        turns = [np.random.default_rng((self.seed, turn)) for turn in range(repetitions)]
+        #: Sampled places as shares of twice the length: the embedding has three steps a word, and the walk has passed most words after two.
+        self.shares = np.array([np.sort(rng.random(self.sampled)) for rng in turns]).reshape(-1, self.sampled)
+        self.salts = np.array([rng.integers(0, 1 << 32, 1 + 2 * max(1, self.longest), np.uint32) for rng in turns], np.uint32).reshape(repetitions, 1 + 2 * max(1, self.longest))
 
     def edits(self, n: int) -> int:
         return floor(n * self.rate + 1e-9)
 
-    def keys(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """(windows, repetitions): a hash of the sampled places of each window's embedding. Rows are padded with -1."""
-        m, turns = len(windows), np.arange(self.repetitions)
+    def keys(self, windows: np.ndarray, lengths: np.ndarray, low: int, high: int) -> np.ndarray:
+        """(windows, repetitions from low to high): a hash of the sampled places of each window's embedding. Rows are padded with -1."""
+        m, turns, columns = len(windows), np.arange(low, high), np.arange(high - low)
+        shares, salts = self.shares[low:high], self.salts[low:high]
         padded = np.concatenate([windows, np.full((m, 1), -1, windows.dtype)], axis=1)
-        places = np.minimum((self.shares[None] * (2 * lengths)[:, None, None]).astype(np.int64), np.maximum(2 * lengths - 1, 0)[:, None, None])
+        places = np.minimum((shares[None] * (2 * lengths)[:, None, None]).astype(np.int64), np.maximum(2 * lengths - 1, 0)[:, None, None])
         steps = int(places.max()) + 1
         rows = np.arange(m)[:, None]
         flat, first = padded.astype(np.int32).ravel(), (rows * padded.shape[1]).astype(np.int32)
@@ -105,30 +117,77 @@ class Plan:
         embedded = np.empty((steps, m, len(turns)), np.int32)
         for step in range(steps):
             seen = flat.take(pointer, out=embedded[step])
-            mix = (seen.view(np.uint32) ^ self.salts[:, step]) * np.uint32(0x9E3779B1)
+            mix = (seen.view(np.uint32) ^ salts[:, step]) * np.uint32(0x9E3779B1)
             pointer = np.minimum(pointer + (mix >> np.uint32(31)).astype(np.int32), stop)
         key = lengths.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + turns.astype(np.uint64)[None, :]
         for j in range(self.sampled):
-            key = (key ^ embedded[places[:, :, j], rows, turns[None, :]].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            key = (key ^ embedded[places[:, :, j], rows, columns[None, :]].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
             key ^= key >> np.uint64(29)
         return key
 
 
+def _edited(ids: list[int], edits: int, words: int, rng: random.Random) -> list[int]:
+    """The item after so many random edits, as a window of its own length."""
+    n, new = len(ids), list(ids)
+    for _ in range(edits):
+        kind, p = rng.randrange(3), rng.randrange(max(1, len(new)))
+        new[p : p + (kind != 1)] = [rng.randrange(1, words + 1)] if kind != 2 else []
+    return (new + [0] * n)[:n]
+
+
+def _class(n: int) -> int:
+    """Lengths of one class have about the same share of edits."""
+    return n if n < 25 else 25 + floor(log(n / 25) / log(1.15))
+
+
+def _repetitions(items: list[list[int]], probe: Plan, recall: float, rng: random.Random) -> int:
+    """How many repetitions the items of one class need to meet themselves after all edits that they allow."""
+
+    def met(pairs: list[tuple[list[int], list[int]]], low: int, high: int) -> np.ndarray:
+        out = []
+        many = max(1, (1 << 22) // ((2 * max(len(a) for a, _ in pairs) + 1) * (high - low)))
+        for at in range(0, len(pairs), many):
+            part = pairs[at : at + many]
+            lengths = np.array([len(a) for a, _ in part])
+            rows = [np.full((len(part), int(lengths.max())), -1, np.int64) for _ in range(2)]
+            for k, pair in enumerate(part):
+                for r, ids in zip(rows, pair):
+                    r[k, : len(ids)] = ids
+            out.append(probe.keys(rows[0], lengths, low, high) == probe.keys(rows[1], lengths, low, high))
+        return np.concatenate(out)
+
+    def trials(some: list[list[int]], many: int) -> list[tuple[list[int], list[int]]]:
+        return [(ids, _edited(ids, probe.edits(len(ids)), len(probe.vocabulary), rng)) for ids in some for _ in range(ceil(many / len(some)))]
+
+    seen = met(trials(items, 64), 0, 16).mean(axis=1).reshape(len(items), -1).mean(axis=1)
+    hard = [items[k] for k in np.argsort(seen, kind="stable")[: min(ceil(len(items) / 4), TRIALS)].tolist()]
+    open_, at = trials(hard, TRIALS), 0
+    allowed = (1 - recall) * len(open_)
+    while at < MOST_REPETITIONS:
+        hits = met(open_, at, at + 16)
+        for turn in range(16):
+            left = int((~hits[:, : turn + 1].any(axis=1)).sum())
+            if left + left**0.5 <= allowed:
+                return max(4, at + turn + 1)
+        open_, at = [p for p, h in zip(open_, hits.any(axis=1)) if not h], at + 16
+    raise ValueError(f"items of {len(hard[0])} words don't reach a recall of {recall} in {MOST_REPETITIONS} repetitions")
+
+
 def plan_for(items: list[tuple[int, list[bytes]]], rate: float, recall: float, seed: int = 7, sampled: int = 2) -> Plan:
-    """Repetitions follow from how often items that were edited at the full rate collide with themselves."""
+    """Repetitions for each class of lengths; an item that allows no edit meets itself in any one."""
     vocabulary: dict[bytes, int] = {}
     numbered = [(i, [vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws]) for i, ws in items]
-    rng, probe = random.Random(seed), Plan(numbered, vocabulary, rate, seed, 16, sampled)
-    hits = tries = 0
-    for _, ids in rng.sample(numbered, min(64, len(numbered))):
-        n, new = len(ids), list(ids)
-        for _ in range(probe.edits(n)):
-            kind, p = rng.randrange(3), rng.randrange(max(1, len(new)))
-            new[p : p + (kind != 1)] = [rng.randrange(1, len(vocabulary) + 1)] if kind != 2 else []
-        keys = probe.keys(np.array([ids, (new + [0] * n)[:n]], np.int64), np.array([n, n]))
-        hits, tries = hits + int((keys[0] == keys[1]).sum()), tries + keys.shape[1]
-    p = max((hits - hits**0.5) / tries if tries else 1, 0.02)
-    return Plan(numbered, vocabulary, rate, seed, max(4, ceil(log(1 - recall) / log(1 - min(p, 0.9)))), sampled)
+    classes: dict[int, list[list[int]]] = {}
+    plain = Plan([], {}, rate, seed, {}, sampled)
+    for _, ids in numbered:
+        if plain.edits(len(ids)):
+            classes.setdefault(_class(len(ids)), []).append(ids)
+    rng, needed = random.Random(seed), {}
+    for c, lists in sorted(classes.items()):
+        probe = Plan([(0, max(lists, key=len))], vocabulary, rate, seed, {}, sampled)
+        probe.draw(MOST_REPETITIONS)
+        needed[c] = _repetitions(lists, probe, recall, rng)
+    return Plan(numbered, vocabulary, rate, seed, {n: needed[_class(n)] if plain.edits(n) else 1 for n in {len(ids) for _, ids in numbered}}, sampled)
 
 
 def _gated(ids: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -188,12 +247,19 @@ def matches(texts: list[bytes], plan: Plan, block: int = 1_024) -> Iterator[tupl
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     all_starts, all_lengths = _gated(ids, plan)
     known, owners = plan.table
-    for at in range(0, len(all_starts), block):
-        starts, lengths = all_starts[at : at + block], all_lengths[at : at + block]
+    many = np.zeros(plan.longest + 1, np.int64)
+    many[list(plan.repetitions)] = list(plan.repetitions.values())
+    order = np.lexsort((all_starts, all_lengths, many[all_lengths]))
+    all_starts, all_lengths = all_starts[order], all_lengths[order]
+    turns = many[all_lengths]
+    cuts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), len(turns)]
+    blocks = [(at, min(at + block, high)) for low, high in zip(cuts, cuts[1:]) for at in range(low, high, block)]
+    for at, stop in blocks:
+        starts, lengths = all_starts[at:stop], all_lengths[at:stop]
         owner = np.searchsorted(ends, starts, side="right")
         place = starts[:, None] + np.arange(int(lengths.max()))[None, :]
         inside = place < np.minimum(ends[owner], starts + lengths)[:, None]
-        keys = plan.keys(np.where(inside, ids[np.minimum(place, len(ids) - 1)], -1), lengths)
+        keys = plan.keys(np.where(inside, ids[np.minimum(place, len(ids) - 1)], -1), lengths, 0, int(turns[at]))
         low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
         pairs = {(w, int(k)) for w, r in np.argwhere(high > low).tolist() for k in owners[low[w, r] : high[w, r]]}
         for w, k in sorted(pairs):

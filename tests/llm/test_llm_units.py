@@ -155,6 +155,27 @@ def test_edited_items_are_found_and_others_not():
     assert not list(decontaminate.matches([b"", b"  "], plan)) and not list(decontaminate.matches([b"a b"], decontaminate.plan_for([], 0.2, 0.99)))
 
 
+@pytest.mark.parametrize("lengths", [[3] * 100 + [300] * 20, [3] * 400 + list(range(15, 60))])
+def test_recall_at_all_edits_on_a_mixed_benchmark(lengths):
+    rng = random.Random(22)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(n) for n in lengths]
+    plan = decontaminate.plan_for([(i, [w.encode() for w in x]) for i, x in enumerate(items)], 0.2, 0.99)
+    found = 0
+    for _ in range(100):
+        k = rng.choice([k for k, n in enumerate(lengths) if n >= 5])
+        new = list(items[k])
+        for _ in range(plan.edits(len(new))):
+            kind, p = rng.randrange(3), rng.randrange(len(new))
+            new[p : p + (kind != 1)] = [rng.choice(vocabulary)] if kind != 2 else []
+        doc = text(30) + new + items[0] + text(30)
+        got = {r[1] for r in decontaminate.matches([" ".join(doc).encode()], plan)}
+        assert 0 in got
+        found += k in got
+    assert found >= 97
+
+
 def test_minimisers_and_hashes():
     rng = np.random.default_rng(6)
     words = rng.integers(0, 1 << 62, 400, np.uint64)
