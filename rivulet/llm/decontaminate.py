@@ -24,12 +24,13 @@ from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import chunks, table, utf8
+from .common import chunks, materialise, table, utf8
 
 #: UTF-8 bytes of benchmark texts that one pass ships to the executors; more are done in passes.
 PASS_BYTES = 16 << 20
@@ -282,6 +283,15 @@ def matches(texts: list[bytes], plan: Plan, block: int = 1_024) -> Iterator[tupl
 _OUT = "item_id {item}, edits int, item_words int, similarity double, first_word int, end_word int"
 
 
+def _plans(probe: DataFrame, similarity: float, recall: float) -> Iterator[Broadcast]:
+    """A plan for each pass over the documents, from ``(item_id, text)``."""
+    passes = max(1, ceil((probe.agg(F.sum(F.length("text"))).first()[0] or 0) / PASS_BYTES))
+    for turn in range(passes):
+        rows = probe.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == turn).collect()
+        items = [(r["item_id"], ws) for r in rows if (ws := words_of(bytes(r["text"])))]
+        yield probe.sparkSession.sparkContext.broadcast(plan_for(items, 1 - similarity, recall))
+
+
 def contaminations(
     docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99,
     id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -300,12 +310,8 @@ def contaminations(
     kinds = dict(kept.dtypes)
     ddl = f"`{id}` {kinds[id]}, {_OUT.format(item=dict(probe.dtypes)['item_id'])}"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
-    passes = max(1, ceil((probe.agg(F.sum(F.length("text"))).first()[0] or 0) / PASS_BYTES))
     out = None
-    for turn in range(passes):
-        rows = probe.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == turn).collect()
-        items = [(r["item_id"], ws) for r in rows if (ws := words_of(bytes(r["text"])))]
-        shipped = docs.sparkSession.sparkContext.broadcast(plan_for(items, 1 - similarity, recall))
+    for shipped in _plans(probe, similarity, recall):
 
         def run(batches: Iterable[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             plan = shipped.value
@@ -326,7 +332,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found. A document without a doc_id stays."""
-    gone = contaminations(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """The documents in which no benchmark item is found, judged inside their own scan: no join, so any id, null or repeated, will do.
+
+    Where the benchmark takes several passes, what a pass keeps is written
+    before the next one, so a worker holds one pass's items at a time.
+    """
+    probe = benchmark.select("item_id", utf8("text").alias("text"))
+    kept = docs
+    for turn, shipped in enumerate(_plans(probe, similarity, recall)):
+
+        def run(batches: Iterable[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, "text"):
+                texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                gone = {doc for doc, *_ in matches(texts, shipped.value)}
+                yield batch.filter(pa.array([k not in gone for k in range(len(texts))]))
+
+        kept = (materialise(kept, "clean") if turn else kept).mapInArrow(run, docs.schema)
+    return kept

@@ -123,6 +123,18 @@ def test_decontaminate(spark, docs):
     assert decontaminate.contaminations(docs, bench.limit(0)).count() == 0 and decontaminate.contaminations(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("pass_bytes", [1 << 24, 150])
+def test_cleaning_needs_no_id(spark, monkeypatch, pass_bytes):
+    """A leak in a row without an id goes; a clean row stays though another of its id has a leak."""
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", pass_bytes)
+    items = [prose(30), prose(30), prose(3)]
+    texts = [(None, items[0]), (None, prose(50)), (1, prose(20) + " " + items[1]), (1, prose(60)), (2, prose(9) + " " + items[2] + " " + prose(9)), (3, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    kept = sorted(map(repr, map(tuple, decontaminate.clean(df, bench).collect())))
+    assert kept == sorted(map(repr, [texts[1], texts[3], texts[5]]))
+
+
 def test_toxicity(spark):
     rng = random.Random(12)
     rows = []
