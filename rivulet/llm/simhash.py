@@ -29,6 +29,11 @@ from .components import connected_components
 
 #: Variants that a cell holds on average, and at most at once in memory.
 CELL_VARIANTS, MOST_VARIANTS = 2_000_000, 4_000_000
+#: Short SimHashes of ``similar`` and their bits (two sets of similarity 0.8 are within two bits by one of them with probability 0.99), how many are
+#: dealt out at a time, and fingerprints of a cell on average.
+TURNS, BITS, AT_A_TIME, CELL_PRINTS = 36, 32, 12, 1 << 18
+#: Of 128 bits, two sets of similarity 0.8 differ in 19 on average (deviation 4), unrelated ones in 64 (deviation 6).
+CLOSE = 40
 
 
 def simhash(text: bytes, size: int = 4, seed: int = 42) -> int:
@@ -212,8 +217,164 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
-    """The documents without all but one of each near-duplicate group: the least doc_id stays.
+def shingles(text: bytes, size: int = 5) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, sorted; a shorter text is one shingle, one without words has none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    many = max(1, len(words) - size + 1)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(many)], np.uint64))
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+_WORDS = TURNS * BITS // 64 + 2
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """``TURNS`` independent SimHashes of ``BITS`` bits and one of 128, as 64-bit words."""
+    salts = np.arange(1, _WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    count = np.zeros(64 * _WORDS, np.int64)
+    for at in range(0, len(hashes), 255):
+        x = hashes[at : at + 255, None] + salts[None, :]
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        count += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)
+
+
+def candidates(moved: np.ndarray, budget: np.ndarray, fixed: int, checks: np.ndarray) -> np.ndarray:
+    """Pairs (of places) that share a variant and whose 128-bit SimHashes agree in most bits.
+
+    In a run of equal variants the first is paired with all that are close to
+    it, and each of these with the one before it; those that are far from it
+    make a run of their own. So a group costs its size, not its square.
+    """
+    free = np.flatnonzero(budget > 0)
+    flips = np.uint64(1) << np.arange(fixed, BITS, dtype=np.uint64)
+    variants = np.concatenate([moved, (moved[free, None] ^ flips[None, :]).ravel()])
+    own = np.concatenate([np.arange(len(moved)), np.repeat(free, len(flips))])
+    order = np.argsort(variants, kind="stable")
+    variants, own = variants[order], own[order]
+    out = [np.zeros((0, 2), np.int64)]
+    while len(own) > 1:
+        begins = np.concatenate([[True], variants[1:] != variants[:-1]])
+        many = np.add.reduceat(np.ones(len(own), np.int64), np.flatnonzero(begins))
+        keep = np.repeat(many > 1, many)
+        variants, own, begins = variants[keep], own[keep], begins[keep]
+        if not len(own):
+            break
+        first = own[np.maximum.accumulate(np.where(begins, np.arange(len(own)), 0))]
+        near = np.bitwise_count(checks[own] ^ checks[first]).sum(axis=1) <= CLOSE
+        out.append(np.stack([first, own], axis=1)[near & (own != first)])
+        v, o = variants[near], own[near]
+        next_ = np.flatnonzero(v[1:] == v[:-1])
+        out.append(np.stack([o[next_], o[next_ + 1]], axis=1))
+        out = [np.unique(np.sort(np.concatenate(out), axis=1), axis=0)]
+        variants, own = variants[~near], own[~near]
+    return out[0][out[0][:, 0] != out[0][:, 1]]
+
+
+def _meeting(reps: DataFrame, low: int, turns: range) -> DataFrame:
+    """``(a, b)``: keys of candidates by some of the short SimHashes, dealt into cells by their low bits as in ``links``."""
+    masks = _patterns(range(low), 1)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4_096):
+                batch = whole.slice(at, 4_096)
+                words = np.array([np.frombuffer(x, np.uint64) for x in batch.column("sketch").to_pylist()])
+                short = words.view(np.uint32)[:, turns.start : turns.stop].astype(np.uint64)
+                m, shape = len(words), (len(words), len(turns), len(masks))
+                cells = (short[:, :, None] ^ masks) & np.uint64((1 << low) - 1) | (np.array(turns, np.uint64) << np.uint64(32))[None, :, None]
+                each = lambda x: pa.array(np.broadcast_to(x, shape).ravel().view(np.int64))
+                key = batch.column("key").to_numpy().reshape(m, 1, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [each(cells), each(key), each(short[:, :, None]), *[each(words[:, k].reshape(m, 1, 1)) for k in (-2, -1)]], ["cell", "key", "fp", "c0", "c1"]
+                )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(parts: list[np.ndarray]) -> pa.RecordBatch:
+            cell, key, own, *checks = np.concatenate(parts, axis=1)
+            own, checks = own.view(np.uint64), np.stack(checks, axis=1).view(np.uint64)
+            moved = own >> np.uint64(low) << np.uint64(low) | np.uint64(int(cell[0]) & ((1 << low) - 1))
+            pairs = candidates(moved, 1 - np.bitwise_count(own ^ moved).astype(np.int8), low, checks)
+            return pa.RecordBatch.from_arrays([pa.array(key[pairs[:, 0]]), pa.array(key[pairs[:, 1]])], ["a", "b"])
+
+        parts: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.array([c.to_numpy() for c in batch.columns])
+            for part in np.split(rows, np.flatnonzero(np.diff(rows[0])) + 1, axis=1):
+                if not part.shape[1]:
+                    continue
+                if parts and parts[0][0, 0] != part[0, 0]:
+                    yield close(parts)
+                    parts = []
+                parts.append(part)
+        if parts:
+            yield close(parts)
+
+    sent = reps.select("key", "sketch").mapInArrow(deal, "cell long, key long, fp long, c0 long, c1 long")
+    return sent.repartition(min(len(turns) << low, 16_384), "cell").sortWithinPartitions("cell", "key").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(id, component_id)`` for every row: the least id that links of at least that Jaccard similarity of shingle sets reach.
+
+    Rows of equal sets meet in one. Candidates are those within two bits by one
+    of ``TURNS`` short SimHashes, found by ball hashing; each is verified on
+    the shingles themselves. ``id`` has to tell the rows apart. ``docs`` is
+    read twice.
+    """
+
+    def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "_text"):
+            sets = [shingles(t.as_py(), size) for t in batch.column("_text")]
+            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets], np.uint64).view(np.int64)
+            sketches = pa.array([sketch(x).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(keys), sketches], [id, "key", "sketch"])
+
+    def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(chunks(batches, "_a"), "_b"):
+            last, known, keep = None, None, []
+            for a, t, u in zip(batch.column("a").to_pylist(), batch.column("_a"), batch.column("_b")):
+                if a != last:
+                    last, known = a, shingles(t.as_py(), size)
+                keep.append(similarity_of(known, shingles(u.as_py(), size)) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    spark = docs.sparkSession
+    kept = docs.select(F.col(f"`{id}`"), utf8(f"`{text}`").alias("_text"))
+    marks = materialise(kept.mapInArrow(marked, f"`{id}` {dict(kept.dtypes)[id]}, key long, sketch binary"), "sketches")
+    reps = materialise(marks.groupBy("key").agg(F.min(id).alias("least"), F.first("sketch").alias("sketch")), "distinct")
+    low, n = 0, reps.count()
+    while low < 24 and n > CELL_PRINTS << low:
+        low += 1
+    met = None
+    for at in range(0, TURNS, AT_A_TIME):
+        part = materialise(_meeting(reps, low, range(at, min(TURNS, at + AT_A_TIME))).distinct(), "met")
+        met = part if met is None else met.unionByName(part)
+    pairs = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = reps.join(nodes, "key", "left_semi").select("key", F.col("least").alias("_least"))
+    texts = materialise(kept.join(wanted, F.col(id).eqNullSafe(F.col("_least"))).select("key", "_text"), "texts")
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("_text").alias("_a")), "a").join(
+        texts.select(F.col("key").alias("b"), F.col("_text").alias("_b")), "b")
+    roots = connected_components(both.mapInArrow(verified, "a long, b long"))
+    release_shuffles(spark)
+    rooted = reps.join(roots, reps["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    label = rooted.select("key", "root").join(least, "root").select("key", "component_id")
+    return marks.select(id, "key").join(label, "key").select(F.col(id), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without all but one of each group of ``similar`` ones: the least doc_id stays.
 
     Of repeated rows with that doc_id the first read stays; a row without a
     doc_id stays only where no other is in its group. ``docs`` is read twice
@@ -223,6 +384,6 @@ def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     (row,) = fresh(docs, "_row")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     named = rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("_row")).alias("_doc"), "text")
-    found = near_duplicates(named, id="_doc", size=size, radius=radius)
+    found = similar(named, id="_doc", size=size, similarity=similarity)
     gone = found.where(F.col("_doc._row") != F.col("component_id._row")).select(F.col("_doc._row").alias(row))
     return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -74,6 +74,32 @@ def test_near_duplicates_against_brute_force(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_similar_documents_against_brute_force(spark):
+    """Five-word shingle sets of 0.8 or more are linked, others never."""
+    rng = random.Random(23)
+    texts = ["", None, " ", "one two", "ONE  two", "one two three"]
+    for n in (40, 120, 300) * 8:
+        base = [rng.choice(WORDS) for _ in range(n)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 5, 8):
+            new = list(base)
+            for at in rng.sample(range(n), max(1, changes * n // 120)):
+                new[at] = rng.choice(WORDS)
+            texts.append(" ".join(new))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [simhash.shingles((t or "").encode()) for t in texts]
+    group = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if simhash.similarity_of(sets[a], sets[b]) >= 0.8 and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    got = dict(map(tuple, simhash.similar(df).collect()))
+    apart = sum(got[i] != g for i, g in enumerate(group))
+    assert all(group[got[i]] == g for i, g in enumerate(group)) and apart <= 1 and len(set(group)) < len(texts) - 40
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(got.values())
+
+
 def test_packing(spark, docs):
     got = packing.pack(docs).collect()
     by_seq, by_doc = {}, {}
