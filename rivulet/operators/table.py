@@ -2,15 +2,16 @@
 
 A table is a base DataFrame, whose rows have fixed places, and a piece list
 that says which stretches of it are still there and which rows were put
-between them. Every mutation edits the list on the driver and launches no job;
-reads lay the list over the base. When it grows too long, or too many rows
-wait on the driver, it is written into a new base.
+between them. Every mutation edits the list on the driver; only one that
+touches a row of the base reads it, by a scan pruned to that row. Reads lay the
+list over the base. When it grows too long, or too many rows wait on the
+driver, it is written into a new base.
 """
 
 from __future__ import annotations
 
 import weakref
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.aggregates import whole_column
 from ..functions.predicate import compile_predicate, parse
+from ..sources.storage import materialise, numbered
 from ..types import ColumnType, Schema, convert
 
 #: Rows that wait on the driver, and pieces of the list, before a new base is written.
@@ -104,21 +106,6 @@ class ChangeLog:
         self._events = self._events[: max(0, total - self._base)]
 
 
-def with_positions(df: DataFrame) -> DataFrame:
-    """Numbers the rows from 0 in the frame's order: one count per partition, no shuffle of rows."""
-    spark = df.sparkSession
-    numbered = df.withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33).cast("int")
-    counts = sorted((r["p"], r["n"]) for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    ahead, rows = 0, []
-    for p, n in counts:
-        rows.append((p, ahead))
-        ahead += n
-    starts = spark.createDataFrame(rows or [(0, 0)], "p int, ahead long")
-    place = F.col("ahead") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.join(F.broadcast(starts), part == F.col("p")).withColumn(POSITION, place).drop("__m", "p", "ahead")
-
-
 class Table:
     """A typed root table. Its own reads see every change at once; views see it as of the last tick."""
 
@@ -128,6 +115,7 @@ class Table:
         self._name, self.schema, self._interned = name, schema, use_string_interning
         self.spark = spark or SparkSession.active()
         self._base: DataFrame | None = None
+        self._at: Callable[[int], DataFrame] | None = None
         self._pieces: list[Stretch | Held] = []
         self._updates: dict[int, dict[str, Any]] = {}
         self._next_id, self._version = 0, 0
@@ -139,10 +127,11 @@ class Table:
 
     @classmethod
     def from_dataframe(cls, name: str, df: DataFrame, **options: Any) -> Table:
-        """A root table over a DataFrame (e.g. Parquet); it is only counted, not collected."""
+        """A root table over a DataFrame: Parquet files are only counted, other frames written once; nothing is collected."""
         table = cls(name, Schema.from_spark(df.schema), spark=df.sparkSession, **options)
-        table._rebase(with_positions(df).withColumn(ROW_ID, F.col(POSITION)))
-        table._next_id = len(table)
+        base, n, at = numbered(df, POSITION)
+        table._rebase(base.withColumn(ROW_ID, F.col(POSITION)), n, lambda place: at(place).withColumn(ROW_ID, F.col(POSITION)))
+        table._next_id = n
         return table
 
     @classmethod
@@ -170,9 +159,8 @@ class Table:
         table.append_rows([dict(zip(names, r)) for r in rows])
         return table
 
-    def _rebase(self, base: DataFrame) -> None:
-        n = base.count()
-        self._base, self._pieces, self._updates = base, [Stretch(0, n)] if n else [], {}
+    def _rebase(self, base: DataFrame, n: int, at: Callable[[int], DataFrame]) -> None:
+        self._base, self._at, self._pieces, self._updates = base, at, [Stretch(0, n)] if n else [], {}
 
     # -- metadata
 
@@ -316,7 +304,8 @@ class Table:
         self._settle()
 
     def _base_row(self, place: int) -> dict[str, Any]:
-        return self._base.where(F.col(POSITION) == place).first().asDict()
+        """One row of the base: its file and number in it, or the stored place, prune the scan."""
+        return self._at(place).first().asDict()
 
     def _settle(self) -> None:
         held = sum(len(p) for p in self._pieces if isinstance(p, Held))
@@ -325,10 +314,9 @@ class Table:
 
     def flush(self) -> None:
         """Writes the table as it is into a new base and lets the old lineage go."""
-        from ..sources.storage import materialise
-
-        df = self.to_df(hidden=True)
-        self._rebase(materialise(df, f"table-{self._name}"))
+        n = len(self)
+        base = materialise(self.to_df(hidden=True), "table")
+        self._rebase(base, n, lambda place: base.where(F.col(POSITION) == place))
         self._snapshot = None
 
     # -- reads

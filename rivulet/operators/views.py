@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import numbered
 from .relational import (
     JoinType, SortKey, add_column, filter_rows, group_rows, hidden, join_rows, order_of, select_columns, sort_keys, visible,
 )
@@ -37,6 +38,7 @@ class View:
         self._cursors: dict[int, int] = {}
         self._syncs, self._parents_at = 0, ()
         self._pinned: DataFrame | None = None
+        self._placed: tuple[int, DataFrame] | None = None
         self.refresh()
 
     def build(self) -> DataFrame:
@@ -94,12 +96,15 @@ class View:
     def ordered(self) -> DataFrame:
         """The rows with their place in a column ``__at``.
 
-        Numbering needs a total order, so the rows meet in one window: only
-        what reads by place asks for it.
+        They are sorted by ranges and written once, then numbered by the counts
+        of the written parts: no task holds more than its range. Only what
+        reads by place asks for it, and it is kept until the view changes.
         """
         df = self.frame()
-        order = self.order() or [F.lit(0)]
-        return df.withColumn(_AT, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+        if self._placed is None or self._placed[0] != self._syncs:
+            rows = df.orderBy(*self.order()) if self.order() else df
+            self._placed = self._syncs, numbered(rows, _AT)[0]
+        return self._placed[1]
 
     def order(self) -> list:
         return order_of(self.frame())
@@ -227,6 +232,20 @@ class JoinView(View):
         return join_rows(left, right, how=self.how, left_on=self.keys[0], right_on=self.keys[1], strict_types=self.strict)
 
 
+def _literal(value: Any):
+    return F.struct(*[_literal(v).alias(n) for n, v in value.asDict().items()]) if isinstance(value, Row) else F.lit(value)
+
+
+def _before(df: DataFrame, names: Sequence[str], row: Row):
+    """Whether a row of ``df`` comes before that one in order of the columns, nulls last."""
+    out = F.lit(False)
+    for n in reversed(names):
+        c = F.col(f"`{n}`")
+        v = _literal(row[n]).cast(df.schema[n].dataType)
+        out = c.isNotNull() | out if row[n] is None else (c < v) | ((c == v) & out)
+    return F.coalesce(out, F.lit(False))
+
+
 class SortedView(View):
     def __init__(self, name: str, parent: Table | View, keys: Sequence[SortKey]):
         self.keys = list(keys)
@@ -253,9 +272,11 @@ class SortedView(View):
         if isinstance(parent, Table):
             row = df.where(F.col(_AT) == index).select(f"__s{POSITION[2:]}").first()
             return row[0] if row else None
-        places = self.frame().withColumn("__p", F.row_number().over(Window.orderBy(*order_of(self.frame()))).cast("long") - 1)
-        row = places.withColumn(_AT, F.row_number().over(Window.orderBy(*self.order())).cast("long") - 1).where(F.col(_AT) == index).first()
-        return row["__p"] if row else None
+        row = df.where(F.col(_AT) == index).first()
+        if row is None:
+            return None
+        frame = self.frame()
+        return frame.where(_before(frame, hidden(frame), row)).count()
 
 
 class AggregateView(View):

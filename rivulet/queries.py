@@ -103,6 +103,18 @@ def filter_expr_indices(spark, sf):
     return spark.createDataFrame([(i,) for i in table.filter_expr("c_acctbal > 9000")], "i long")
 
 
+@_query("""SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS place, l_orderkey, l_linenumber, l_quantity, l_comment_length FROM
+  (SELECT *, length(l_returnflag || l_linestatus) AS l_comment_length FROM lineitem)""")
+def root_over_sorted_lineitem(spark, sf):
+    """Every row of a root over an ordered, shuffled frame, with its place."""
+    from .operators.table import POSITION
+
+    df = read_table(spark, sf, "lineitem").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    df = df.select("l_orderkey", "l_linenumber", "l_quantity", F.length(F.concat("l_returnflag", "l_linestatus")).cast("long").alias("l_comment_length"))
+    rows = Table.from_dataframe("lineitem", df).to_df(hidden=True)
+    return rows.select(F.col(POSITION).alias("place"), "l_orderkey", "l_linenumber", "l_quantity", "l_comment_length")
+
+
 # -- projections and computed columns
 
 

@@ -3,6 +3,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from rivulet.operators.delta import IncrementalFilter, IncrementalGroup, IncrementalJoin
 from rivulet.operators.relational import filter_rows, group_rows, join_rows
 from rivulet.operators.table import Table
@@ -153,3 +155,33 @@ def test_csv_files(spark, tmp_path):
     (tmp_path / "x.csv").write_text("i,f,s,d\n1,2.5,a,2024-01-01\n2,3,,2024-02-02\n")
     df = read_csv_files(spark, str(tmp_path / "x.csv"))
     assert [t for _, t in df.dtypes] == ["int", "double", "string", "date"] and df.where("s IS NULL").count() == 1
+
+
+def test_ordered_wide_base_keeps_every_row(spark):
+    """An ordered base is laid out anew each time it is computed; the table's places must not depend on that."""
+    n = 300_000
+    wide = spark.range(0, n, 1, 6).select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("k"), "id", *[F.concat(F.lit("x" * i), F.col("id")).alias(f"c{i}") for i in range(8)])
+    t = Table.from_dataframe("wide", wide.orderBy("k", "id"))
+    assert len(t) == n and t.to_df().count() == n
+    ks = t.to_df(hidden=True).select("k", "id", "__pos").orderBy("__pos").toPandas()
+    assert ks["__pos"].tolist() == list(range(n)) and list(zip(ks["k"], ks["id"])) == sorted(zip(ks["k"], ks["id"]))
+    kept = t.filter("id >= 299000")
+    assert len(t.filter_expr("id >= 299000")) == len(kept) == 1000
+    assert [r["id"] for r in t[5:8]] == ks["id"].tolist()[5:8] and t[n - 1]["id"] == ks["id"].iloc[-1]
+    top = t.sort("id", True)
+    assert [r["id"] for r in top[1000:1003]] == [n - 1001, n - 1002, n - 1003]
+    assert top.get_parent_index(0) == ks["id"].tolist().index(n - 1)
+
+
+def test_root_over_files_is_neither_copied_nor_scanned_for_a_row(spark, tmp_path):
+    spark.range(0, 1000, 1, 4).selectExpr("id", "id * 2 AS v").write.parquet(str(tmp_path / "t"))
+    t = Table.from_dataframe("t", spark.read.parquet(str(tmp_path / "t")).withColumn("w", F.col("v") + 1))
+    assert sorted(r["id"] for r in t) == list(range(1000)) and t[700] == list(t)[700]
+    assert all(f.startswith((tmp_path / "t").as_uri()[:8]) and "/t/" in f for f in t.to_df().inputFiles())
+    plan = t._at(700)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "row_index" in plan
+    t.set_value(700, "v", -1)
+    t.delete_row(0)
+    assert t[699]["v"] == -1 and len(t) == 999 == t.to_df().count()
+    nested = t.group_by("v", [("n", "id", "count")]).sort("n")
+    assert nested.get_parent_index(3) == 3
