@@ -1,9 +1,7 @@
-"""Shared folder, materialised tables and Arrow helpers of the operators."""
+"""Materialised tables and Arrow helpers of the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,63 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker turns into words at a time.
-CHUNK_BYTES = 2 << 20
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (one machine, as in tests) a temporary
-    folder takes its place.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    root = sc.getCheckpointDir()
-    if root is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rivulet-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/rivulet-{name}-{uuid.uuid4().hex}"
-
+from ..sources.storage import discard, materialise, read_table as table, shared_folder, shared_path, sweep
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it from there.
+__all__ = ["CHUNK_BYTES", "chunks", "discard", "fresh", "materialise", "release_shuffles", "shared_folder", "shared_path", "spread", "sweep", "table", "utf8"]
 
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    The write's own shuffle files go as soon as it has ended.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    try:
-        spark.conf.set(_CLEANUP, "true")
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = shared_folder(spark)
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/rivulet-" in folder and folder.split("/rivulet-")[0].rstrip("/").endswith(root.split(":", 1)[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+#: Bytes of text that a Python worker turns into words at a time.
+CHUNK_BYTES = 2 << 20
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_order_minhash": order_minhash.query,
 }
 
-SQL = {"op1_url_filter": url_filter.SQL, "op4_chat_format": chat.SQL, "op9_warc": warc.SQL}
+SQL = {"op1_url_filter": url_filter.SQL, "op4_chat_format": chat.SQL, "op8_repeats": repeats.SQL, "op9_warc": warc.SQL}

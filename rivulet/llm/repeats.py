@@ -1,17 +1,21 @@
 """Repeated passages by sparse suffix arrays.
 
-A word position is kept where its ``K``-word gram is a minimiser: the least
-hash of some ``W`` grams in a row. Two equal passages of ``LEAST = K + W - 1``
-words or more keep the same positions, so it is enough to store the suffixes
-there, one word in sixteen. Suffixes whose gram occurs once are dropped. The
-others are extended to the left and right to all ``LEAST``-word stretches of
-which they are the minimiser, sorted by the stretch, and each one is compared
-with its neighbour: equal neighbours are copies, the first in order of
-document and place is the original.
-
-Stretches that are equal within a task are combined before they are
-exchanged, so a passage in a third of all documents sends one row a task.
-Sorted rows are streamed; no group is held in memory.
+A word position is kept where its ``K``-word gram is a minimiser: the first
+one of least hash of some ``W`` grams in a row. Two equal passages of ``LEAST =
+K + W - 1`` words or more keep the same positions, so only the suffixes there
+are needed, one word in sixteen. Suffixes whose gram occurs once are dropped.
+The others are sent with their words to the task of their gram, sorted as
+texts, and compared with their neighbours word by word: the longest common
+prefixes of neighbours give the extension to the right, those of the texts
+before the positions, sorted backwards, the extension to the left. A stretch of
+``LEAST`` words around the position is a copy where some suffix shares as many
+words on both sides; the first place in order of document is the original.
+Hashes only choose and deal positions; what is equal is found on the words.
+
+Equal texts are one document before anything is compared. Grams of more than
+``OFTEN`` suffixes, e.g. of a licence in a third of all documents, aren't dealt
+by the gram: each of their stretches goes by its own words, and its first place
+is found by an aggregation that combines within each task.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +36,14 @@ from .common import CHUNK_BYTES, chunks, discard, fresh, materialise, release_sh
 #: A repeated passage has at least LEAST words, the gram at a minimiser K, a window of grams W.
 LEAST, K = 50, 20
 W = LEAST - K + 1
+#: Suffixes of a gram that one task compares at most; suffixes compared at once, but for the rest of a gram's; rows that leave a worker at once.
+OFTEN, AT_ONCE, OUT_ROWS = 1_024, 16_384, 8_192
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: What tells documents apart: the id, null or not, and the text by two hashes and its length.
+KEY = ["no_id", "doc", "h1", "h2", "bytes"]
+_TEXT = KEY[2:]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,7 +51,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def stretch_hashes(words: np.ndarray, size: int) -> np.ndarray:
+def gram_hashes(words: np.ndarray, size: int = K) -> np.ndarray:
     """Hash of the ``size`` words from each position on, by doubling; the last ``size - 1`` positions have none."""
     n = len(words) - size + 1
     if n <= 0:
@@ -51,7 +61,7 @@ def stretch_hashes(words: np.ndarray, size: int) -> np.ndarray:
         if size & width:
             done, length = (power if not length else _join(done, length, power)), length + width
         if length == size:
-            return done[:n]
+            return _mix(done[:n])
         power, width = _join(power, width, power), 2 * width
 
 
@@ -60,12 +70,21 @@ def _join(a: np.ndarray, length: int, b: np.ndarray) -> np.ndarray:
     return _mix(a[:m] * _ODD + b[length : length + m] + np.uint64(length))
 
 
-def _sliding(values: np.ndarray, size: int, combine) -> np.ndarray:
-    """``combine`` (min or max) over each ``size`` values in a row."""
-    out, width = values, 1
+def _first_least(values: np.ndarray, size: int) -> np.ndarray:
+    """Where the first least one of each ``size`` values in a row is."""
+    at, low, width = np.arange(len(values)), values, 1
+
+    def better(n: int, by: int) -> None:
+        nonlocal at, low
+        right = low[by : by + n] < low[:n]
+        at, low = np.where(right, at[by : by + n], at[:n]), np.where(right, low[by : by + n], low[:n])
+
     while 2 * width <= size:
-        out, width = combine(out[:-width], out[width:]), 2 * width
-    return combine(out[: len(values) - size + 1], out[size - width : size - width + len(values) - size + 1])
+        better(len(at) - width, width)
+        width *= 2
+    if size > width:
+        better(len(values) - size + 1, size - width)
+    return at
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,168 +95,274 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(digest, chain.from_iterable(lists)), np.uint64, int(ends[-1]) if len(ends) else 0), ends.astype(np.int64)
 
 
-def minimisers(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(positions, grams, window minima)`` over texts laid end to end; windows across two texts don't count.
+def minimisers(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(positions, grams, low, high)`` over texts laid end to end.
 
-    The minimum of the window from each position on is 0 where there is none.
-    """
-    n = len(words)
-    if n < LEAST:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    grams = np.maximum(_mix(stretch_hashes(words, K)), np.uint64(1))
-    low = _sliding(grams, W, np.minimum)
-    starts = np.arange(len(low))
-    low = np.where(ends[np.searchsorted(ends, starts, side="right")] - starts >= LEAST, low, np.uint64(0))
-    padded = np.concatenate([np.zeros(W - 1, np.uint64), low, np.zeros(W - 1, np.uint64)])
-    reach = _sliding(padded, W, np.maximum)[: len(grams)]
-    return np.flatnonzero(grams == reach), grams, low
-
-
-def kept_suffixes(docs: DataFrame) -> DataFrame:
-    """``(gram, doc, tag, at, known)`` for every minimiser; ``docs`` has ``doc``, ``tag`` and ``_text``.
-
-    ``known``: the gram occurs twice in this very batch, so it needn't be looked up.
+    The stretches that a position stands for begin ``low`` to ``high`` words
+    before it; every stretch of ``LEAST`` words within a text has one position.
     """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
-            words, ends = word_hashes(batch.column("_text").to_pylist())
-            at, grams, _ = minimisers(words, ends)
-            owner = np.searchsorted(ends, at, side="right")
-            begin = np.concatenate([[0], ends])[owner]
-            rows, own = pa.array(owner), grams[at]
-            order = np.argsort(own, kind="stable")
-            same = own[order][1:] == own[order][:-1]
-            known = np.zeros(len(own), bool)
-            known[order[1:][same]] = known[order[:-1][same]] = True
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own.view(np.int64)), batch.column("doc").take(rows), batch.column("tag").take(rows), pa.array((at - begin).astype(np.int32)), pa.array(known)],
-                ["gram", "doc", "tag", "at", "known"],
-            )
-
-    return docs.mapInArrow(run, "gram long, doc long, tag int, at int, known boolean")
-
-
-def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the stretches whose minimiser was kept; ``known``: an equal one comes first in this batch."""
+    none = np.zeros(0, np.int64)
+    if len(words) < LEAST:
+        return none, none.view(np.uint64), none, none
+    grams = gram_hashes(words)
+    at = _first_least(grams, W)
+    starts = np.arange(len(at))
+    inside = ends[np.searchsorted(ends, starts, side="right")] - starts >= LEAST
+    at, starts = at[inside], starts[inside]
+    if not len(at):
+        return none, none.view(np.uint64), none, none
+    begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    lasts = np.append(begins[1:], len(at)) - 1
+    where = at[begins]
+    return where, grams[where], where - starts[lasts], where - starts[begins]
+
+
+def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every text its number of words and its positions, with their grams and stretches."""
     for batch in chunks(batches, "_text"):
         words, ends = word_hashes(batch.column("_text").to_pylist())
+        at, grams, low, high = minimisers(words, ends)
         begin = np.concatenate([[0], ends])[: len(ends)]
-        places = batch.column("places")
-        offsets = places.offsets.to_numpy()
-        lengths = np.diff(offsets)
-        at = places.flatten().to_numpy() + np.repeat(begin, lengths)
-        _, grams, low = minimisers(words, ends)
-        if not len(low):
-            continue
-        keep = np.zeros(len(grams), bool)
-        keep[at] = True
-        has = _sliding(np.where(keep, grams, _MOST), W, np.minimum) == low
-        starts = np.flatnonzero(has & (low > 0))
-        hashes = stretch_hashes(words, LEAST)[starts]
-        owner = np.searchsorted(ends, starts, side="right")
-        doc, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
-        doc, tag, pos = doc[owner], tag[owner], (starts - begin[owner]).astype(np.int32)
-        order = np.lexsort((pos, tag, doc, hashes))
-        hashes, doc, tag, pos = hashes[order], doc[order], tag[order], pos[order]
-        known = np.zeros(len(hashes), bool)
-        known[1:] = (hashes[1:] == hashes[:-1]) & ((doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1]))
+        owner = np.searchsorted(ends, at, side="right")
+        cuts = pa.array(np.searchsorted(owner, np.arange(len(ends) + 1)).astype(np.int32))
+        lists = [grams.view(np.int64), (at - begin[owner]).astype(np.int32), low.astype(np.int8), high.astype(np.int8)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(pos), pa.array(known)], ["stretch", "doc", "tag", "at", "known"]
+            [*[batch.column(c) for c in KEY], pa.array(np.diff(np.concatenate([[0], ends]))), *[pa.ListArray.from_arrays(cuts, pa.array(x)) for x in lists]],
+            [*KEY, "words", "grams", "at", "low", "high"],
         )
 
 
-def _copies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (known, stretch, doc, tag, at): those that equal the row before, and all known ones."""
-    before: tuple | None = None
+_CONTEXT = "kind int, gram long, row long, no_id boolean, doc long, at int, low int, high int, left binary, right binary"
+_NAMES = [x.split()[0] for x in _CONTEXT.split(", ")]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+_END = b"\n"  # no word holds it
+
+
+def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The kept suffixes with the words around them that their stretches reach.
+
+    ``kind`` 0: a suffix; ``left`` holds the words before it backwards, ``right``
+    those from it on. 1: a stretch of a frequent gram, in ``right``, the first
+    one in this piece of work. 2: a copy of such a one. A document whose row is
+    repeated is taken once a task.
+    """
+    seen: set[int] = set()
+    rows: list[tuple] = []
+    firsts: dict[bytes, tuple] = {}
+
+    def flush(all_: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal rows, firsts
+        if all_ or len(firsts) >= OUT_ROWS:
+            rows += [(1, 0, row, no_id, doc, at, 0, 0, None, text) for text, (no_id, doc, row, at) in firsts.items()]
+            firsts = {}
+        if rows and (all_ or len(rows) >= OUT_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+            rows = []
+
+    for batch in chunks(batches, "_text"):
+        places = batch.column("places")
+        ends = np.cumsum(pc.list_value_length(places).to_numpy()).tolist()
+        fields = [places.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("gram", "at", "low", "high", "often")]
+        for text, row, no_id, doc, many, start, stop in zip(*(batch.column(c).to_pylist() for c in ("_text", "row", "no_id", "doc", "many")), [0, *ends], ends):
+            if many > 1:
+                if row in seen:
+                    continue
+                seen.add(row)
+            words = text.split()
+            for gram, at, low, high, often in zip(*(x[start:stop].tolist() for x in fields)):
+                if not often:
+                    left = words[at - high : at][::-1]
+                    right = _END.join(words[at : at + LEAST - low]) + _END
+                    rows.append((0, gram, row, no_id, doc, at, low, high, _END.join(left) + _END if left else b"", right))
+                else:
+                    for s in range(at - high, at - low + 1):
+                        stretch, own = _END.join(words[s : s + LEAST]), (no_id, doc, row, s)
+                        best = firsts.get(stretch)
+                        if best is None or own < best:
+                            firsts[stretch], best = own, best
+                        else:
+                            best = own
+                        if best is not None:
+                            rows.append((2, 0, best[2], best[0], best[1], best[3], 0, 0, None, None))
+                if len(rows) >= OUT_ROWS or len(firsts) >= OUT_ROWS:
+                    yield from flush(False)
+        yield from flush(True)
+
+
+def _numbers(texts: list[bytes], width: int, known: dict[bytes, int]) -> np.ndarray:
+    """The words of each text as numbers, padded with -1."""
+    lists = [t.split(_END)[:-1] for t in texts]
+    lengths = np.array([len(x) for x in lists])
+    flat = np.fromiter((known.setdefault(w, len(known)) for w in chain.from_iterable(lists)), np.int32, int(lengths.sum()))
+    out = np.full((len(texts), width), -1, np.int32)
+    out[np.arange(width)[None, :] < lengths[:, None]] = flat
+    return out
+
+
+def _common(a: np.ndarray) -> np.ndarray:
+    """Words that each row shares with the one before, from the start on; 0 for the first."""
+    same = np.logical_and.accumulate(a[1:] == a[:-1], axis=1).sum(axis=1)
+    return np.concatenate([[0], same])
+
+
+def copied(grams: np.ndarray, right: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """(suffixes, W): whether the stretch that begins so many words before the suffix is a copy of one of lower rank.
+
+    ``right`` and ``left`` hold words as numbers; rows are sorted by gram and
+    ``right`` as texts, so suffixes that share words stand together.
+    """
+    n = len(grams)
+    after = np.where(np.concatenate([[False], grams[1:] == grams[:-1]]), _common(right), 0)
+    back = np.lexsort((*left.T[::-1], grams))
+    before = np.where(np.concatenate([[False], grams[back][1:] == grams[back][:-1]]), _common(left[back]), -1)
+    by_rank, out = np.argsort(rank, kind="stable"), np.zeros((n, W), bool)
+    mine = np.empty(n, np.int64)
+    for reach in range(W):
+        mine[back] = np.cumsum(before < reach)
+        both = np.cumsum(after < LEAST - reach) * np.int64(n + 1) + mine
+        use = by_rank[((low <= reach) & (reach <= high))[by_rank]]
+        order = np.argsort(both[use], kind="stable")
+        use = use[order]
+        out[use[1:], reach] = both[use[1:]] == both[use[:-1]]
+    return out
+
+
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes sorted by (gram, right): the copied stretches of each, as spans of words."""
+
+    def spans(block: pa.Table) -> pa.RecordBatch:
+        grams, row, doc, at, low, high = (block.column(c).to_numpy() for c in ("gram", "row", "doc", "at", "low", "high"))
+        no_id = block.column("no_id").to_numpy()
+        order = np.lexsort((at, row))  # a repeated row may have sent a suffix twice
+        twice = np.zeros(len(row), bool)
+        twice[order[1:]] = (row[order][1:] == row[order][:-1]) & (at[order][1:] == at[order][:-1])
+        once = np.flatnonzero(~twice)
+        texts = [block.column(c).take(pa.array(once)).to_pylist() for c in ("right", "left")]
+        grams, row, doc, at, low, high, no_id = (x[once] for x in (grams, row, doc, at, low, high, no_id))
+        known: dict[bytes, int] = {}
+        rank = np.empty(len(row), np.int64)
+        rank[np.lexsort((at, row, doc, no_id))] = np.arange(len(row))
+        found = copied(grams, _numbers(texts[0], LEAST, known), _numbers(texts[1], W - 1, known), low, high, rank)
+        edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        k, near = np.nonzero(edge == 1)
+        _, far = np.nonzero(edge == -1)
+        return pa.RecordBatch.from_arrays([pa.array(row[k]), pa.array(at[k].astype(np.int64) - far + 1), pa.array(at[k].astype(np.int64) - near + LEAST)], ["row", "start", "stop"])
+
+    held: list[pa.RecordBatch] = []
+    n = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        stretch, doc, tag, at = (batch.column(c).to_numpy() for c in ("stretch", "doc", "tag", "at"))
-        known = batch.column("known").to_numpy(zero_copy_only=False)
-        same = np.zeros(len(stretch), bool)
-        moved = np.ones(len(stretch), bool)
-        same[1:] = stretch[1:] == stretch[:-1]
-        moved[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] != at[:-1])
-        if before is not None:
-            same[0] = before[0] == stretch[0]
-            moved[0] = before[1:] != (doc[0], tag[0], at[0])
-        before = (stretch[-1], doc[-1], tag[-1], at[-1])
-        take = np.flatnonzero(known | (same & moved))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(tag[take]), pa.array(at[take])], ["doc", "tag", "at"])
-
-
-def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (doc, tag, at): starts of copied stretches, joined to spans of words."""
-    names, types = ["doc", "tag", "start", "stop"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    open_: list[int] | None = None
+        held.append(batch)
+        n += batch.num_rows
+        if n >= AT_ONCE:
+            block = pa.Table.from_batches(held)
+            grams = block.column("gram").to_numpy()
+            done = int(np.searchsorted(grams, grams[-1]))
+            if done:
+                yield spans(block.slice(0, done))
+                block = block.slice(done).combine_chunks()
+                held, n = block.to_batches(), block.num_rows
+    if n:
+        yield spans(pa.Table.from_batches(held))
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans sorted by (row, start), joined where they touch."""
+    open_: tuple[int, int, int] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        doc, tag, at = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "tag", "at"))
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + LEAST)
-        firsts = np.flatnonzero(new)
-        lasts = np.concatenate([firsts[1:], [len(doc)]]) - 1
-        rows = [list(x) for x in zip(doc[firsts].tolist(), tag[firsts].tolist(), at[firsts].tolist(), (at[lasts] + LEAST).tolist())]
-        if open_ is not None:
-            if rows[0][:2] == open_[:2] and rows[0][2] <= open_[3]:
-                rows[0][2] = open_[2]
+        row, start, stop = (batch.column(c).to_numpy() for c in ("row", "start", "stop"))
+        out = []
+        for r, a, b in zip(row.tolist(), start.tolist(), stop.tolist()):
+            if open_ is not None and open_[0] == r and a <= open_[2]:
+                open_ = (r, open_[1], max(b, open_[2]))
             else:
-                rows.insert(0, open_)
-        open_ = rows.pop()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                out += [open_] if open_ is not None else []
+                open_ = (r, a, b)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["row", "start", "stop"])
     if open_ is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(open_, types)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([c]) for c in open_], ["row", "start", "stop"])
 
 
-def _named(docs: DataFrame, id: str, text: str) -> DataFrame:
-    doc = F.col(f"`{id}`").cast("long")
-    return docs.select(
-        F.coalesce(doc, F.lit((1 << 63) - 1)).alias("doc"), F.hash(doc.isNull(), f"`{text}`").alias("tag"), utf8(f"`{text}`").alias("_text")
-    )
+def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> list:
+    """The columns of ``KEY`` for each row of ``docs``."""
+    doc, body = F.col(f"`{id}`").cast("long"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return [
+        doc.isNull().alias("no_id"), F.coalesce(doc, F.lit(0)).cast("long").alias("doc"), F.xxhash64(body).alias("h1"),
+        F.xxhash64(F.lit(1), body).alias("h2"), F.octet_length(body).alias("bytes"),
+    ]
 
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, tag, start, stop)``: spans of words that an earlier place has as well.
+    """``(no_id, doc, h1, h2, bytes, start, stop)``: spans of words that an earlier place has as well.
 
     Every ``LEAST``-word stretch that occurs more than once is in the spans of
-    all its places but the first, by document id and place. Words are runs of
-    non-space characters. ``doc`` is the id (the greatest long for null),
-    ``tag`` a hash of the text: rows with one id and different texts are
-    different documents, fully repeated rows are one. Texts under ``LEAST``
-    words have no spans; a text may repeat itself.
+    all its places but the first, by document id and place; null ids come
+    last, different texts of one id in any fixed order. Words are runs of
+    non-space characters. ``doc`` is the id (0 for null, told apart by
+    ``no_id``); rows with one id and different texts are different documents,
+    fully repeated rows are one. Texts under ``LEAST`` words have no spans; a
+    text may repeat itself.
     """
     spark = docs.sparkSession
-    named = _named(docs, id, text)
-    suffixes = materialise(kept_suffixes(named), "suffixes")
-    often = suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    places = suffixes.where("NOT known").join(often, "gram", "left_semi").select("doc", "tag", "at")
-    places = places.unionByName(suffixes.where("known").select("doc", "tag", "at"))
-    places = materialise(places.groupBy("doc", "tag").agg(F.collect_set("at").alias("places")), "places")
-    discard(suffixes)
+    named = docs.select(*keyed(docs, id, text), utf8(f"`{text}`").alias("_text")).where(F.col("bytes") >= 2 * LEAST - 1)
+    key = "no_id boolean, doc long, h1 long, h2 long, bytes int"
+    found = materialise(named.mapInArrow(_suffixes, f"{key}, words long, grams array<long>, at array<int>, low array<tinyint>, high array<tinyint>"), "suffixes")
+    found = found.where(f"words >= {LEAST}")
+    lists = ["words", "grams", "at", "low", "high"]
+    texts = found.groupBy(*_TEXT).agg(F.min(F.struct("no_id", "doc")).alias("least"), F.count("*").alias("many"), F.first(F.struct(*lists)).alias("own"))
+    texts = texts.select("least.*", *_TEXT, "many", "own.*").withColumn("row", F.monotonically_increasing_id())
+    texts = materialise(texts, "texts")  # one row a text; ``row`` is stored, so it stays
+    again = found.select(*KEY, "words").join(texts.select(*_TEXT, F.col("no_id").alias("_no"), F.col("doc").alias("_doc")), _TEXT)
+    whole = again.where("no_id <> _no OR doc <> _doc").select(*KEY, F.lit(0).cast("long").alias("start"), F.col("words").alias("stop")).distinct()
+    whole = materialise(whole, "whole")  # all copies of a text but the first are repeated from end to end
+    discard(found)
+
+    each = texts.select("row", F.explode(F.arrays_zip("grams", "at", "low", "high")).alias("s")).select("row", F.col("s.grams").alias("gram"), "s.at", "s.low", "s.high")
+    often = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > OFTEN).alias("often"))
+    kept = each.join(often, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "at", "low", "high", "often")).alias("places"))
+    places = materialise(texts.select("row", *KEY, "many").join(kept, "row"), "places")
     release_shuffles(spark)
-    rows = named.join(places, ["doc", "tag"]).select("doc", "tag", "_text", "places")
-    stretches = rows.mapInArrow(_stretches, "stretch long, doc long, tag int, at int, known boolean")
-    dealt = stretches.withColumn("_to", F.when(F.col("known"), F.xxhash64("doc", "at")).otherwise(F.col("stretch")))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    copies = dealt.repartition(parts, "_to").sortWithinPartitions("known", "stretch", "doc", "tag", "at").drop("_to")
-    copies = copies.mapInArrow(_copies, "doc long, tag int, at int")
-    spans = copies.repartition("doc").sortWithinPartitions("doc", "tag", "at").mapInArrow(_spans, "doc long, tag int, start long, stop long")
-    spans = materialise(spans, "spans")
+    contexts = materialise(named.join(places, KEY).select("_text", "row", "no_id", "doc", "many", "places").mapInArrow(_contexts, _CONTEXT), "contexts")
     discard(places)
     release_shuffles(spark)
-    return spans
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rare = contexts.where("kind = 0").drop("kind").repartition(parts, "gram").sortWithinPartitions("gram", "right").mapInArrow(_compare, "row long, start long, stop long")
+    stretches = contexts.where("kind = 1").select("row", "no_id", "doc", "at", "right")
+    firsts = stretches.groupBy("right").agg(F.min(F.struct("no_id", "doc", "row", "at")).alias("first")).select("first.row", "first.at")
+    others = stretches.select("row", "at").join(firsts, ["row", "at"], "left_anti").unionByName(contexts.where("kind = 2").select("row", "at"))
+    spans = rare.unionByName(others.select("row", F.col("at").cast("long").alias("start"), (F.col("at") + LEAST).cast("long").alias("stop")))
+    spans = spans.repartition(parts, "row").sortWithinPartitions("row", "start").mapInArrow(_joined, "row long, start long, stop long")
+    spans = spans.join(texts.select("row", *KEY), "row").select(*KEY, "start", "stop")
+    out = materialise(spans.unionByName(whole), "spans")
+    for done in (contexts, texts, whole):
+        discard(done)
+    release_shuffles(spark)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = repeated_spans(table(spark, sf_dir, "documents"))
     return spans.select(
-        F.col("doc").alias("doc_id"), F.col("start").alias("first_word"), F.col("stop").alias("end_word"), (F.col("stop") - F.col("start")).alias("words")
+        F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), F.col("start").alias("first_word"), F.col("stop").alias("end_word"), (F.col("stop") - F.col("start")).alias("words")
     )
 
 
+SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {LEAST - 2})) AS i FROM w WHERE len(ws) >= {LEAST}),
+s AS (SELECT doc_id, i - 1 AS place, array_to_string(list_slice(ws, i, i + {LEAST - 1}), ' ') AS stretch FROM p),
+c AS (SELECT doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY stretch ORDER BY doc_id, place) AS k FROM s) WHERE k > 1),
+n AS (SELECT *, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id ORDER BY place) + {LEAST} THEN 0 ELSE 1 END AS begins FROM c),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY place) AS span FROM n)
+SELECT doc_id, min(place) AS first_word, max(place) + {LEAST} AS end_word, max(place) + {LEAST} - min(place) AS words FROM g GROUP BY doc_id, span
+"""
+
+
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans of words; the white space before a span goes with it."""
     raw = text.encode()
@@ -254,12 +379,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     A null text stays null, a text that is all copies becomes empty; other columns may have any names.
     """
-    key, mark, cuts = fresh(docs, "_doc", "_tag", "_spans")
-    spans = repeated_spans(docs)
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias(cuts))
-    doc = F.col("doc_id").cast("long")
-    keyed = docs.withColumn(key, F.coalesce(doc, F.lit((1 << 63) - 1))).withColumn(mark, F.hash(doc.isNull(), "text"))
-    spans = spans.withColumnsRenamed({"doc": key, "tag": mark})
+    inner = fresh(docs, *[f"_{c}" for c in KEY], "_spans")
+    own, cuts = inner[:-1], inner[-1]
+    spans = repeated_spans(docs).groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias(cuts)).withColumnsRenamed(dict(zip(KEY, own)))
+    with_key = docs.select("*", *[c.alias(n) for c, n in zip(keyed(docs), own)])
     schema = docs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +394,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, batch.column("text").type) if f.name == "text" else batch.column(f.name) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    after = keyed.join(spans, [key, mark], "left").select(*[F.col(f"`{c}`") for c in (*schema.names, cuts)]).mapInArrow(run, schema)
+    after = with_key.join(spans, own, "left").select(*[F.col(f"`{c}`") for c in (*schema.names, cuts)]).mapInArrow(run, schema)
     if "n_chars" in schema.names:
         after = after.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(schema["n_chars"].dataType))
     return after
