@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,6 @@ _ESCAPED = re.compile(r"\\([\\ab])")
 _BLOCKS = re.compile(
     r"<<SYS>>(?P<system>.*?)<</SYS>>|\[INST\](?P<user>.*?)\[/INST\]|<s>(?P<assistant>.*?)</s>"
     r"|\[ROLE\](?P<role>.*?)\[TURN\](?P<other>.*?)\[/ROLE\]", re.S)
-#: Conversations of more turns are located turn by turn from pairs of neighbours first.
-LONG = 64
 _MARK = "\ue000mark\ue001"
 
 
@@ -79,8 +78,14 @@ def parse(formatted: str) -> list[Turn]:
     return turns
 
 
-def _added(before: str, after: str) -> tuple[int, int] | None:
-    return (len(before), len(after)) if after.startswith(before) else None
+class AppendOnly:
+    """A template that is declared to render every turn by itself, whatever stands before it."""
+
+    def __init__(self, turn: Callable[[Turn], str]):
+        self.turn = turn
+
+    def __call__(self, turns: Sequence[Turn]) -> str:
+        return "".join(map(self.turn, turns))
 
 
 def locate(turns: Sequence[Turn], template: Template = render) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], int | None]:
@@ -88,43 +93,31 @@ def locate(turns: Sequence[Turn], template: Template = render) -> tuple[str, lis
 
     ``rewritten`` is the first turn at which the template changes what it had
     rendered before; then there are no loss spans, as no position is sure.
-    Up to ``LONG`` turns, every prefix is rendered. Longer conversations are
-    first tried from pairs of neighbouring turns, which takes time in
-    proportion to their length; the result stands only if the pieces make up
-    the rendering of the whole, else every prefix is rendered as well.
+    Every prefix is rendered at any length, as only that shows a rewriting:
+    the work grows with the square of the turns. ``AppendOnly`` templates,
+    which can't rewrite, are taken turn by turn.
     """
-    whole = template(turns)
     spans: list[tuple[int, int]] = []
-    contexts: list[Sequence[Turn]] = []
-    if len(turns) > LONG:
-        at, pieces = 0, []
-        for i in range(len(turns)):
-            context = turns[max(0, i - 1) : i]
-            before, after = template(context), template([*context, turns[i]])
+    if isinstance(template, AppendOnly):
+        pieces = [template.turn(t) for t in turns]
+        ends = [0, *accumulate(map(len, pieces))]
+        whole, spans = "".join(pieces), list(zip(ends, ends[1:]))
+        marked = [template.turn((role, _MARK)) if role == "assistant" else "" for role, _ in turns]
+    else:
+        whole = before = template([])
+        marked = []
+        for i, (role, _) in enumerate(turns):
+            after = template(turns[: i + 1])
             if not after.startswith(before):
-                break
-            pieces.append(after[len(before) :])
-            spans.append((at, at + len(pieces[-1])))
-            contexts.append(context)
-            at = spans[-1][1]
-        if "".join(pieces) != whole:
-            spans, contexts = [], []
-    if not spans:
-        before = template([])
-        for i in range(len(turns)):
-            after = whole if i == len(turns) - 1 else template(turns[: i + 1])
-            span = _added(before, after)
-            if span is None:
-                return whole, [], [], i
-            spans.append(span)
-            contexts.append(turns[:i])
-            before = after
+                return template(turns), [], [], i
+            spans.append((len(before), len(after)))
+            marked.append(template([*turns[:i], (role, _MARK)])[len(before) :] if role == "assistant" else "")
+            whole = before = after
     loss = []
-    for (start, end), context, (role, _) in zip(spans, contexts, turns):
+    for (start, end), said, (role, _) in zip(spans, marked, turns):
         if role != "assistant":
             continue
-        before, marked = template(context), template([*context, (role, _MARK)])
-        head, mark, tail = marked[len(before) :].partition(_MARK)
+        head, mark, tail = said.partition(_MARK)
         body = whole[start:end]
         if mark and body.startswith(head) and body.endswith(tail) and len(head) + len(tail) <= len(body):
             loss.append((start + len(head), end - len(tail)))
