@@ -5,9 +5,9 @@ the text and the probabilities of the earlier categories. In training those
 probabilities are out-of-fold predictions, so a later model learns from the
 errors that the earlier ones make on texts they haven't seen.
 
-The models are fitted on the driver from a bounded sample of labelled
-documents (``sample_rows``, drawn by a hash of the id); scoring is one scan of
-all documents.
+The models are fitted on the driver from a bounded sample of whole labelled
+documents (``sample_rows`` and ``sample_bytes``, drawn by a hash); scoring is
+one scan of all documents.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, table, utf8
 
-#: Labelled rows that the models are fitted on at most, and distinct words and stems taken from one of them.
-SAMPLE_ROWS, SAMPLE_WORDS = 6_000, 16_384
+#: Labelled documents that the models are fitted on at most, and bytes of their texts, the last one apart.
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 24 << 20
 #: Bytes of a word's beginnings that count as features of their own.
 STEMS = (4, 5, 6, 7)
 _SPACES = bytes(c if chr(c).isalnum() or c >= 128 or c == 39 else 32 for c in range(256))
@@ -175,27 +175,44 @@ def predict_chain(chain: Sequence[Link], texts: Sequence[np.ndarray]) -> np.ndar
     return before
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Link]:
-    """Fits the chain on at most ``sample_rows`` labelled documents, those of the least hash of their id.
+def train(
+    docs: DataFrame, labels: DataFrame, categories: Sequence[str], id: str = "doc_id", text: str = "text",
+    sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
+) -> list[Link]:
+    """Fits the chain on at most ``sample_rows`` labelled documents, those of the least hash, while their texts come to ``sample_bytes``.
 
-    Rows with a null id, text or label are no examples; of an id's repeated
-    labels or texts each pair is one. Without examples the chain has no words
-    and every probability is one third, so nothing is rejected.
+    A document in the sample is used whole. Rows with a null id, text or label
+    are no examples; each different pair of an id's labels and texts is one,
+    however often its rows are repeated. Without examples the chain has no
+    words and every probability is one third, so nothing is rejected.
     """
     usable = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (id, *categories)))
-    drawn = usable.select(F.col(f"`{id}`").alias("_id"), *[F.col(f"`{c}`").cast("int").alias(f"_y{i}") for i, c in enumerate(categories)])
-    drawn = drawn.orderBy(F.xxhash64("_id"), *[f"_y{i}" for i in range(len(categories))]).limit(sample_rows)
-    texts = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").cast("binary").alias("_text"))
+    ys = [f"_y{i}" for i in range(len(categories))]
+    drawn = usable.select(F.col(f"`{id}`").alias("_id"), *[F.col(f"`{c}`").cast("int").alias(y) for c, y in zip(categories, ys)]).distinct()
+    drawn = drawn.orderBy(F.xxhash64("_id"), *ys).limit(sample_rows)
+    texts = docs.where(F.col(f"`{text}`").isNotNull()).select(
+        F.col(f"`{id}`").alias("_id"), F.xxhash64(f"`{text}`").alias("_h"), F.octet_length(f"`{text}`").alias("_n"), F.col(f"`{text}`").cast("binary").alias("_text")
+    )
+    pairs = texts.select("_id", "_h", "_n").join(F.broadcast(drawn), "_id").distinct().orderBy(F.xxhash64("_id", "_h"), *ys).limit(sample_rows)
+    chosen = pairs.toPandas()
+    chosen = chosen[chosen["_n"].cumsum().shift(fill_value=0) < sample_bytes].drop(columns="_n")
+    if not len(chosen):
+        return fit_chain([], {c: np.zeros(0, np.int64) for c in categories})
+    wanted = docs.sparkSession.createDataFrame(list(chosen.itertuples(index=False, name=None)), pairs.drop("_n").schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # rows of the sample that this task has sent, no more than the sample has
         for batch in chunks(batches, "_text"):
-            found = [features(t)[:SAMPLE_WORDS].tobytes() for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *[batch.column(f"_y{i}") for i in range(len(categories))]], ["words", *[f"_y{i}" for i in range(len(categories))]])
-
-    ddl = "words binary, " + ", ".join(f"_y{i} int" for i in range(len(categories)))
-    rows = texts.join(F.broadcast(drawn), "_id").mapInArrow(run, ddl).toPandas()
-    rows = rows.sort_values(list(rows.columns), ignore_index=True)
-    return fit_chain([np.frombuffer(w, np.uint64) for w in rows["words"]], {c: rows[f"_y{i}"].to_numpy(np.int64) for i, c in enumerate(categories)})
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("_id", "_h", *ys))))
+            new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            batch = batch.take(pa.array(new, pa.int64()))
+            found = [features(t).tobytes() for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_id", "_h", *ys)], pa.array(found, pa.binary())], ["_id", "_h", *ys, "words"])
+
+    ddl = f"_id {dict(texts.dtypes)['_id']}, _h long, " + ", ".join(f"{y} int" for y in ys) + ", words binary"
+    rows = texts.join(F.broadcast(wanted), ["_id", "_h"]).mapInArrow(run, ddl).groupBy("_id", "_h", *ys).agg(F.first("words").alias("words")).toPandas()
+    rows = rows.sort_values(["words", *ys], ignore_index=True)
+    return fit_chain([np.frombuffer(w, np.uint64) for w in rows["words"]], {c: rows[y].to_numpy(np.int64) for c, y in zip(categories, ys)})
 
 
 def score(docs: DataFrame, chain: Sequence[Link], id: str = "doc_id", text: str = "text") -> DataFrame:
