@@ -2,10 +2,12 @@
 
 Every rule is filed under one literal token that any URL it fits must contain:
 the one that the fewest URLs of the table contain. A URL is cut into tokens,
-each token fetches the rules filed under it, and only those rules' regular
-expressions run. The index is a constant array of hash buckets inside the
-expression, so the whole judgement is one scan with a projection: no join, no
-shuffle, no Python.
+each token fetches the rules filed under it, and only those are tried: a host
+and path rule by comparing both, a pattern by its regular expression. Up to
+``INLINE_RULES`` rules the index is a constant array of hash buckets inside the
+expression, so the judgement is one scan with a projection, without a join or
+a shuffle. Longer lists are a table that the distinct URLs' tokens are joined
+with. Either way no Python runs on rows; counting the tokens is a scan before.
 """
 
 from __future__ import annotations
@@ -19,22 +21,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
-#: The index travels in the plan; beyond so many rules it is refused rather than shipped.
-MAX_RULES = 100_000
+#: Rules that the plan itself carries at most; more are joined as a table.
+INLINE_RULES = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_RULE = "struct<token:string,regex:string,name:string,action:string,tier:int,length:int>"
+_RULE = "struct<token:string,host:string,path:string,regex:string,name:string,action:string,tier:int,length:int>"
 
 
 @dataclass(frozen=True)
 class UrlRule:
-    """``regex`` runs on host + path; ``tokens`` are whole tokens that every fitting URL has."""
+    """``regex`` runs on host + path, else ``host`` and ``path`` are compared; ``tokens`` are whole tokens that every fitting URL has."""
 
     action: str
     name: str
-    regex: str
     tokens: tuple[str, ...]
+    regex: str | None = None
+    host: str | None = None
+    path: str | None = None
     tier: int = 0
 
 
@@ -52,8 +56,7 @@ def host_path_rule(action: str, rule: str) -> UrlRule:
     host, slash, path = rule.partition("/")
     host, path = host.translate(str.maketrans(_UPPER, _LOWER)), slash + path
     tokens = _whole_tokens(host, False, False) + _whole_tokens(path, False, True)
-    end = "" if path else "(?:/|$)"
-    return UrlRule(action, rule, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}{end}", tuple(tokens), tier=1)
+    return UrlRule(action, rule, tuple(tokens), host=host, path=path, tier=1)
 
 
 def wildcard_rule(action: str, pattern: str) -> UrlRule:
@@ -63,7 +66,7 @@ def wildcard_rule(action: str, pattern: str) -> UrlRule:
         t for i, p in enumerate(parts)
         for t in _whole_tokens(p, open_start=i > 0, open_end=i < len(parts) - 1)
     ]
-    return UrlRule(action, pattern, "(?s)^" + ".*".join(map(re.escape, parts)) + "$", tuple(tokens))
+    return UrlRule(action, pattern, tuple(tokens), regex="(?s)^" + ".*".join(map(re.escape, parts)) + "$")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -107,39 +110,66 @@ def judge_urls(
     one; an empty table gives an empty table. Input columns named like an
     output column are replaced.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit into the index")
     kept = [c for c in (df.columns if columns is None else columns) if c not in ("host", "path", "rule", "pattern", "verdict")]
     host, path = host_and_path(F.col(f"`{url}`"))
     base = df.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))
-    subject = F.concat("host", "path")
-    counts = token_counts(base.select(_tokens(subject).alias("_tokens")), rules)
+    counts = token_counts(base.select(_tokens(F.concat("host", "path")).alias("_tokens")), rules)
+    filed = [(min(r.tokens, key=lambda t: (counts[t], t), default=None), r) for r in rules]
+    entries = [{"token": t, "host": r.host, "path": r.path, "regex": r.regex, "name": r.name, "action": r.action, "tier": r.tier, "length": len(r.name)} for t, r in filed]
+    (own,) = fresh(base, "_best")
+    judged = base.withColumn(own, _indexed(entries)) if len(rules) <= INLINE_RULES else _looked_up(base, entries, own)
+    best = lambda f: F.col(f"`{own}`.{f}")
+    return judged.select(
+        *[F.col(f"`{c}`") for c in kept], "host", "path",
+        F.when(best("tier") == 1, best("name")).alias("rule"),
+        F.when(best("tier") == 0, best("name")).alias("pattern"),
+        F.coalesce(best("action"), F.lit(default)).alias("verdict"),
+    )
+
+
+def _fits(get) -> Column:
+    """Whether the rule whose fields ``get`` gives fits the row's host and path."""
+    host, path = F.col("host"), F.col("path")
+    named = ((host == get("host")) | host.endswith(F.concat(F.lit("."), get("host")))) & path.startswith(get("path"))
+    return F.when(get("regex").isNull(), named).otherwise(F.regexp_like(F.concat("host", "path"), get("regex")))
+
+
+def _rank(get) -> Column:
+    return F.struct(get("tier").alias("tier"), get("length").alias("length"), (get("action") == "block").alias("block"), get("name").alias("name"), get("action").alias("action"))
+
+
+def _indexed(entries: list[dict]) -> Column:
+    """The best fitting rule, from a constant array of hash buckets."""
     size = 16
-    while size < 2 * len(rules):
+    while size < 2 * len(entries):
         size *= 2
     buckets: list[list[dict]] = [[] for _ in range(size)]
-    always = []
-    for r in rules:
-        token = min(r.tokens, key=lambda t: (counts[t], t), default=None)
-        entry = {"token": token, "regex": r.regex, "name": r.name, "action": r.action, "tier": r.tier, "length": len(r.name)}
-        (always if token is None else buckets[_bucket(token, size)]).append(entry)
+    for e in entries:
+        if e["token"] is not None:
+            buckets[_bucket(e["token"], size)].append(e)
     index = F.from_json(F.lit(json.dumps(buckets)), f"array<array<{_RULE}>>")
     fetched = F.flatten(F.transform(
-        _tokens(subject),
+        _tokens(F.concat("host", "path")),
         lambda t: F.filter(F.get(index, F.pmod(F.xxhash64(t), F.lit(size)).cast("int")), lambda r: r["token"] == t),
     ))
-    if always:
+    if always := [e for e in entries if e["token"] is None]:
         fetched = F.concat(fetched, F.from_json(F.lit(json.dumps(always)), f"array<{_RULE}>"))
-    best = F.array_max(F.transform(
-        F.filter(fetched, lambda r: F.regexp_like(subject, r["regex"])),
-        lambda r: F.struct(r["tier"].alias("tier"), r["length"].alias("length"), (r["action"] == "block").alias("block"), r["name"].alias("name"), r["action"].alias("action")),
-    ))
-    return base.withColumn("_best", best).select(
-        *[F.col(f"`{c}`") for c in kept], "host", "path",
-        F.when(F.col("_best.tier") == 1, F.col("_best.name")).alias("rule"),
-        F.when(F.col("_best.tier") == 0, F.col("_best.name")).alias("pattern"),
-        F.coalesce(F.col("_best.action"), F.lit(default)).alias("verdict"),
-    )
+    return F.array_max(F.transform(F.filter(fetched, lambda r: _fits(lambda f: r[f])), lambda r: _rank(lambda f: r[f])))
+
+
+def _looked_up(base: DataFrame, entries: list[dict], own: str) -> DataFrame:
+    """The same by a join: tokens of the distinct URLs with the rules filed under them, the best rule of each URL joined back."""
+    spark = base.sparkSession
+    urls = base.select("host", "path").distinct()
+    fields = F.struct(*[F.col(f"r.{f}") for f in ("host", "path", "regex", "name", "action", "tier", "length")]).alias("r")
+    rules = spark.createDataFrame([json.dumps(e) for e in entries], "string").select(F.from_json("value", _RULE).alias("r")).select(F.col("r.token").alias("token"), fields)
+    met = urls.select("host", "path", F.explode(_tokens(F.concat("host", "path"))).alias("token")).join(rules.where("token IS NOT NULL"), "token").drop("token")
+    if always := [e for e in entries if e["token"] is None]:
+        everywhere = F.from_json(F.lit(json.dumps(always)), f"array<{_RULE}>")
+        met = met.unionByName(urls.select("host", "path", F.explode(F.transform(everywhere, lambda r: r.dropFields("token"))).alias("r")))
+    get = lambda f: F.col(f"r.{f}")
+    best = met.where(_fits(get)).groupBy("host", "path").agg(F.max(_rank(get)).alias(own))
+    return base.join(best, ["host", "path"], "left")
 
 
 #: The rules of the query; hosts and paths that no rule names fall to the patterns.
