@@ -10,6 +10,7 @@ which plain MinHash doesn't see.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -116,65 +117,102 @@ def neighbour_report(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """Every text's fingerprint beside that of its edited text and of the next document, by descending id.
 
     After the last document comes the first. A null text is empty, null ids
-    come last, ties are in order of text; a lone document is its own next.
-    Texts cross the network once: rows are dealt into ranges of the id, and
-    the first document of a range is sent to the range before it as well.
+    come last, texts of one id are in order of their XXH64 (seed 42, signed),
+    so a frequent id or null is split like any other; a lone document is its
+    own next. Texts cross the network once: rows are dealt into ranges of (id,
+    hash), and the first document of a range is sent to the range before it as
+    well. Of fully repeated rows a task sends the text once and how many there
+    were.
     """
     spark = docs.sparkSession
-    kept = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    doc, body = F.col(f"`{id}`").cast("long"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    kept = docs.select(
+        doc.isNull().alias("no_id"), F.bitwise_not(F.coalesce(doc, F.lit(0)).cast("long")).alias("back"),
+        F.xxhash64(body).alias("h"), F.xxhash64(F.lit(1), body).alias("h2"), body.alias("text"),
+    )
+    order = ["no_id", "back", "h", "h2"]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranges = kept.select("doc_id").where("doc_id IS NOT NULL").repartitionByRange(parts, "doc_id").groupBy(F.spark_partition_id()).agg(F.max("doc_id"))
-    heads = -np.sort(-np.array([r[1] for r in ranges.collect()], np.int64))
+    ranges = kept.select(*order).distinct().repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)))
+    heads = sorted(tuple(r[1]) for r in ranges.collect())
     buckets = max(1, len(heads))
-    columns = ["bucket", "helper", "doc_id", "text", "fp"]
+    columns = ["bucket", "helper", *order, "many", "text", "fp"]
+    types_in = [pa.int32(), pa.bool_(), pa.bool_(), *[pa.int64()] * 4, pa.string(), pa.string()]
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types_in)], columns)
+
+        sent: dict[tuple, int] = {}  # repeated rows that were left out, by key
         for batch in chunks(batches, "text"):
-            ids = batch.column("doc_id")
-            known = ids.fill_null(0).to_numpy()
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            if len(heads):
-                bucket = np.where(null, buckets - 1, np.searchsorted(-heads, -known, side="right") - 1)
-                leads = np.flatnonzero(~null & (heads[bucket] == known)) if buckets > 1 else np.zeros(0, np.int64)
-            else:
-                bucket, leads = np.zeros(len(ids), np.int64), np.zeros(0, np.int64)
-            fps = pa.array([to_text(fingerprint(t.encode())) for t in batch.column("text").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(np.zeros(len(ids), bool)), ids, batch.column("text"), fps], columns)
-            if len(leads):
-                take = pa.array(leads)
-                to = ((bucket[leads] - 1) % buckets).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(len(leads), bool)), ids.take(take), batch.column("text").take(take), fps.take(take)], columns)
+            out = []
+            for *key, t in zip(*(batch.column(c).to_pylist() for c in (*order, "text"))):
+                key = tuple(key)
+                if key in sent:
+                    sent[key] += 1
+                    continue
+                sent[key] = 0
+                bucket, fp = max(0, bisect_right(heads, key) - 1), to_text(fingerprint(t.encode()))
+                out.append((bucket, False, *key, 1, t, fp))
+                if buckets > 1 and heads[bucket] == key:
+                    out.append(((bucket - 1) % buckets, True, *key, 1, t, fp))
+            if out:
+                yield rows(out)
+        more = [(max(0, bisect_right(heads, k) - 1), False, *k, n, None, None) for k, n in sent.items() if n]
+        for at in range(0, len(more), 65_536):
+            yield rows(more[at : at + 65_536])
 
     def report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(own: tuple, after: tuple) -> tuple:
-            changed = edited(own[1], after[1]).encode()
-            fp, other = from_text(own[2]), fingerprint(changed)
-            return own[0], len(own[1]), hashlib.sha256(changed).hexdigest(), own[2], to_text(other), likeness(fp, other), likeness(fp, from_text(after[2]))
-
-        first = before = at = None
-        closed = False
+            no_id, back, body, print_ = own
+            changed = edited(body, after[2]).encode()
+            fp, other = from_text(print_), fingerprint(changed)
+            return None if no_id else ~back, len(body), hashlib.sha256(changed).hexdigest(), print_, to_text(other), likeness(fp, other), likeness(fp, from_text(after[3]))
+
+        def told(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+        def close(last: tuple, many: int, after: tuple) -> Iterator[pa.RecordBatch]:
+            """The rows of one document, each of its copies followed by the next one."""
+            if many > 1:
+                same = row(last, last)
+                for at in range(0, many - 1, 8_192):
+                    yield told([same] * min(8_192, many - 1 - at))
+            out.append(row(last, after))
+
+        first = last = key = bucket = None
+        many, closed, out = 0, False, []
         for batch in chunks(batches, "text"):
-            out = []
-            for b, helper, *own in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if b != at:
-                    if before is not None and not closed:
-                        out.append(row(before, first))
-                    first, before, at, closed = tuple(own), None, b, False
+            for b, helper, *now, n, body, fp in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if b != bucket:
+                    if last is not None and not closed:
+                        yield from close(last, many, first)
+                    first, last, key, bucket, closed = None, None, None, b, False
                 if closed:
                     continue
-                if before is not None:
-                    out.append(row(before, tuple(own)))
-                before, closed = tuple(own), helper
+                if not helper and now == key:
+                    many += n  # rows with a text come before those that only count
+                    continue
+                own = (now[0], now[1], body, fp)
+                if last is not None:
+                    yield from close(last, many, own)
+                if helper:
+                    closed = True
+                    continue
+                last, key, many = own, now, n
+                first = own if first is None else first
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-        if before is not None and not closed:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row(before, first), types)], names)
+                yield told(out)
+                out = []
+        if last is not None and not closed:
+            yield from close(last, many, first)
+        if out:
+            yield told(out)
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
-    dealt = kept.mapInArrow(deal, "bucket int, helper boolean, doc_id long, text string, fp string")
+    dealt = kept.mapInArrow(deal, "bucket int, helper boolean, no_id boolean, back long, h long, h2 long, many long, text string, fp string")
     dealt = dealt.repartitionById(buckets, F.col("bucket"))
-    ranked = dealt.sortWithinPartitions("bucket", "helper", F.desc_nulls_last("doc_id"), "text")
+    ranked = dealt.sortWithinPartitions("bucket", "helper", *order, F.col("fp").asc_nulls_last())
     return ranked.mapInArrow(report, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
