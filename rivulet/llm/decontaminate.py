@@ -8,7 +8,10 @@ sampled places of the embeddings by hash. For each class of item lengths
 repetitions are added until, of its items edited at the full rate, the share
 that collides with itself reaches the target recall; the items counted are
 those that collide least.
-Colliding windows are verified by their exact edit distance.
+Colliding windows are verified by their exact edit distance. After thousands of
+edits two walks hardly meet again, so items of more than ``LONGEST`` words, and
+classes that the repetitions allowed don't bring to the target, aren't embedded:
+every stretch that passes the condition below is verified.
 
 Windows which cannot be within the edit distance of any item, because they
 share too few of an item's word pairs, are left out before they are embedded:
@@ -34,8 +37,10 @@ from .common import chunks, materialise, table, utf8
 
 #: UTF-8 bytes of benchmark texts that one pass ships to the executors; more are done in passes.
 PASS_BYTES = 16 << 20
-#: Edited items that the repetitions of a class are measured on (at least), and repetitions at most.
-TRIALS, MOST_REPETITIONS = 512, 1_024
+#: Steps of embeddings that are held at once.
+STEPS = 8 << 20
+#: Edited items that the repetitions of a class are measured on (at least), repetitions at most, and words of an item that is embedded.
+TRIALS, MOST_REPETITIONS, LONGEST = 512, 512, 1_024
 _SPACES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -70,12 +75,13 @@ class Plan:
     """Everything a worker needs for one pass over the documents."""
 
     def __init__(self, items: list[tuple[int, list[int]]], vocabulary: dict[bytes, int], rate: float, seed: int, repetitions: dict[int, int], sampled: int):
-        #: Repetitions by number of words.
+        #: Repetitions by number of words; 0: every stretch that may hold the item is verified.
         self.repetitions = repetitions
         self.items, self.vocabulary, self.rate, self.seed, self.sampled = items, vocabulary, rate, seed, sampled
         self.lengths = np.array([len(ids) for _, ids in items], np.int64)
         self.most_edits = np.array([self.edits(n) for n in self.lengths.tolist()], np.int64)
         self.longest = int(self.lengths.max()) if items else 0
+        self.walks = np.zeros((0, sampled)), np.zeros((0, 0), np.uint32)
         self.draw(max(repetitions.values(), default=0))
         width = np.int64(len(vocabulary) + 1)
         pairs = sorted({(int(a * width + b), k) for k, (_, ids) in enumerate(items) for a, b in zip(ids, ids[1:])})
@@ -84,22 +90,30 @@ class Plan:
         self.pair_starts = np.append(self.pair_starts, len(codes))
         self.pair_items = np.array([k for _, k in pairs], np.int64)
         self.table = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if items and repetitions:
+        if any(repetitions.values()):
             keys, owners = [], []
             for k, (_, ids) in enumerate(items):
                 many = repetitions[len(ids)]
-                keys.append(self.keys(np.array([ids], np.int64), self.lengths[k : k + 1], 0, many)[0])
+                for low in range(0, many, self.turns_at_once(len(ids))):
+                    high = min(many, low + self.turns_at_once(len(ids)))
+                    keys.append(self.keys(np.array([ids], np.int64), self.lengths[k : k + 1], low, high)[0])
                 owners.append(np.full(many, k))
             keys, owners = np.concatenate(keys), np.concatenate(owners)
             order = np.argsort(keys, kind="stable")
             self.table = keys[order], owners[order]
 
     def draw(self, repetitions: int) -> None:
-        """The walks; each has random numbers of its own, however many there are and however long the items."""
-        turns = [np.random.default_rng((self.seed, turn)) for turn in range(repetitions)]
+        """The walks up to that number; each has random numbers of its own, however many there are and however long the items."""
+        width = 1 + 2 * max([1, *(n for n, many in self.repetitions.items() if many)])
+        shares, salts = self.walks if self.walks[1].shape[1] == width else (np.zeros((0, self.sampled)), np.zeros((0, width), np.uint32))
+        turns = [np.random.default_rng((self.seed, turn)) for turn in range(len(shares), repetitions)]
         #: Sampled places as shares of twice the length: the embedding has three steps a word, and the walk has passed most words after two.
-        self.shares = np.array([np.sort(rng.random(self.sampled)) for rng in turns]).reshape(-1, self.sampled)
-        self.salts = np.array([rng.integers(0, 1 << 32, 1 + 2 * max(1, self.longest), np.uint32) for rng in turns], np.uint32).reshape(repetitions, 1 + 2 * max(1, self.longest))
+        shares = np.concatenate([shares, *[np.sort(rng.random(self.sampled))[None] for rng in turns]])
+        self.walks = shares, np.concatenate([salts, *[rng.integers(0, 1 << 32, width, np.uint32)[None] for rng in turns]])
+
+    @staticmethod
+    def turns_at_once(words: int) -> int:
+        return max(1, STEPS // (2 * words + 1))
 
     def edits(self, n: int) -> int:
         return floor(n * self.rate + 1e-9)
@@ -107,7 +121,7 @@ class Plan:
     def keys(self, windows: np.ndarray, lengths: np.ndarray, low: int, high: int) -> np.ndarray:
         """(windows, repetitions from low to high): a hash of the sampled places of each window's embedding. Rows are padded with -1."""
         m, turns, columns = len(windows), np.arange(low, high), np.arange(high - low)
-        shares, salts = self.shares[low:high], self.salts[low:high]
+        shares, salts = (x[low:high] for x in self.walks)
         padded = np.concatenate([windows, np.full((m, 1), -1, windows.dtype)], axis=1)
         places = np.minimum((shares[None] * (2 * lengths)[:, None, None]).astype(np.int64), np.maximum(2 * lengths - 1, 0)[:, None, None])
         steps = int(places.max()) + 1
@@ -142,7 +156,7 @@ def _class(n: int) -> int:
 
 
 def _repetitions(items: list[list[int]], probe: Plan, recall: float, rng: random.Random) -> int:
-    """How many repetitions the items of one class need to meet themselves after all edits that they allow."""
+    """How many repetitions the items of one class need to meet themselves after all edits that they allow; 0 if more than are allowed."""
 
     def met(pairs: list[tuple[list[int], list[int]]], low: int, high: int) -> np.ndarray:
         out = []
@@ -165,13 +179,14 @@ def _repetitions(items: list[list[int]], probe: Plan, recall: float, rng: random
     open_, at = trials(hard, TRIALS), 0
     allowed = (1 - recall) * len(open_)
     while at < MOST_REPETITIONS:
+        probe.draw(at + 16)
         hits = met(open_, at, at + 16)
         for turn in range(16):
             left = int((~hits[:, : turn + 1].any(axis=1)).sum())
             if left + left**0.5 <= allowed:
                 return max(4, at + turn + 1)
         open_, at = [p for p, h in zip(open_, hits.any(axis=1)) if not h], at + 16
-    raise ValueError(f"items of {len(hard[0])} words don't reach a recall of {recall} in {MOST_REPETITIONS} repetitions")
+    return 0
 
 
 def plan_for(items: list[tuple[int, list[bytes]]], rate: float, recall: float, seed: int = 7, sampled: int = 2) -> Plan:
@@ -181,14 +196,17 @@ def plan_for(items: list[tuple[int, list[bytes]]], rate: float, recall: float, s
     classes: dict[int, list[list[int]]] = {}
     plain = Plan([], {}, rate, seed, {}, sampled)
     for _, ids in numbered:
-        if plain.edits(len(ids)):
+        if plain.edits(len(ids)) and len(ids) <= LONGEST:
             classes.setdefault(_class(len(ids)), []).append(ids)
     rng, needed = random.Random(seed), {}
     for c, lists in sorted(classes.items()):
-        probe = Plan([(0, max(lists, key=len))], vocabulary, rate, seed, {}, sampled)
-        probe.draw(MOST_REPETITIONS)
+        longest = max(lists, key=len)
+        probe = Plan([(0, longest)], vocabulary, rate, seed, {}, sampled)
+        probe.repetitions = {len(longest): MOST_REPETITIONS}
+        probe.draw(16)
         needed[c] = _repetitions(lists, probe, recall, rng)
-    return Plan(numbered, vocabulary, rate, seed, {n: needed[_class(n)] if plain.edits(n) else 1 for n in {len(ids) for _, ids in numbered}}, sampled)
+    by_length = {n: 0 if n > LONGEST else needed[_class(n)] if plain.edits(n) else 1 for n in {len(ids) for _, ids in numbered}}
+    return Plan(numbered, vocabulary, rate, seed, by_length, sampled)
 
 
 def _gated(ids: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -219,6 +237,8 @@ def _gated(ids: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
         gap = spots[other] - spots
         near = np.flatnonzero(inside & (item[other] == item) & (gap <= span[item]) & (need[item] > 0))
         low = spots[other[near]] - span[item[near]]
+        same = np.concatenate([[False], item[near][1:] == item[near][:-1]]) if len(near) else np.zeros(0, bool)
+        low = np.where(same, np.maximum(low, np.concatenate([[0], spots[near][:-1] + 1])[: len(near)]), low)  # no start twice
         many = spots[near] - low + 1
         runs = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
         starts.append(runs)
@@ -236,8 +256,11 @@ def _gated(ids: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     return both // base, both % base
 
 
-def matches(texts: list[bytes], plan: Plan, block: int = 1_024) -> Iterator[tuple[int, int, int, int, int]]:
-    """``(text number, item number, edits, first word, end word)``: the best stretch for each text and item within the edit distance."""
+def matches(texts: list[bytes], plan: Plan) -> Iterator[tuple[int, int, int, int, int]]:
+    """``(text number, item number, edits, first word, end word)``: the best stretch for each text and item within the edit distance.
+
+    Windows are embedded in blocks of so many steps, so a long item costs time but no more memory.
+    """
     get = plan.vocabulary.get
     lists = [[get(w, 0) for w in words_of(t)] for t in texts]
     ends = np.cumsum([len(x) for x in lists]) if lists else np.zeros(0, int)
@@ -246,36 +269,54 @@ def matches(texts: list[bytes], plan: Plan, block: int = 1_024) -> Iterator[tupl
         return
     checked: dict[tuple[int, int, int], tuple[int, int, int]] = {}
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    all_starts, all_lengths = _gated(ids, plan)
+
+    def verify(start: int, k: int) -> None:
+        """The best stretch of those that begin near ``start``; what was verified before isn't again."""
+        doc, n, d = int(np.searchsorted(ends, start, side="right")), int(plan.lengths[k]), int(plan.most_edits[k])
+        begin, end = int(ends[doc - 1]) if doc else 0, int(ends[doc])
+        slot = start // (d + 1) * (d + 1)
+        last = checked.get((doc, k, slot))
+        if last is None:
+            left = max(begin, slot - d)
+            near = ids[left : min(end, slot + n + 2 * d + 1)].tolist()
+            edits, close = edit_distance_within(plan.items[k][1], near)
+            length = edit_distance_within(plan.items[k][1][::-1], near[:close][::-1])[1] if edits <= d else 0
+            last = checked[doc, k, slot] = (edits, left + close - length - begin, left + close - begin)
+        if last[0] <= d:
+            best[doc, k] = min(best.get((doc, k), last), last)
+
+    starts, lengths = _gated(ids, plan)
     known, owners = plan.table
-    many = np.zeros(plan.longest + 1, np.int64)
-    many[list(plan.repetitions)] = list(plan.repetitions.values())
-    order = np.lexsort((all_starts, all_lengths, many[all_lengths]))
-    all_starts, all_lengths = all_starts[order], all_lengths[order]
-    turns = many[all_lengths]
-    cuts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), len(turns)]
-    blocks = [(at, min(at + block, high)) for low, high in zip(cuts, cuts[1:]) for at in range(low, high, block)]
-    for at, stop in blocks:
-        starts, lengths = all_starts[at:stop], all_lengths[at:stop]
-        owner = np.searchsorted(ends, starts, side="right")
-        place = starts[:, None] + np.arange(int(lengths.max()))[None, :]
-        inside = place < np.minimum(ends[owner], starts + lengths)[:, None]
-        keys = plan.keys(np.where(inside, ids[np.minimum(place, len(ids) - 1)], -1), lengths, 0, int(turns[at]))
-        low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
-        pairs = {(w, int(k)) for w, r in np.argwhere(high > low).tolist() for k in owners[low[w, r] : high[w, r]]}
-        for w, k in sorted(pairs):
-            doc, p, n, d = int(owner[w]), int(starts[w]), int(plan.lengths[k]), int(plan.most_edits[k])
-            begin, end = int(ends[doc - 1]) if doc else 0, int(ends[doc])
-            slot = p // (d + 1) * (d + 1)
-            last = checked.get((doc, k, slot))
-            if last is None:
-                left = max(begin, slot - d)
-                near = ids[left : min(end, slot + n + 2 * d + 1)].tolist()
-                edits, close = edit_distance_within(plan.items[k][1], near)
-                length = edit_distance_within(plan.items[k][1][::-1], near[:close][::-1])[1] if edits <= d else 0
-                last = checked[doc, k, slot] = (edits, left + close - length - begin, left + close - begin)
-            if last[0] <= d:
-                best[doc, k] = min(best.get((doc, k), last), last)
+    turns_of = np.zeros(plan.longest + 1, np.int64)
+    turns_of[list(plan.repetitions)] = list(plan.repetitions.values())
+    order = np.lexsort((starts, lengths, turns_of[lengths]))
+    starts, lengths = starts[order], lengths[order]
+    at = int(np.searchsorted(turns_of[lengths], 1))
+    for n in np.unique(lengths[:at]).tolist():
+        mine = starts[:at][lengths[:at] == n]
+        firsts = np.unique(mine // (plan.edits(n) + 1) * (len(ends) + 1) + np.searchsorted(ends, mine, side="right"), return_index=True)[1]
+        for k in np.flatnonzero(plan.lengths == n).tolist():
+            for start in mine[firsts].tolist():
+                verify(start, k)
+    while at < len(starts):
+        turns = int(turns_of[lengths[at]])
+        stop = min(at + 1_024, len(starts))
+        same = turns_of[lengths[at:stop]] == turns
+        stop = at + (len(same) if same.all() else int(same.argmin()))
+        stop = min(stop, at + max(1, STEPS // ((2 * int(lengths[stop - 1]) + 1) * turns)))
+        begins, long = starts[at:stop], lengths[at:stop]
+        place = begins[:, None] + np.arange(int(long.max()))[None, :]
+        inside = place < np.minimum(ends[np.searchsorted(ends, begins, side="right")], begins + long)[:, None]
+        windows = np.where(inside, ids[np.minimum(place, len(ids) - 1)], -1)
+        pairs: set[tuple[int, int]] = set()
+        step = plan.turns_at_once(int(long.max()) * len(long))
+        for first in range(0, turns, step):
+            keys = plan.keys(windows, long, first, min(turns, first + step))
+            low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
+            pairs |= {(int(begins[w]), int(k)) for w, r in np.argwhere(high > low).tolist() for k in owners[low[w, r] : high[w, r]]}
+        for start, k in sorted(pairs):
+            verify(start, k)
+        at = stop
     for (doc, k), (edits, a, b) in sorted(best.items()):
         yield doc, k, edits, a, b
 
