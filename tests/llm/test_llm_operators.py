@@ -48,6 +48,22 @@ def test_many_rules_as_brute_force(spark):
         assert r["rule"] == (max(fit, key=lambda x: (len(x.name), x.action == "block", x.name)).name if fit else None)
 
 
+def test_long_rule_lists_are_joined(spark, monkeypatch):
+    """Both forms of the index give the same, rules without a literal token included."""
+    rules = [url_filter.host_path_rule(a, r) for a, r in (("allow", "a.x/"), ("block", "a.x/p"), ("block", "b/"), ("allow", "-/"))] + [url_filter.wildcard_rule("block", "*bad*"), url_filter.wildcard_rule("allow", "c/*/q")]
+    urls = [(u,) for u in ("h://a.x/pp", "h://m.a.x/", "h://-/1", "h://x.-/", "h://b", "h://b/", "h://zbadz/", "h://c/bad/q", "h://c/1/q", "h://c/1/qq", None, "none", "h://a.x/pp")]
+    df = spark.createDataFrame(urls, "url string").withColumn("_best", F.lit(7))
+    inline = sorted(map(repr, url_filter.judge_urls(df, rules).collect()))
+    monkeypatch.setattr(url_filter, "INLINE_RULES", 0)
+    joined = url_filter.judge_urls(df, rules)
+    assert sorted(map(repr, joined.collect())) == inline and len(inline) == len(urls)
+    assert not any(x in joined._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Cartesian", "NestedLoop"))
+    many = [url_filter.host_path_rule("block", f"h{i}.net/") for i in range(1200)]
+    monkeypatch.setattr(url_filter, "INLINE_RULES", 1000)
+    got = url_filter.judge_urls(spark.range(3000).selectExpr("concat('u://w.h', id, '.net/p') AS url"), many)
+    assert got.where("verdict = 'block'").count() == 1200
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 120)] + [(5, 5), (None, 3), (200, 201), (201, 202), (200, 202)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -231,6 +247,42 @@ def test_repeats_against_brute_force(spark):
     assert cut[40] == "" and all(cut[k] == t for k, t in texts.items() if k not in got)
 
 
+@pytest.mark.parametrize("often", [1, 3, 1024])
+def test_repeats_of_texts_under_one_id(spark, monkeypatch, often):
+    """Null ids with different texts, also where both text hashes are the same; repeated rows; frequent grams."""
+    monkeypatch.setattr(repeats, "OFTEN", often)
+    rng = random.Random(17)
+    line, body = prose(60), prose(90)
+    own = lambda i, n: " ".join(f"u{i}v{k}" for k in range(n))  # noqa: E731  words that no other text has
+    texts = [(None, f"{own(i, rng.randrange(5, 40))} {line} {own(i, rng.randrange(40, 300))}") for i in range(25)] + [(7, body), (7, body), (8, body), (7, prose(30) + " " + line), (9, "a b " * 80)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {}
+    for r in repeats.repeated_spans(df).collect():
+        got.setdefault((r["no_id"], r["doc"], r["bytes"]), set()).update(range(r["start"], r["stop"]))
+    first = min((t for t in texts if t[0] == 7 and line in t[1]), key=lambda t: t[0])
+    for i, t in texts[:25]:
+        at = t.split().index(line.split()[0])
+        while t.split()[at : at + 60] != line.split():
+            at += 1
+        assert sorted(got[True, 0, len(t)]) == list(range(at, at + 60))
+    assert (False, 7, len(first[1])) not in got and (False, 7, len(body)) not in got and sorted(got[False, 8, len(body)]) == list(range(90))
+    assert sorted(got[False, 9, len("a b " * 80)]) == list(range(2, 160)) and len(got) == 27
+    cut = repeats.cut_repeats(df)
+    assert cut.count() == len(texts) and cut.where("doc_id = 7 AND text = ''").count() == 0 and cut.where("doc_id IS NULL").where(F.length("text") < 4).count() == 0
+
+
+def test_repeats_where_all_text_hashes_are_equal(spark, monkeypatch):
+    """Colliding text hashes: the length still tells a 53-word and a 401-word text apart."""
+    monkeypatch.setattr(repeats, "keyed", lambda docs, id="doc_id", text="text": [c if n not in ("h1", "h2") else F.lit(1).cast("long").alias(n) for n, c in zip(repeats.KEY, KEYED(docs, id, text))])
+    texts = [prose(53), prose(401)]
+    df = spark.createDataFrame([(None, texts[0]), (None, texts[1] + " " + texts[0]), (None, texts[1])], "doc_id long, text string")
+    out = {r["text"] for r in repeats.cut_repeats(df).collect()}
+    assert sum(len(t.split()) for t in out) == 454
+
+
+KEYED = repeats.keyed
+
+
 def test_repeats_edge_cases(spark, docs):
     out = repeats.cut_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -239,6 +291,18 @@ def test_repeats_edge_cases(spark, docs):
     assert repeats.repeated_spans(docs.limit(0)).count() == 0
 
 
+def test_warc_of_ordered_pages_keeps_every_payload(spark):
+    """A frame that is sorted anew each time it is read, with fully repeated rows."""
+    n = 4_000
+    pages = spark.range(0, 2 * n, 1, 5).selectExpr("id % 7900 AS page_id", "concat('http://h/', id % 7900) AS url", f"concat(repeat('pay', 40), id % {n} % 3900) AS html", "repeat('x', cast(id % 50 as int)) AS pad")
+    pages = pages.orderBy(F.xxhash64("page_id"), "pad")
+    got = warc.read_archives(warc.write_archives(pages, shared_path(spark, "test-warc"))).toPandas()
+    assert len(got) == 2 * n and (got["record_type"] == "response").sum() == got["payload_digest"].nunique() == 3900
+    least = got.groupby("payload_digest")["page_id"].transform("min")
+    again = got["record_type"] == "revisit"
+    assert (got["refers_to"][again] == least[again]).all() and (got["page_id"][~again] == least[~again]).all()
+
+
 def test_warc(spark):
     rows = [(3, "http://a", "x" * 200), (1, None, "x" * 200), (2, "http://b\r\nX: y", "x" * 200), (4, "u", "s"), (5, "u", "s"), (6, "u", None), (7, "u", "é" * 100), (7, "u", "é" * 100), (None, "u", "x" * 200)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0))
@@ -249,16 +313,152 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0), shared_path(spark, "test-warc"))).count() == 0
 
 
-def test_order_minhash_neighbours(spark, docs):
+def plain_order_minhash(text):
+    """The fingerprint by its definition: for each permutation the two numbered 3-grams of least value, in text order, hashed as a tuple."""
+    import xxhash
+
+    mask, m = (1 << 64) - 1, order_minhash
+    mix = lambda x: (y := ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & mask) ^ y >> 32
+    words = text.encode().split()
+    if len(words) < 3:
+        grams = [xxhash.xxh3_64_intdigest(b" ".join(words))]
+    else:
+        grams = []
+        for i in range(len(words) - 2):
+            h = xxhash.xxh3_64_intdigest(words[i])
+            for w in words[i + 1 : i + 3]:
+                h = mix((h * 0x9E3779B97F4A7C15 + xxhash.xxh3_64_intdigest(w)) & mask)
+            grams.append(h)
+    seen, keys = {}, []
+    for g in grams:
+        keys.append(mix((g + seen.get(g, 0) * 0xC2B2AE3D27D4EB4F) & mask))
+        seen[g] = seen.get(g, 0) + 1
+    out = []
+    for times, flip in zip(m._TIMES.tolist(), m._FLIP.tolist()):
+        least = sorted(sorted(range(len(keys)), key=lambda i: ((keys[i] ^ flip) * times) & mask)[:2])
+        h = 0
+        for i in least:
+            h = mix((h * 0x9E3779B97F4A7C15 + grams[i] + 1) & mask)
+        out.append(h >> 32)
+    return out
+
+
+def test_order_minhash_neighbours_by_brute_force(spark, docs):
     import hashlib
 
-    for part in (docs, docs.where("doc_id = 0"), docs.where("doc_id IS NULL"), docs.limit(0)):
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    extra = spark.createDataFrame([(-(1 << 63), "least of all"), ((1 << 63) - 1, "most"), *[(None, f"null {i % 3} of many") for i in range(9)], *[(5, "again and again") for _ in range(20)]], "doc_id long, text string")
+    more = docs.select("doc_id", "text").unionByName(extra.repartition(4))
+    hexes = lambda fp: "".join(f"{x:08x}" for x in fp)
+    near = lambda a, b: round(sum(x == y for x, y in zip(a, b)) / len(a), 6)
+    for part in (docs, more, docs.where("doc_id = 0"), docs.where("doc_id IS NULL"), extra.where("doc_id = 5"), docs.limit(0)):
         got = order_minhash.neighbour_report(part).collect()
-        rows = sorted(((r["doc_id"], r["text"] or "") for r in part.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        rows = sorted(((r["doc_id"], r["text"] or "") for r in part.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
         want = []
         for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
-            want.append((i, len(t), hashlib.sha256(order_minhash.edited(t, n).encode()).hexdigest(), order_minhash.to_text(order_minhash.fingerprint(t.encode())), round(order_minhash.likeness(order_minhash.fingerprint(t.encode()), order_minhash.fingerprint(n.encode())), 6)))
-        assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_next"], 6))) for r in got)
+            third = len(t) // 3
+            changed = t[: len(t) - third] + n[:third]
+            own, other, after = map(plain_order_minhash, (t, changed, n))
+            want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), hexes(own), hexes(other), near(own, other), near(own, after)))
+        assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 6), round(r["near_next"], 6))) for r in got)
+
+
+def test_packing_query_against_the_tokenizers_library(spark):
+    """Every piece's ids, checksum and start from the library that made the vocabulary; bins by the laws and against best fit on all pieces."""
+    import struct
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from rivulet.llm.tokens import default_vocabulary
+
+    sf, t = "/root/testdata/sf0.001", Tokenizer.from_file(default_vocabulary())
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        first = len(ids) % 1024 if len(ids) > 1024 and len(ids) % 1024 else min(len(ids), 1024)
+        cuts = [0, *range(first, len(ids), 1024), len(ids)]
+        want += [(r["doc_id"], k, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = packing.query(spark, sf).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(bins) <= len(packing.best_fit([w[3] for w in want], 1024)) + 1
+
+
+def test_toxicity_query_by_brute_force(spark):
+    """Every probability again, word by word, from the fitted chain; a second fit gives the same one."""
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), toxicity._labels(spark, sf)
+    chain = toxicity.train(docs, labels, toxicity.CATEGORIES)
+    weights = [dict(zip(link.words.tolist(), link.weights.tolist())) for link in chain]
+    want = {}
+    for r in docs.collect():
+        found, before = toxicity.features((r["text"] or "").encode()).tolist(), []
+        for link, by_word in zip(chain, weights):
+            z = link.bias + sum(by_word.get(w, 0.0) for w in found) + sum(a * b for a, b in zip(before, link.earlier.tolist()))
+            before.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        want[r["doc_id"]] = before
+    got = {r["doc_id"]: r for r in toxicity.query(spark, sf).collect()}
+    assert set(got) == set(want)
+    for i, (junk, bad) in want.items():
+        assert abs(got[i]["p_low_quality"] - junk) < 1e-6 and abs(got[i]["p_toxic"] - bad) < 1e-6 and got[i]["rejected"] == (got[i]["p_toxic"] >= 0.5)
+
+
+def test_training_takes_whole_texts_and_bounded_rows(spark):
+    """Words beyond any prefix count, and an id that is repeated many times is one example."""
+    rows = [(i, " ".join(f"x{i}y{k}" for k in range(3_000)) + (" vile" if i % 2 else " kind"), 0, i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, low_quality int, toxic int").repartition(3)
+    docs = df.select("doc_id", "text")
+    flood = docs.where("doc_id = 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("k")
+    chain = toxicity.train(docs, df.drop("text"), toxicity.CATEGORIES)
+    again = toxicity.train(docs.unionByName(flood), df.drop("text").unionByName(df.drop("text")), toxicity.CATEGORIES)
+    for a, b in zip(chain, again):
+        assert a.words.tolist() == b.words.tolist() and abs(a.weights - b.weights).max(initial=0) < 1e-9
+    assert toxicity.score(docs, chain).join(df.select("doc_id", "toxic"), "doc_id").where("(p_toxic >= 0.5) <> (toxic = 1)").count() == 0
+    few = toxicity.train(docs, df.drop("text"), toxicity.CATEGORIES, sample_bytes=1)
+    assert not any(len(link.words) for link in few)
+
+
+def test_sharding_query_holds_its_law(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    got = sharding.query(spark, sf).collect()
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((i, len(t) + 16, zlib.crc32(t)) for i, t in docs.items())
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert set(slots) == set(range(40)) and {len(s) for s in slots.values()} <= {len(docs) // 40, len(docs) // 40 + 1}
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
+
+
+def test_shuffles_are_uniform(spark):
+    """Over many seeds every row comes to every shard and slot equally often, wherever it stood."""
+    df = spark.range(0, 12, 1, 3)
+    out = None
+    for seed in range(12):
+        part = sharding.shard(df, 3, seed=seed)
+        out = part if out is None else out.unionByName(part)
+    seen = out.groupBy("id", "shard").count().collect()
+    assert out.count() == 144 and max(r["count"] for r in seen) <= 11
+    import numpy as np
+
+    before, sizes = np.array([0, 4, 8, 12]), sharding.shard_sizes(12, 3)
+    share = np.mean([sharding.matrix_row(before, sizes, p, s) for s in range(1500) for p in (0, 1, 2)], axis=0)
+    assert abs(share - 4 / 3).max() < 0.06
 
 
 def test_inner_names_may_be_columns(spark, docs):

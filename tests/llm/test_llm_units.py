@@ -102,6 +102,9 @@ def test_escapes_are_reversible_and_leave_no_control_string():
 
 def test_locating_turns():
     turns = [("system", "s"), *[(r, f"{r} {i} </s>") for i in range(80) for r in ("user", "assistant")]]
+    assert chat.locate(turns, chat.AppendOnly(lambda t: chat.render([t]))) == chat.locate(turns)
+    odd = lambda ts: ("!" if 2 < len(ts) < 9 else "") + chat.render(ts)  # noqa: E731  as if nothing had been, from nine turns on
+    assert all(chat.locate(turns[:n], odd)[1:] == ([], [], 2) for n in (12, 64, 66, 161))
     for part in (turns[:7], turns):
         whole, spans, loss, rewritten = chat.locate(part)
         assert rewritten is None and "".join(whole[a:b] for a, b in spans) == whole
@@ -176,17 +179,49 @@ def test_recall_at_all_edits_on_a_mixed_benchmark(lengths):
     assert found >= 97
 
 
-def test_minimisers_and_hashes():
+def test_every_stretch_has_one_position_that_its_words_decide():
     rng = np.random.default_rng(6)
     words = rng.integers(0, 1 << 62, 400, np.uint64)
-    h = repeats.stretch_hashes(words, repeats.LEAST)
     again = np.concatenate([rng.integers(0, 1 << 62, 33, np.uint64), words[100:150], rng.integers(0, 1 << 62, 33, np.uint64)])
-    assert h[100] in repeats.stretch_hashes(again, repeats.LEAST) and len(h) == 400 - repeats.LEAST + 1
-    a = repeats.minimisers(words, np.array([400]))
-    grams = {int(a[1][i]) for i in a[0]}
-    b = repeats.minimisers(again, np.array([len(again)]))
-    inside = [i for i in b[0].tolist() if 33 <= i <= 33 + repeats.LEAST - repeats.K]
-    assert inside and any(int(b[1][i]) in grams for i in inside)
+    flat, ends = np.concatenate([words, again, words[:30], words[7:8].repeat(120)]), np.cumsum([400, len(again), 30, 120])
+    at, grams, low, high = repeats.minimisers(flat, ends)
+    stands = {}
+    for p, g, a, b in zip(at.tolist(), grams.tolist(), low.tolist(), high.tolist()):
+        assert 0 <= a <= b < repeats.W
+        for back in range(a, b + 1):
+            assert p - back not in stands
+            stands[p - back] = (back, g)
+    begins = np.concatenate([[0], ends])
+    assert set(stands) == {s for x, y in zip(begins, begins[1:]) for s in range(x, y - repeats.LEAST + 1)}
+    assert stands[100] == stands[400 + 33]
+    grams_of = repeats.gram_hashes(flat)
+    assert all(g == min(grams_of[s : s + repeats.W].tolist()) for s, (_, g) in stands.items())
+
+
+def test_copied_compares_words_on_both_sides():
+    """Suffixes of one gram (also by an accident of hashes) against all stretches by brute force."""
+    rng = random.Random(31)
+    for _ in range(30):
+        texts = [[rng.choice("ab") + str(rng.randrange(1 + (i % 7 == 0) * 3)) for i in range(110)] for _ in range(12)]
+        rows = []
+        for k, t in enumerate(texts):
+            for at in rng.sample(range(30, 60), 3):
+                low = rng.randrange(31)
+                rows.append((rng.randrange(2), "\n".join(t[at : at + 50 - low]) + "\n", k, at, low, rng.randrange(low, 31), t))
+        rows.sort(key=lambda r: r[:2])
+        known = {}
+        right = repeats._numbers([r[1].encode() for r in rows], repeats.LEAST, known)
+        left = repeats._numbers(["".join(w + "\n" for w in reversed(r[6][r[3] - r[5] : r[3]])).encode() for r in rows], repeats.W - 1, known)
+        low, high, rank = np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), np.array(rng.sample(range(len(rows)), len(rows)))
+        got = repeats.copied(np.array([r[0] for r in rows]), right, left, low, high, rank)
+        first = {}
+        for i in np.argsort(rank).tolist():
+            g, _, _, at, a, b, t = rows[i]
+            for back in range(repeats.W):
+                stretch = (g, back, tuple(t[at - back : at - back + 50]))
+                assert got[i, back] == (a <= back <= b and stretch in first), (i, back)
+                if a <= back <= b:
+                    first.setdefault(stretch, i)
 
 
 def test_cut_words():
@@ -208,24 +243,107 @@ def test_zip_and_zip64(tmp_path, monkeypatch):
         path.write_bytes(warc.package(records))
         return str(path)
 
-    recs = [(f"r{i}", warc.record({"WARC-Type": "response"}, b"\r\n\r\n" * i)) for i in range(5)]
+    heads = [{"WARC-Type": "response", "WARC-Record-ID": f"r{i}", "WARC-Date": warc.DATE, "WARC-Target-URI": f"http://b.a/{i}"} for i in range(5)]
+    recs = [(h, warc.record(h, b"\r\n\r\n" * i)) for i, h in enumerate(heads)]
     plain = build(tmp_path / "a.zip", recs)
-    assert [p for _, _, p in warc.read_archive(plain)] == [b"\r\n\r\n" * i for i in range(5)]
+    assert [p for _, p in warc.read_archive(plain)] == [b"\r\n\r\n" * i for i in range(5)]
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 50)
     monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
     big = build(tmp_path / "b.zip", recs)
     assert b"PK\x06\x06" in (tmp_path / "b.zip").read_bytes()
-    assert [n for n, _, _ in warc.read_archive(big)] == [f"r{i}" for i in range(5)]
+    assert [h["warc-record-id"] for h, _ in warc.read_archive(big)] == [f"r{i}" for i in range(5)]
     for bad in (b"", b"PK", b"x" * 100):
         (tmp_path / "c.zip").write_bytes(bad)
         with pytest.raises(ValueError):
             warc.directory(warc.RangeFile(str(tmp_path / "c.zip")))
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("x", "y" * 100)
-    (tmp_path / "d.zip").write_bytes(packed.getvalue())
+    with zipfile.ZipFile(tmp_path / "d.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/x.warc", "y" * 100)
     with pytest.raises(ValueError):
-        warc.directory(warc.RangeFile(str(tmp_path / "d.zip")))
+        list(warc.read_archive(str(tmp_path / "d.zip")))
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_packages_of_other_writers(tmp_path, packed, monkeypatch):
+    """Built by hand: other names, two archives, an index for one of them, HTTP headers, odd header lines, a compressed page list."""
+    import gzip
+
+    monkeypatch.setattr(warc, "RANGE", 64)
+    one = lambda i, body: f"WARC/1.0\r\nwarc-type:response\r\nWARC-Record-ID:  <urn:x:{i}>\r\nX-Folded: a\r\n b\r\nno colon here\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    bodies = [b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + b"<p>%d\r\n\r\n</p>" % i for i in range(6)]
+    squeeze = gzip.compress if packed else bytes
+    parts = [squeeze(one(i, b)) for i, b in enumerate(bodies)]
+    ends = [sum(map(len, parts[:i])) for i in range(4)]
+    name = "rec-1.warc.gz" if packed else "rec-1.warc"
+    lines = [f'com,a)/{i} 2024010203040{i} {{"url": "http://a.com/{i}", "filename": "{name}", "offset": "{ends[i]}", "length": {len(parts[i])}, "mime": "text/html"}}' for i in (2, 0, 1)]
+    with zipfile.ZipFile(tmp_path / "w.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/", "")
+        z.writestr(f"archive/{name}", b"".join(parts[:3]))
+        z.writestr(f"archive/{name.replace('1', '2')}", b"".join(parts[3:]))
+        z.writestr("indexes/index.cdx.gz", gzip.compress(("!meta 0 {}\n".replace("{}", "none") + "\n".join(lines)).encode()))
+        z.writestr("pages/pages.jsonl", "{}" * 100, zipfile.ZIP_DEFLATED)
+    got = list(warc.read_archive(str(tmp_path / "w.wacz")))
+    assert [h["WARC-Record-ID"] for h, _ in got] == [f"<urn:x:{i}>" for i in (2, 0, 1, 3, 4, 5)]
+    assert [p for _, p in got] == [b"<p>%d\r\n\r\n</p>" % i for i in (2, 0, 1, 3, 4, 5)] and got[0][0]["x-folded"] == "a b"
+
+
+def test_long_items_need_little_memory():
+    import resource
+
+    rng = random.Random(41)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(20_000), *[text(rng.randrange(15, 60)) for _ in range(20)]]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    plan = decontaminate.plan_for([(i, [w.encode() for w in x]) for i, x in enumerate(items)], 0.2, 0.99)
+    new = list(items[0])
+    for _ in range(2_000):
+        kind, p = rng.randrange(3), rng.randrange(len(new))
+        new[p : p + (kind != 1)] = [rng.choice(vocabulary)] if kind != 2 else []
+    got = list(decontaminate.matches([" ".join(text(300) + new + items[4]).encode(), " ".join(text(9000)).encode()], plan))
+    assert [(t, k) for t, k, *_ in got] == [(0, 0), (0, 4)] and got[0][2] <= 2_000 and got[0][3] == 300
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
+def test_hypergeometric_draws_of_any_size(monkeypatch):
+    rng = np.random.default_rng(9)
+    exact = np.array([sharding.hypergeometric(rng, 400, 700, 300) for _ in range(8000)])
+    monkeypatch.setattr(sharding, "LIBRARY_LIMIT", 2)
+    ours = np.array([sharding.hypergeometric(rng, 400, 700, 300) for _ in range(8000)])
+    spots = np.quantile(exact, [0.05, 0.25, 0.5, 0.75, 0.95])
+    assert abs(exact.mean() - ours.mean()) < 0.5 and all(abs((exact <= s).mean() - (ours <= s).mean()) < 0.03 for s in spots)
+    assert sharding.hypergeometric(rng, 5, 0, 5) == 5 and sharding.hypergeometric(rng, 0, 5, 5) == 0 and sharding.hypergeometric(rng, 3, 4, 7) == 3
+    monkeypatch.undo()
+    good, bad, n = 10**12, 39 * 10**12, 10**10
+    big = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(1500)], float)
+    sd = (n * 0.025 * 0.975 * (1 - n / (good + bad))) ** 0.5
+    assert abs(big.mean() - n / 40) < 4 * sd / 1500**0.5 and 0.9 < big.std() / sd < 1.1
+    sizes = sharding.shard_sizes(4 * 10**10, 40)
+    before = np.array([0, 10**10, 10**10, 3 * 10**10, 4 * 10**10])
+    rows = np.array([sharding.matrix_row(before, sizes, i, 5) for i in range(4)])
+    assert rows.sum(axis=0).tolist() == sizes.tolist() and rows.sum(axis=1).tolist() == np.diff(before).tolist()
+
+
+def test_later_models_see_out_of_fold_predictions(monkeypatch):
+    """What the second category's model is fitted on are predictions of models that haven't seen the example."""
+    from rivulet.llm import toxicity
+
+    rng = random.Random(51)
+    texts, junk, bad = [], [], []
+    for _ in range(150):
+        a, b = rng.random() < 0.4, rng.random() < 0.4
+        texts.append(toxicity.features(" ".join([rng.choice("klmnopq") * 3 for _ in range(6)] + ["junk"] * a + ["vile"] * b).encode()))
+        junk.append(int(a))
+        bad.append(int(b))
+    calls, fit = [], toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda bag, use, y, before, **k: calls.append((use.copy(), y, before.copy(), out := fit(bag, use, y, before, **k), bag)) or out)
+    chain = toxicity.fit_chain(texts, {"junk": np.array(junk), "bad": np.array(bad)}, folds=5)
+    assert len(calls) == 1 + 5 + 1 and len(chain) == 2
+    seen = calls[-1][2][:, 0]
+    for i, t in enumerate(texts):
+        (weights, _, bias), bag = next((out, b) for use, _, before, out, b in calls[1:6] if not use[i])
+        z = bias + sum(w for name, w in zip(bag.names.tolist(), weights) if name in set(t.tolist()))
+        assert abs(1 / (1 + np.exp(-z)) - seen[i]) < 1e-9
+    assert all(sum(not use[i] for use, *_ in calls[1:6]) == 1 for i in range(150))
 
 
 def test_order_minhash():
