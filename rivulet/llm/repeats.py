@@ -323,11 +323,13 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
 
     each = texts.select("row", F.explode(F.arrays_zip("grams", "at", "low", "high")).alias("s")).select("row", F.col("s.grams").alias("gram"), "s.at", "s.low", "s.high")
     often = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > OFTEN).alias("often"))
+    often = materialise(often, "often")  # so that the join has plain exchanges, whose large partitions Spark splits
     kept = each.join(often, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "at", "low", "high", "often")).alias("places"))
     places = materialise(texts.select("row", *KEY, "many").join(kept, "row"), "places")
     release_shuffles(spark)
     contexts = materialise(named.join(places, KEY).select("_text", "row", "no_id", "doc", "many", "places").mapInArrow(_contexts, _CONTEXT), "contexts")
     discard(places)
+    discard(often)
     release_shuffles(spark)
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
