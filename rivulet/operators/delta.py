@@ -2,25 +2,33 @@
 
 A batch of changes is netted to the ids of the rows it touched; their images
 before and after come from two versions of the table by a semi-join. Each rule
-gives what a fresh build would: filters apply to both images; groups add and
-subtract where the aggregate can be inverted and recompute only the touched
-groups where it can't; joins drop and redo the rows of touched keys.
+gives what a fresh build would: filters apply to both images; counts and sums
+of integers add and subtract; other aggregates, and all those of floating
+numbers, are built anew for the touched groups; joins drop and redo the rows of
+touched keys.
+
+What a sync writes is what changed: the rows built before stay, with a list of
+those that no longer count and a small table of new ones. Now and then both are
+put together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from ..functions.aggregates import AggregateFunction, specs, usable
+from ..functions.aggregates import specs
 from ..sources.storage import materialise
 from .relational import JoinType, filter_rows, group_rows, join_keys, join_rows
-from .table import ROW_ID, Table
+from .table import POSITION, ROW_ID, Table
 
 _INVERTIBLE = {"sum", "count", "avg"}
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: Syncs, and touched rows since, after which the rows are put together again.
+SYNCS, TOUCHED = 16, 50_000
 
 
 class Tracker:
@@ -30,30 +38,47 @@ class Tracker:
         self.table, self.cursor = table, table.log.total
         self.before = table.to_df(hidden=True)
 
-    def take(self) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    def take(self) -> tuple[DataFrame, DataFrame, list[int] | None] | None:
         """``(before, after, touched ids)`` since the last call; None without changes.
 
-        Where the log was compacted past the cursor, every row counts as touched.
+        No ids: the log was compacted past the cursor, so the view has to be built anew.
         """
         changes = self.table.log.changes_from(self.cursor)
         if changes is not None and not changes:
             return None
-        before, after = self.before, self.table.to_df(hidden=True)
-        if changes is None:
-            ids = before.select(ROW_ID).union(after.select(ROW_ID)).distinct()
-        else:
-            rows = sorted({c.row_id for c in changes})
-            ids = self.table.spark.createDataFrame([(r,) for r in rows], T.StructType([T.StructField(ROW_ID, T.LongType())]))
-        self.before, self.cursor = after, self.table.log.total
-        return before, after, ids
+        before, self.before, self.cursor = self.before, self.table.to_df(hidden=True), self.table.log.total
+        return before, self.before, None if changes is None else sorted({c.row_id for c in changes})
+
+    def ids(self, rows: Sequence[int]) -> DataFrame:
+        return F.broadcast(self.table.spark.createDataFrame([(r,) for r in rows], T.StructType([T.StructField("__t", T.LongType())])))
+
+    def images(self, df: DataFrame, rows: Sequence[int]) -> DataFrame:
+        return df.join(self.ids(rows), F.col(ROW_ID) == F.col("__t"), "left_semi")
+
+    def places(self, alias: str, place: str) -> DataFrame:
+        """The place of each row at the last sync, for reading in order."""
+        return self.before.select(F.col(ROW_ID).alias(alias), F.col(POSITION).alias(place))
+
+
+class Layers:
+    """Rows as they were written, those that no longer count (told by ``without``), and newer ones."""
 
+    def __init__(self, rows: DataFrame, without: Callable[[DataFrame, Any], DataFrame], merge: Callable[[Any, Any], Any]):
+        self.without, self.merge = without, merge
+        self.reset(rows)
 
-def images(df: DataFrame, ids: DataFrame) -> DataFrame:
-    return df.join(ids, ROW_ID, "left_semi")
+    def reset(self, rows: DataFrame) -> None:
+        self.base, self.gone, self.fresh, self.syncs, self.touched = rows, None, None, 0, 0
 
+    def rows(self) -> DataFrame:
+        return self.base if self.fresh is None else self.without(self.base, self.gone).unionByName(self.fresh)
 
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+    def apply(self, gone: Any, fresh: DataFrame, touched: int) -> None:
+        self.fresh = materialise(fresh if self.fresh is None else self.without(self.fresh, gone).unionByName(fresh), "delta")
+        self.gone = gone if self.gone is None else self.merge(self.gone, gone)
+        self.syncs, self.touched = self.syncs + 1, self.touched + touched
+        if self.syncs >= SYNCS or self.touched > TOUCHED:
+            self.reset(materialise(self.rows(), "kept"))
 
 
 class IncrementalFilter:
@@ -61,126 +86,150 @@ class IncrementalFilter:
 
     def __init__(self, table: Table, predicate: Any):
         self.tracker, self.predicate = Tracker(table), predicate
-        self.rows = filter_rows(self.tracker.before, predicate)
+        without = lambda df, ids: df.join(self.tracker.ids(sorted(ids)), F.col(ROW_ID) == F.col("__t"), "left_anti")
+        self.layers = Layers(filter_rows(self.tracker.before, predicate), without, lambda a, b: a | b)
 
     def sync(self) -> bool:
         taken = self.tracker.take()
         if taken is None:
             return False
         _, after, ids = taken
-        fresh = filter_rows(images(after, ids), self.predicate)
-        self.rows = materialise(self.rows.join(ids, ROW_ID, "left_anti").unionByName(fresh), "delta-filter")
+        if ids is None:
+            self.layers.reset(filter_rows(after, self.predicate))
+        else:
+            self.layers.apply(set(ids), filter_rows(self.tracker.images(after, ids), self.predicate), len(ids))
         return True
 
+    def frame(self) -> DataFrame:
+        rows = self.layers.rows().drop(POSITION)
+        return rows.join(self.tracker.places("__i", POSITION), F.col(ROW_ID) == F.col("__i")).drop(ROW_ID, "__i")
+
     def to_df(self) -> DataFrame:
-        return self.rows.select(*[F.col(f"`{c}`") for c in self.tracker.table.column_names()])
+        return self.layers.rows().select(*[F.col(f"`{c}`") for c in self.tracker.table.column_names()])
 
 
 class IncrementalGroup:
-    """Group rows with their row counts. Sums that meet an infinity or NaN-free rest are recomputed, not subtracted."""
+    """Groups. Where all aggregates are counts, sums and means of integers, signed states are added up; else touched groups are built anew."""
 
-    def __init__(self, table: Table, by: Sequence[str], agg: Sequence[tuple]):
+    def __init__(self, table: Table, by: str | Sequence[str], agg: Sequence[tuple]):
         self.tracker, self.by = Tracker(table), [by] if isinstance(by, str) else list(by)
-        self.agg = [(o, s, AggregateFunction.parse(f)) for o, s, f in agg]
-        self.plain = all(f.kind in _INVERTIBLE for _, _, f in self.agg)
-        self.rows = self._build(self.tracker.before)
-
-    def _sources(self) -> list[str]:
-        return list(dict.fromkeys(s for _, s, _ in self.agg))
+        self.agg = specs(agg, self.tracker.before.schema)
+        self.sources = list(dict.fromkeys(s for _, s, _ in self.agg))
+        kinds = self.tracker.before.schema
+        self.plain = all(f.kind in _INVERTIBLE for _, _, f in self.agg) and all(isinstance(kinds[s].dataType, _INTEGERS) for s in self.sources)
+        if self.plain:
+            self.layers = Layers(self._states(self.tracker.before, 1), lambda df, _: df, lambda a, _: a)
+        else:
+            merge = lambda a, b: materialise(a.unionByName(b).distinct(), "delta-keys")
+            self.layers = Layers(group_rows(self.tracker.before, self.by, self.agg), self._without, merge)
 
-    def _states(self, df: DataFrame, sign: int) -> list[Column]:
+    def _states(self, df: DataFrame, sign: int) -> DataFrame:
+        """Rows of each group, numbers and exact sums of each source, all times ``sign``."""
         out = [F.sum(F.lit(sign)).alias("__rows")]
-        for i, s in enumerate(self._sources()):
-            v = usable(df.schema, s)
-            out += [F.sum(F.when(v.isNotNull(), F.lit(sign)).otherwise(0)).alias(f"__n{i}"), F.sum(v * sign).alias(f"__s{i}"), F.max(F.abs(v) == float("inf")).alias(f"__inf{i}")]
-        return out
+        for i, s in enumerate(self.sources):
+            v = F.col(f"`{s}`")
+            out += [F.sum(F.when(v.isNotNull(), F.lit(sign)).otherwise(0)).alias(f"__n{i}"), F.sum(F.coalesce(v, F.lit(0)).cast("decimal(28,0)") * sign).cast("decimal(38,0)").alias(f"__s{i}")]
+        return df.groupBy(*self.by).agg(*out)
 
-    def _build(self, df: DataFrame) -> DataFrame:
-        specs(self.agg, df.schema)
-        if self.plain:
-            return df.groupBy(*self.by).agg(*self._states(df, 1))
-        return group_rows(df, self.by, [*self.agg])
+    def _match(self, keys: DataFrame) -> tuple[DataFrame, Any]:
+        """Null is a key like any other."""
+        named = keys.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(self.by)])
+        match = F.lit(True)
+        for i, k in enumerate(self.by):
+            match = match & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+        return named, match
+
+    def _without(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        return rows.join(*self._match(keys), "left_anti")
+
+    def _summed(self, states: DataFrame) -> DataFrame:
+        return states.groupBy(*self.by).agg(*[F.sum(c).cast(states.schema[c].dataType).alias(c) for c in states.columns if c.startswith("__")])
 
     def sync(self) -> bool:
         taken = self.tracker.take()
         if taken is None:
             return False
         before, after, ids = taken
-        old, new = images(before, ids), images(after, ids)
+        if ids is None:
+            self.layers.reset(self._states(after, 1) if self.plain else group_rows(after, self.by, self.agg))
+            return True
+        old, new = self.tracker.images(before, ids), self.tracker.images(after, ids)
         if self.plain:
-            moved = old.groupBy(*self.by).agg(*self._states(old, -1)).unionByName(new.groupBy(*self.by).agg(*self._states(new, 1)))
-            both = self.rows.unionByName(moved)
-            sums = [F.sum(c).alias(c) if not c.startswith("__inf") else F.max(c).alias(c) for c in self.rows.columns if c.startswith("__")]
-            merged = both.groupBy(*self.by).agg(*sums).where("__rows > 0")
-            infinite = None
-            for i in range(len(self._sources())):
-                infinite = F.coalesce(F.col(f"__inf{i}"), F.lit(False)) | (infinite if infinite is not None else F.lit(False))
-            merged = materialise(merged, "delta-group")
-            bad = merged.where(infinite).select(*self.by)
-            if not bad.isEmpty():
-                merged = materialise(self._replaced(merged, bad, after), "delta-group")
-            self.rows = merged
+            self.layers.apply((), self._summed(self._states(old, -1).unionByName(self._states(new, 1))), len(ids))
+            if self.layers.fresh is None:  # put together: one row a group again
+                self.layers.reset(materialise(self._summed(self.layers.base).where("__rows > 0"), "kept"))
         else:
-            keys = old.select(*self.by).union(new.select(*self.by)).distinct()
-            self.rows = materialise(self._replaced(self.rows, keys, after), "delta-group")
+            keys = materialise(old.select(*self.by).union(new.select(*self.by)).distinct(), "delta-keys")
+            self.layers.apply(keys, group_rows(after.join(*self._match(keys), "left_semi"), self.by, self.agg), len(ids))
         return True
 
-    def _replaced(self, rows: DataFrame, keys: DataFrame, after: DataFrame) -> DataFrame:
-        """Groups of ``keys`` built anew from the table, the others as they are. Null is a key like any other."""
-        named = keys.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(self.by)])
-        match = F.lit(True)
-        for i, k in enumerate(self.by):
-            match = match & _same(F.col(f"`{k}`"), F.col(f"__k{i}"))
-        return rows.join(named, match, "left_anti").unionByName(self._build(after.join(named, match, "left_semi")))
+    def frame(self) -> DataFrame:
+        """With the first row's place, by which groups are read in order."""
+        firsts = self.tracker.before.groupBy(*self.by).agg(F.min(F.struct(POSITION)).alias("__first"))
+        named = firsts.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(self.by)], "__first")
+        return self.to_df().join(named, self._match(firsts)[1]).drop(*[f"__k{i}" for i in range(len(self.by))])
 
     def to_df(self) -> DataFrame:
         if not self.plain:
-            return self.rows
+            return self.layers.rows()
+        rows = self._summed(self.layers.rows()).where("__rows > 0")
         out = []
         for o, s, f in self.agg:
-            i = self._sources().index(s)
-            n, total = F.col(f"__n{i}"), F.col(f"__s{i}")
-            value = {"count": n, "sum": F.when(n > 0, total), "avg": F.when(n > 0, total / n)}[f.kind]
-            out.append(value.alias(o))
-        return self.rows.select(*self.by, *out)
+            i = self.sources.index(s)
+            n, total = F.col(f"__n{i}"), F.col(f"__s{i}").cast("double")
+            out.append({"count": n, "sum": F.when(n > 0, total), "avg": F.when(n > 0, total / n)}[f.kind].alias(o))
+        return rows.select(*self.by, *out)
 
 
 class IncrementalJoin:
     """Joined rows with both sides' ids. One rule serves all four modes and changes on both sides."""
 
-    def __init__(self, left: Table, right: Table, on=None, how: str | JoinType = "left", left_on=None, right_on=None):
+    def __init__(self, left: Table, right: Table, on=None, how: str | JoinType = "left", left_on=None, right_on=None, strict_types: bool = True):
         self.left, self.right = Tracker(left), Tracker(right)
-        self.keys, self.how = join_keys(on, left_on, right_on), JoinType.parse(how)
-        self.rows = self._build(self.left.before, self.right.before)
+        self.keys, self.how, self.strict = join_keys(on, left_on, right_on), JoinType.parse(how), strict_types
+        self.layers = Layers(self._build(self.left.before, self.right.before), self._without, lambda a, b: tuple(materialise(x.unionByName(y).distinct(), "delta-gone") for x, y in zip(a, b)))
 
     def _build(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        return join_rows(left, right, how=self.how, left_on=self.keys[0], right_on=self.keys[1])
+        return join_rows(left, right, how=self.how, left_on=self.keys[0], right_on=self.keys[1], strict_types=self.strict)
+
+    def _without(self, rows: DataFrame, gone: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+        """Rows with a touched key or a touched row on neither side."""
+        keys, *ids = gone
+        for prefix, names, own, t in (("", self.keys[0], "__lrid", ids[0]), ("right_", self.keys[1], "__rrid", ids[1])):
+            rows = rows.join(keys, [F.col(f"`{prefix}{n}`") == F.col(f"__k{i}") for i, n in enumerate(names)], "left_anti")
+            rows = rows.join(t, F.col(own) == F.col("__t"), "left_anti")
+        return rows
 
     def sync(self) -> bool:
         taken = [t.take() for t in (self.left, self.right)]
         if taken == [None, None]:
             return False
-        spark = self.left.table.spark
-        none = spark.createDataFrame([], T.StructType([T.StructField(ROW_ID, T.LongType())]))
-        ids, keys, after = [], None, []
+        if any(side and side[2] is None for side in taken):
+            self.layers.reset(self._build(self.left.before, self.right.before))
+            return True
+        keys, ids, after, many = None, [], [], 0
         for side, tracker, names in zip(taken, (self.left, self.right), self.keys):
-            ids.append(side[2] if side else none)
+            ids.append(tracker.ids(side[2] if side else []))
             after.append(tracker.before)
-            for image in (side[0], side[1]) if side else ():
-                k = images(image, side[2]).select(*[F.col(f"`{n}`").alias(f"__k{i}") for i, n in enumerate(names)])
+            many += len(side[2]) if side else 0
+            for image in side[:2] if side else ():
+                k = tracker.images(image, side[2]).select(*[F.col(f"`{n}`").alias(f"__k{i}") for i, n in enumerate(names)])
                 keys = k if keys is None else keys.union(k)
         keys = materialise(keys.dropna().distinct(), "delta-keys")
         touched = []
         for df, own, names in zip(after, ids, self.keys):
-            by_key = df.join(keys, [F.col(f"`{n}`") == F.col(f"__k{i}") for i, n in enumerate(names)], "left_semi").select(ROW_ID)
-            touched.append(materialise(by_key.union(own).distinct().withColumnRenamed(ROW_ID, "__t"), "delta-ids"))
-        old_keys = lambda prefix, names: [F.col(f"`{prefix}{n}`") == F.col(f"__k{i}") for i, n in enumerate(names)]
-        kept = self.rows
-        for prefix, names, hidden_id, t in (("", self.keys[0], "__lrid", touched[0]), ("right_", self.keys[1], "__rrid", touched[1])):
-            kept = kept.join(keys, old_keys(prefix, names), "left_anti").join(t, F.col(hidden_id) == F.col("__t"), "left_anti")
+            by_key = df.join(keys, [F.col(f"`{n}`") == F.col(f"__k{i}") for i, n in enumerate(names)], "left_semi").select(F.col(ROW_ID).alias("__t"))
+            touched.append(materialise(by_key.union(own).distinct(), "delta-ids"))
         redone = self._build(*[df.join(t, F.col(ROW_ID) == F.col("__t"), "left_semi") for df, t in zip(after, touched)])
-        self.rows = materialise(kept.unionByName(redone), "delta-join")
+        self.layers.apply((keys, *touched), redone, many)
         return True
 
+    def frame(self) -> DataFrame:
+        rows = self.layers.rows().drop(f"__l{POSITION[2:]}", f"__r{POSITION[2:]}")
+        for tracker, side in ((self.left, "l"), (self.right, "r")):
+            rows = rows.join(tracker.places("__i", f"__{side}{POSITION[2:]}"), F.col(f"__{side}rid") == F.col("__i"), "left").drop("__i", f"__{side}rid")
+        return rows
+
     def to_df(self) -> DataFrame:
-        return self.rows.select(*[F.col(f"`{c}`") for c in self.rows.columns if not c.startswith("__")])
+        rows = self.layers.rows()
+        return rows.select(*[F.col(f"`{c}`") for c in rows.columns if not c.startswith("__")])

@@ -6,6 +6,7 @@ that don't care for order never see them and pay nothing for them.
 
 from __future__ import annotations
 
+import dis
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from enum import Enum
@@ -77,14 +78,35 @@ def _q(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
 
-def row_udf(fn: Callable[[dict], Any], df: DataFrame, kind: T.DataType) -> Column:
-    """A Python callable on row dicts. Opaque to Catalyst: a Column or an expression string is the fast path."""
-    names = visible(df)
+def row_udf(fn: Callable[[dict], Any], df: DataFrame, kind: T.DataType, then: Callable[[Any], Any] = lambda v: v) -> Column:
+    """A Python callable on row dicts, by Arrow batches. Opaque to Catalyst: a Column or an expression string is the fast path.
+
+    Only the columns that the callable can name are sent: where its code, and
+    that of the functions inside it, holds no name but constant ones.
+    """
+    names = _named(fn, visible(df))
+
+    def call(*values):
+        return then(fn(dict(zip(names, values))))
+
+    return F.udf(call, kind, useArrow=True)(*_q(names))
 
-    def call(row):
-        return fn({n: row[n] for n in names})
 
-    return F.udf(call, kind)(F.struct(*_q(names)))
+def _named(fn: Callable, names: list[str]) -> list[str]:
+    """The columns that occur in the code as constants of ``row["name"]``; all of them where the row is used in any other way."""
+    code = getattr(fn, "__code__", None)
+    if code is None or code.co_argcount != 1 or code.co_flags & 0x0C or code.co_cellvars or code.co_freevars and any(callable(c.cell_contents) for c in fn.__closure__):
+        return names
+    row, said, steps = code.co_varnames[0], set(), list(dis.get_instructions(code))
+    for a, b, c in zip(steps, [*steps[1:], None], [*steps[2:], None, None]):
+        loads = a.argval if isinstance(a.argval, tuple) else (a.argval,)
+        if not a.opname.startswith(("LOAD_FAST", "STORE_FAST", "DELETE_FAST")) or row not in loads:
+            continue
+        plain = a.opname in ("LOAD_FAST", "LOAD_FAST_BORROW") and b is not None and b.opname == "LOAD_CONST" and b.argval in names
+        if not plain or c is None or not (c.opname == "BINARY_SUBSCR" or c.opname == "BINARY_OP" and c.argrepr == "[]"):
+            return names
+        said.add(b.argval)
+    return [n for n in names if n in said] or names[:1]
 
 
 def filter_rows(df: DataFrame, predicate: str | Column | Callable[[dict], bool]) -> DataFrame:
@@ -92,7 +114,7 @@ def filter_rows(df: DataFrame, predicate: str | Column | Callable[[dict], bool])
         return df.where(compile_predicate(predicate, df.schema))
     if isinstance(predicate, Column):
         return df.where(predicate)
-    return df.where(row_udf(lambda r: bool(predicate(r)), df, T.BooleanType()))
+    return df.where(row_udf(predicate, df, T.BooleanType(), bool))
 
 
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -11,8 +11,11 @@ driver, it is written into a new base.
 from __future__ import annotations
 
 import weakref
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -116,6 +119,8 @@ class Table:
         self.spark = spark or SparkSession.active()
         self._base: DataFrame | None = None
         self._at: Callable[[int], DataFrame] | None = None
+        self._ahead: dict[int, dict[str, Any]] = {}
+        self._ids_are_places = False
         self._pieces: list[Stretch | Held] = []
         self._updates: dict[int, dict[str, Any]] = {}
         self._next_id, self._version = 0, 0
@@ -131,7 +136,7 @@ class Table:
         table = cls(name, Schema.from_spark(df.schema), spark=df.sparkSession, **options)
         base, n, at = numbered(df, POSITION)
         table._rebase(base.withColumn(ROW_ID, F.col(POSITION)), n, lambda place: at(place).withColumn(ROW_ID, F.col(POSITION)))
-        table._next_id = n
+        table._next_id, table._ids_are_places = n, True
         return table
 
     @classmethod
@@ -160,7 +165,8 @@ class Table:
         return table
 
     def _rebase(self, base: DataFrame, n: int, at: Callable[[int], DataFrame]) -> None:
-        self._base, self._at, self._pieces, self._updates = base, at, [Stretch(0, n)] if n else [], {}
+        self._base, self._at, self._pieces, self._updates, self._ahead = base, at, [Stretch(0, n)] if n else [], {}, {}
+        self._ids_are_places = False
 
     # -- metadata
 
@@ -303,9 +309,74 @@ class Table:
         self._version += 1
         self._settle()
 
+    def set_values(self, edits: Sequence[tuple[int, str, Any]]) -> int:
+        """``(row, column, value)`` edits, all or none; the base rows they touch are read by one scan."""
+        for row, column, value in edits:
+            number = self.schema.get_column_index(column)
+            if number is None:
+                raise KeyError(column)
+            if not 0 <= row < len(self):
+                raise IndexError(f"row {row} is out of range")
+            convert(value, column, *self.schema.get_column_info(number)[1:])
+        with self._read_ahead([row for row, _, _ in edits]):
+            for row, column, value in edits:
+                self.set_value(row, column, value)
+        return len(edits)
+
+    def delete_rows(self, rows: Sequence[int]) -> int:
+        """Deletes the rows at these places, all or none; places are those before the call."""
+        places = sorted(set(rows), reverse=True)
+        if places and not 0 <= places[-1] <= places[0] < len(self):
+            raise IndexError("a row is out of range")
+        with self._read_ahead(places):
+            for row in places:
+                self.delete_row(row)
+        return len(places)
+
+    @contextmanager
+    def _read_ahead(self, rows: Sequence[int]) -> Iterator[None]:
+        """While it is open, these rows of the base are at hand."""
+        starts = [0, *accumulate(map(len, self._pieces))]
+        wanted = set()
+        for row in rows:
+            k = bisect_right(starts, row) - 1
+            if isinstance(self._pieces[k], Stretch):
+                wanted.add(self._pieces[k].start + row - starts[k])
+        if wanted:
+            keys = self.spark.createDataFrame([(p,) for p in sorted(wanted)], "__at long")
+            found = self._base.join(F.broadcast(keys), F.col(POSITION) == F.col("__at")).drop("__at")
+            self._ahead = {r[POSITION]: r.asDict() for r in found.toLocalIterator()}
+        try:
+            yield
+        finally:
+            self._ahead = {}
+
+    def index_of(self, row_id: int) -> int | None:
+        """Where the row with that id is now; None if there is none."""
+        at = 0
+        for piece in self._pieces:
+            if isinstance(piece, Held):
+                for i, (rid, _) in enumerate(piece.rows):
+                    if rid == row_id:
+                        return at + i
+            at += len(piece)
+        if self._base is None:
+            return None
+        if self._ids_are_places:
+            place = row_id
+        else:
+            found = self._base.where(F.col(ROW_ID) == row_id).select(POSITION).first()
+            place = -1 if found is None else found[0]
+        at = 0
+        for piece in self._pieces:
+            if isinstance(piece, Stretch) and piece.start <= place < piece.stop:
+                return at + place - piece.start
+            at += len(piece)
+        return None
+
     def _base_row(self, place: int) -> dict[str, Any]:
         """One row of the base: its file and number in it, or the stored place, prune the scan."""
-        return self._at(place).first().asDict()
+        return self._ahead[place] if place in self._ahead else self._at(place).first().asDict()
 
     def _settle(self) -> None:
         held = sum(len(p) for p in self._pieces if isinstance(p, Held))

@@ -39,6 +39,7 @@ class View:
         self._syncs, self._parents_at = 0, ()
         self._pinned: DataFrame | None = None
         self._placed: tuple[int, DataFrame] | None = None
+        self._kept = None
         self.refresh()
 
     def build(self) -> DataFrame:
@@ -62,11 +63,30 @@ class View:
         for p in self.parents:
             if isinstance(p, View) and not p.registers:
                 p.refresh()
-        self._pinned, self._count = self.build(), None
+        if self._kept is not None:
+            self._kept.sync()
+            self._pinned = None
+        else:
+            self._pinned = self.build()
+        self._count = None
         self._cursors = {id(r): r.log.total for r in self.roots()}
         self._parents_at = tuple(p.version() for p in self.parents)
         self._syncs += 1
 
+    def maintain(self):
+        """From now on ``tick()`` keeps the view's rows and applies what changed, instead of building it anew when it is read.
+
+        For filters, groups and joins whose parents are root tables.
+        """
+        if not all(isinstance(p, Table) for p in self.parents):
+            raise TypeError("only a view whose parents are root tables can be maintained")
+        self._kept = self._incremental()
+        self.refresh()
+        return self
+
+    def _incremental(self):
+        raise TypeError(f"a {type(self).__name__} has no rows of its own to maintain")
+
     def sync(self) -> bool:
         """Brings the view up to date; whether anything had changed."""
         if tuple(p.version() for p in self.parents) == self._parents_at:
@@ -87,9 +107,14 @@ class View:
     # -- reads
 
     def frame(self) -> DataFrame:
+        """The rows with hidden columns that say their order."""
+        if self._pinned is None:
+            self._pinned = self._kept.frame()
         return self._pinned
 
     def to_df(self) -> DataFrame:
+        if self._kept is not None:
+            return self._kept.to_df()
         df = self.frame()
         return df.select(*[F.col(f"`{c}`") for c in visible(df)])
 
@@ -117,7 +142,7 @@ class View:
 
     def __len__(self) -> int:
         if self._count is None:
-            self._count = self.frame().count()
+            self._count = (self.frame() if self._kept is None else self._kept.to_df()).count()
         return self._count
 
     def is_empty(self) -> bool:
@@ -188,6 +213,11 @@ class FilterView(View):
     def build(self) -> DataFrame:
         return filter_rows(frame_of(self.parents[0]), self.predicate)
 
+    def _incremental(self):
+        from .delta import IncrementalFilter
+
+        return IncrementalFilter(self.parents[0], self.predicate)
+
 
 class _Following(View):
     """Stateless: always shows its parent as that is now."""
@@ -231,6 +261,11 @@ class JoinView(View):
         left, right = map(frame_of, self.parents)
         return join_rows(left, right, how=self.how, left_on=self.keys[0], right_on=self.keys[1], strict_types=self.strict)
 
+    def _incremental(self):
+        from .delta import IncrementalJoin
+
+        return IncrementalJoin(*self.parents, how=self.how, left_on=self.keys[0], right_on=self.keys[1], strict_types=self.strict)
+
 
 def _literal(value: Any):
     return F.struct(*[_literal(v).alias(n) for n, v in value.asDict().items()]) if isinstance(value, Row) else F.lit(value)
@@ -288,3 +323,8 @@ class AggregateView(View):
 
     def build(self) -> DataFrame:
         return group_rows(frame_of(self.parents[0]), self.by, self.agg, order=True)
+
+    def _incremental(self):
+        from .delta import IncrementalGroup
+
+        return IncrementalGroup(self.parents[0], self.by, self.agg)
