@@ -461,6 +461,12 @@ class Table:
     def row_ids(self) -> list[int]:
         return [r[ROW_ID] for r in self.to_df(hidden=True).select(ROW_ID, POSITION).orderBy(POSITION).toLocalIterator()]
 
+    def rows_with_ids(self) -> Iterator[tuple[int, dict[str, Any]]]:
+        """(row id, row) in order."""
+        names = self.column_names()
+        for r in self.to_df(hidden=True).orderBy(POSITION).toLocalIterator():
+            yield r[ROW_ID], {n: r[n] for n in names}
+
     def __getitem__(self, key: int | slice | str) -> Any:
         if isinstance(key, str):
             if key not in self.column_names():

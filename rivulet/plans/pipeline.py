@@ -34,23 +34,28 @@ def _wire_function(name: str) -> str:
 
 
 def build_node(spec: dict[str, Any], parent: Table | View) -> View:
-    """One node: ``{"kind": "filter", "expr"}``, ``{"kind": "sort", "keys"}`` or ``{"kind": "group", "group_by", "aggregates"}``."""
-    kind = spec["kind"].lower()
+    """One node of the wire format.
+
+    ``{"kind": "filter", "predicate"}``, ``{"kind": "sort", "keys": [{"column", "descending"}]}`` or
+    ``{"kind": "group", "group_by", "aggs": [{"alias", "op", "column"}]}``; a count may go without a column.
+    """
+    kind = spec["kind"]
     if kind == "filter":
-        return FilterView(parent, spec["expr"])
+        return FilterView(parent, spec["predicate"])
     if kind == "sort":
-        keys = [SortKey(k["column"], SortOrder.DESCENDING if k.get("descending") else SortOrder.ASCENDING, bool(k.get("nulls_first", False))) for k in spec["keys"]]
+        keys = [SortKey(k["column"], SortOrder.DESCENDING if k["descending"] else SortOrder.ASCENDING) for k in spec["keys"]]
         return SortedView(spec["id"], parent, keys)
-    if kind in ("group", "aggregate"):
-        if not spec.get("group_by"):
+    if kind == "group":
+        if not spec["group_by"]:
             raise ValueError("group_by is empty")
         agg = []
-        for a in spec["aggregates"]:
-            if not a.get("column"):
-                raise ValueError("an aggregate needs a column")
-            agg.append((a.get("alias") or a.get("name") or f"{a['function']}_{a['column']}", a["column"], _wire_function(a["function"])))
+        for a in spec["aggs"]:
+            op, column = _wire_function(a["op"]), a.get("column")
+            if column is None and op != "count":
+                raise ValueError(f"the aggregate '{a['alias']}' needs a column")
+            agg.append((a["alias"], spec["group_by"][0] if column is None else column, op))
         return AggregateView(spec["id"], parent, spec["group_by"], agg)
-    raise ValueError(f"unknown node kind '{spec['kind']}'")
+    raise ValueError(f"unknown node kind '{kind}'")
 
 
 def build_pipeline(root: Table | View, nodes: Sequence[dict[str, Any]]) -> dict[str, View]:

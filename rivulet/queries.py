@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.aggregates import whole_column
-from .operators.delta import IncrementalFilter, IncrementalGroup, IncrementalJoin
 from .operators.relational import SortKey, add_column, filter_rows, group_rows, join_rows, select_columns, sort_keys
 from .operators.table import Table
 from .operators.views import SortedView
@@ -103,13 +102,13 @@ def filter_expr_indices(spark, sf):
     return spark.createDataFrame([(i,) for i in table.filter_expr("c_acctbal > 9000")], "i long")
 
 
-@_query("""SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS place, l_orderkey, l_linenumber, l_quantity, l_comment_length FROM
+@_query("""SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS place, l_orderkey, l_linenumber, l_quantity, l_comment_length FROM
   (SELECT *, length(l_returnflag || l_linestatus) AS l_comment_length FROM lineitem)""")
 def root_over_sorted_lineitem(spark, sf):
     """Every row of a root over an ordered, shuffled frame, with its place."""
     from .operators.table import POSITION
 
-    df = read_table(spark, sf, "lineitem").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    df = read_table(spark, sf, "lineitem").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     df = df.select("l_orderkey", "l_linenumber", "l_quantity", F.length(F.concat("l_returnflag", "l_linestatus")).cast("long").alias("l_comment_length"))
     rows = Table.from_dataframe("lineitem", df).to_df(hidden=True)
     return rows.select(F.col(POSITION).alias("place"), "l_orderkey", "l_linenumber", "l_quantity", "l_comment_length")
@@ -316,14 +315,25 @@ def _ranked(spark, sf, keys):
     return view.ordered().select(F.col("__at").alias("place"), "c_custkey")
 
 
-def _slice(spark, sf, start, stop):
+def _frame(spark, rows: list[dict], ddl: str) -> DataFrame:
+    """Rows that a call has returned to the driver."""
+    names = [c.split()[0] for c in ddl.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ddl)
+
+
+def _top_orders(spark, sf):
     orders = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    ordered = orders.orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return ordered.limit(stop) if not start else ordered.offset(start).limit(stop - start)
+    return Table.from_dataframe("orders", orders).sort(["o_totalprice", "o_orderkey"], [True, False])
+
+
+def _slice(spark, sf, key):
+    return _frame(spark, _top_orders(spark, sf)[key], "o_orderkey long, o_totalprice double")
 
 
-_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "topk_slice")(lambda spark, sf: _slice(spark, sf, 0, 10))
-_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", "slice_range")(lambda spark, sf: _slice(spark, sf, 5, 15))
+_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "topk_slice")(lambda spark, sf: _slice(spark, sf, slice(10)))
+_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", "slice_range")(lambda spark, sf: _slice(spark, sf, slice(5, 15)))
+_query("""SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS i FROM orders)
+  WHERE i BETWEEN 8 AND 40 AND i % 4 = 0""", "slice_backwards_by_step")(lambda spark, sf: _slice(spark, sf, slice(40, 6, -4)))
 
 
 @_query("SELECT o_orderpriority, count(o_totalprice) AS n, max(o_totalprice) AS top FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 50000 GROUP BY 1")
@@ -333,75 +343,359 @@ def filter_sort_group_chain(spark, sf):
     return view.to_df()
 
 
-# -- ticks: a root over a driver table, edits by place, views brought up to date
+# -- ticks: a root over all customers, edits by place, views brought up to date
 
-_EDITED = """WITH c AS (SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)"""
+_EDITED = """WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer)"""
 
 
 def _nation(spark, sf):
     return Table.from_dataframe("nation", read_table(spark, sf, "nation").orderBy("n_nationkey"))
 
 
-@_query(f"{_EDITED}, e AS (SELECT n_regionkey FROM c UNION ALL SELECT 1) SELECT n_regionkey, count(*) AS n FROM e GROUP BY 1")
+def _customers(spark, sf):
+    return Table.from_dataframe("customer", read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal").orderBy("c_custkey"))
+
+
+def _new(key: int, nation: int, balance: float | None = 10.5) -> dict:
+    return {"c_custkey": key, "c_name": f"new {key}", "c_nationkey": nation, "c_acctbal": balance}
+
+
+@_query(f"{_EDITED}, e AS (SELECT c_nationkey FROM c UNION ALL SELECT 1) SELECT c_nationkey, count(*) AS n FROM e GROUP BY 1")
 def tick_insert(spark, sf):
-    t = _nation(spark, sf)
-    view = t.group_by("n_regionkey", [("n", "n_regionkey", "count")])
-    t.append_row({"n_nationkey": 100, "n_name": "new", "n_regionkey": 1})
+    t = _customers(spark, sf)
+    view = t.group_by("c_nationkey", [("n", "c_nationkey", "count")])
+    t.append_row(_new(-1, 1))
     t.tick()
     return view.to_df()
 
 
-@_query(f"{_EDITED} SELECT n_nationkey, CASE WHEN i = 3 THEN 'renamed' ELSE n_name END AS n_name FROM c WHERE CASE WHEN i = 3 THEN 'renamed' ELSE n_name END <> 'nothing'")
+@_query(f"{_EDITED} SELECT c_custkey, CASE WHEN i = 3 THEN 'renamed' ELSE c_name END AS c_name FROM c WHERE i = 3 OR c_name <> 'nothing'")
 def tick_update(spark, sf):
-    t = _nation(spark, sf)
-    view = t.filter("n_name != 'nothing'")
-    t.set_value(3, "n_name", "renamed")
+    t = _customers(spark, sf)
+    view = t.filter("c_name != 'nothing'").maintain()
+    t.set_value(3, "c_name", "renamed")
     t.tick()
-    return view.to_df().select("n_nationkey", "n_name")
+    return view.to_df().select("c_custkey", "c_name")
 
 
-@_query(f"{_EDITED} SELECT n_nationkey, n_regionkey FROM c WHERE i NOT IN (0, 5) AND n_regionkey >= 1")
+@_query(f"{_EDITED} SELECT c_custkey, c_nationkey FROM c WHERE i NOT IN (0, 5, 100) AND c_nationkey >= 10")
 def tick_delete(spark, sf):
-    t = _nation(spark, sf)
-    kept = IncrementalFilter(t, "n_regionkey >= 1")
+    t = _customers(spark, sf)
+    kept = t.filter("c_nationkey >= 10").maintain()
     t.delete_row(0)
     t.delete_row(4)
-    kept.sync()
-    return kept.to_df().select("n_nationkey", "n_regionkey")
+    t.tick()
+    t.delete_row(98)
+    t.tick()
+    return kept.to_df().select("c_custkey", "c_nationkey")
 
 
-@_query(f"""{_EDITED}, e AS (SELECT n_nationkey, CASE WHEN i = 7 THEN 4 ELSE n_regionkey END AS n_regionkey FROM c WHERE i <> 2 UNION ALL SELECT 50, 2 UNION ALL SELECT 51, 4)
-  SELECT n_regionkey, count(*) AS n, sum(n_nationkey)::DOUBLE AS total, avg(n_nationkey) AS mean FROM e GROUP BY 1""")
+@_query(f"""{_EDITED}, e AS (SELECT c_custkey, CASE WHEN i = 7 THEN 4 ELSE c_nationkey END AS c_nationkey FROM c WHERE i <> 2 UNION ALL SELECT -50, 2 UNION ALL SELECT -51, 4)
+  SELECT c_nationkey, count(*) AS n, sum(c_custkey)::DOUBLE AS total, round(avg(c_custkey), 6) AS mean FROM e GROUP BY 1""")
 def tick_batch(spark, sf):
-    t = _nation(spark, sf)
-    groups = IncrementalGroup(t, "n_regionkey", [("n", "n_nationkey", "count"), ("total", "n_nationkey", "sum"), ("mean", "n_nationkey", "avg")])
-    t.set_value(7, "n_regionkey", 4)
+    t = _customers(spark, sf)
+    groups = t.group_by("c_nationkey", [("n", "c_custkey", "count"), ("total", "c_custkey", "sum"), ("mean", "c_custkey", "avg")]).maintain()
+    t.set_value(7, "c_nationkey", 4)
     t.delete_row(2)
-    t.append_rows([{"n_nationkey": 50, "n_name": "x", "n_regionkey": 2}, {"n_nationkey": 51, "n_name": "y", "n_regionkey": 4}])
-    groups.sync()
-    return groups.to_df()
+    t.append_rows([_new(-50, 2), _new(-51, 4)])
+    t.tick()
+    return _rounded(groups.to_df(), "mean", digits=6)
 
 
-@_query(f"{_EDITED} SELECT n_regionkey, min(n_nationkey)::DOUBLE AS low, max(n_nationkey)::DOUBLE AS high, median(n_nationkey)::DOUBLE AS mid FROM c WHERE i <> 0 GROUP BY 1")
+@_query(f"""{_EDITED} SELECT c_nationkey, min(c_acctbal) AS low, max(c_acctbal) AS high, median(c_acctbal) AS mid, round(sum(c_acctbal), 2) AS total
+  FROM c WHERE i NOT IN (0, 1, 2) GROUP BY 1""")
 def tick_group_min_retract(spark, sf):
-    t = _nation(spark, sf)
-    groups = IncrementalGroup(t, "n_regionkey", [("low", "n_nationkey", "min"), ("high", "n_nationkey", "max"), ("mid", "n_nationkey", "median")])
-    t.delete_row(0)
-    groups.sync()
-    return groups.to_df()
+    t = _customers(spark, sf)
+    groups = t.group_by("c_nationkey", [("low", "c_acctbal", "min"), ("high", "c_acctbal", "max"), ("mid", "c_acctbal", "median"), ("total", "c_acctbal", "sum")]).maintain()
+    t.delete_rows([0, 1, 2])
+    t.tick()
+    return _rounded(groups.to_df(), "total", digits=2)
 
 
-@_query(f"""{_EDITED}, a AS (SELECT n_nationkey, CASE WHEN i = 1 THEN 4 ELSE n_regionkey END AS n_regionkey FROM c),
-  b AS (SELECT r_regionkey, r_name FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 9, 'far')
-  SELECT n_nationkey, n_regionkey, r_regionkey AS right_r_regionkey, r_name AS right_r_name FROM a FULL JOIN b ON n_regionkey = r_regionkey""")
+@_query(f"""{_EDITED}, a AS (SELECT c_custkey, CASE WHEN i = 1 THEN 4 ELSE c_nationkey END AS c_nationkey FROM c),
+  b AS (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <> 2 UNION ALL SELECT 99, 'far')
+  SELECT c_custkey, c_nationkey, n_nationkey AS right_n_nationkey, n_name AS right_n_name FROM a FULL JOIN b ON c_nationkey = n_nationkey""")
 def tick_join_both_sides(spark, sf):
-    left, right = _nation(spark, sf), Table.from_dataframe("region", read_table(spark, sf, "region").orderBy("r_regionkey"))
-    joined = IncrementalJoin(left, right, how="full", left_on="n_regionkey", right_on="r_regionkey")
-    left.set_value(1, "n_regionkey", 4)
+    left, right = _customers(spark, sf), _nation(spark, sf)
+    joined = left.join(right, how="full", left_on="c_nationkey", right_on="n_nationkey").maintain()
+    left.set_value(1, "c_nationkey", 4)
     right.delete_row(2)
-    right.append_row({"r_regionkey": 9, "r_name": "far"})
-    joined.sync()
-    return joined.to_df().select("n_nationkey", "n_regionkey", "right_r_regionkey", "right_r_name")
+    right.append_row({"n_nationkey": 99, "n_name": "far", "n_regionkey": 0})
+    left.tick()
+    return joined.to_df().select("c_custkey", "c_nationkey", "right_n_nationkey", "right_n_name")
+
+
+@_query("""WITH l AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem),
+  e AS (SELECT l_returnflag, l_linenumber, CASE WHEN i % 100 = 0 THEN -1.0 ELSE l_quantity END AS l_quantity FROM l)
+  SELECT l_returnflag, count(l_linenumber) AS n, sum(l_linenumber)::DOUBLE AS lines, max(l_quantity) AS high, min(l_quantity) AS low FROM e GROUP BY 1""")
+def tick_percent_of_lineitem(spark, sf):
+    """Every hundredth row of lineitem edited in one batch, under a maintained group and a maintained filter."""
+    rows = read_table(spark, sf, "lineitem").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").select("l_returnflag", "l_linenumber", "l_quantity")
+    t = Table.from_dataframe("lineitem", rows)
+    groups = t.group_by("l_returnflag", [("n", "l_linenumber", "count"), ("lines", "l_linenumber", "sum"), ("high", "l_quantity", "max"), ("low", "l_quantity", "min")]).maintain()
+    t.set_values([(i, "l_quantity", -1.0) for i in range(0, len(t), 100)])
+    t.tick()
+    return groups.to_df()
+
+
+# -- rows and places of a root: every call's answer as rows
+
+
+def _answers(spark, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame([(name, None if value is None else str(value)) for name, value in rows], "asked string, answer string")
+
+
+def _said(*pairs: tuple[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS asked, CAST(({sql}) AS VARCHAR) AS answer" for name, sql in pairs)
+
+
+@_query(f"""{_EDITED}, e AS (SELECT c_custkey, i + CASE WHEN i >= 500 THEN 1 ELSE 0 END + CASE WHEN i >= 3 THEN 1 ELSE 0 END AS place FROM c
+  UNION ALL SELECT -1, 3 UNION ALL SELECT -2, 501) SELECT c_custkey, place FROM e""")
+def positional_insert(spark, sf):
+    from .operators.table import POSITION
+
+    t = _customers(spark, sf)
+    t.insert_row(500, _new(-2, 1))
+    t.insert_row(3, _new(-1, 1))
+    return t.to_df(hidden=True).select("c_custkey", F.col(POSITION).alias("place"))
+
+
+@_query(_EDITED + " " + _said(
+    ("row 7", "SELECT c_name FROM c WHERE i = 7"), ("last", "SELECT c_name FROM c ORDER BY i DESC LIMIT 1"), ("value", "SELECT c_nationkey FROM c WHERE i = 42"),
+    ("after an edit", "SELECT 'changed'"), ("beyond", "SELECT 'IndexError'"), ("unknown column", "SELECT 'KeyError'"), ("rows", "SELECT count(*) FROM c"),
+    ("empty", "SELECT 'False'"), ("columns", "SELECT 'c_custkey,c_name,c_nationkey,c_acctbal'"), ("name", "SELECT 'customer'")))
+def point_reads(spark, sf):
+    t = _customers(spark, sf)
+    out = [("row 7", t[7]["c_name"]), ("last", t[-1]["c_name"]), ("value", t.get_value(42, "c_nationkey")), ("rows", len(t)), ("empty", t.is_empty()), ("columns", ",".join(t.column_names())), ("name", t.name())]
+    for name, call in (("beyond", lambda: t.get_row(len(t))), ("unknown column", lambda: t.get_value(0, "none"))):
+        try:
+            call()
+        except (IndexError, KeyError) as e:
+            out.append((name, type(e).__name__))
+    t.set_value(42, "c_name", "changed")
+    return _answers(spark, [*out, ("after an edit", t.get_row(42)["c_name"])])
+
+
+@_query(f"{_EDITED} SELECT i, c_custkey FROM c WHERE i BETWEEN 10 AND 30 AND i % 5 = 0 UNION ALL SELECT i, c_custkey FROM c WHERE i >= (SELECT count(*) FROM c) - 3")
+def root_slices(spark, sf):
+    t = _customers(spark, sf)
+    n = len(t)
+    return spark.createDataFrame([(i, r["c_custkey"]) for i, r in [*zip(range(10, 31, 5), t[10:31:5]), *zip((n - 1, n - 2, n - 3), t[: -4 : -1])]], "i long, c_custkey long")
+
+
+@_query(f"{_EDITED} SELECT i, c_custkey, c_nationkey FROM c")
+def iterate_rows(spark, sf):
+    """All rows by iteration, in order, and a column by its name."""
+    t = _customers(spark, sf)
+    return spark.createDataFrame([(i, r["c_custkey"], k) for i, (r, k) in enumerate(zip(t, t["c_nationkey"]))], "i long, c_custkey long, c_nationkey int")
+
+
+@_query("SELECT unnest(['a_1', 'b', 'name']) AS referenced")
+def predicate_columns(spark, sf):
+    from .functions.predicate import columns, parse
+
+    return spark.createDataFrame([(c,) for c in columns(parse("name = 'x' AND (b > 2 OR NOT a_1 IS NULL) OR b < 1"))], "referenced string")
+
+
+@_query("SELECT row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS place, c_custkey FROM customer")
+def sort_ties_keep_order(spark, sf):
+    view = _customers(spark, sf).sort("c_nationkey")
+    return view.ordered().select(F.col("__at").alias("place"), "c_custkey")
+
+
+@_query(f"{_EDITED}, s AS (SELECT i, row_number() OVER (ORDER BY c_acctbal DESC, i) - 1 AS place FROM c) SELECT place, i AS parent FROM s WHERE place IN (0, 5, 100)")
+def sort_parent_index(spark, sf):
+    view = _customers(spark, sf).sort("c_acctbal", descending=True)
+    return spark.createDataFrame([(p, view.get_parent_index(p)) for p in (0, 5, 100)], "place long, parent long")
+
+
+@_query("""SELECT o_orderkey, c_custkey AS right_c_custkey FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey = 3) ON o_custkey = c_custkey""")
+def join_view(spark, sf):
+    from .operators.views import JoinView
+
+    orders, some = Table.from_dataframe("orders", read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")), _customers(spark, sf).filter("c_nationkey = 3")
+    return JoinView("j", orders, some, "o_custkey", "c_custkey").to_df().select("o_orderkey", "right_c_custkey")
+
+
+@_query("SELECT c_nationkey, count(c_acctbal) AS n, max(c_acctbal) AS high FROM customer GROUP BY 1")
+def aggregate_view(spark, sf):
+    from .functions.aggregates import AggregateFunction
+    from .operators.views import AggregateView
+
+    return AggregateView("a", _customers(spark, sf), ["c_nationkey"], [("n", "c_acctbal", AggregateFunction.COUNT), ("high", "c_acctbal", AggregateFunction.MAX)]).to_df()
+
+
+@_query("SELECT first_place, c_nationkey, n FROM (SELECT c_nationkey, row_number() OVER (ORDER BY min(c_custkey)) - 1 AS first_place, count(*) AS n FROM customer GROUP BY 1)")
+def groups_in_order_of_first_rows(spark, sf):
+    view = _customers(spark, sf).group_by("c_nationkey", [("n", "c_custkey", "count")])
+    return view.ordered().select(F.col("__at").alias("first_place"), "c_nationkey", "n")
+
+
+# -- the change log, ticks and the registry
+
+
+@_query(f"""{_EDITED} SELECT 0 AS seq, 'update' AS op, 4 AS index, 4 AS row_id, (SELECT c_name FROM c WHERE i = 4) AS old, 'x' AS new
+  UNION ALL SELECT 1, 'delete', 2, 2, NULL, NULL UNION ALL SELECT 2, 'insert', (SELECT count(*) - 1 FROM c), (SELECT count(*) FROM c), NULL, NULL""")
+def change_log(spark, sf):
+    t = _customers(spark, sf)
+    t.set_value(4, "c_name", "x")
+    t.delete_row(2)
+    t.append_row(_new(-1, 0))
+    return spark.createDataFrame([(c.seq, c.op, c.index, c.row_id, c.old, c.new) for c in t.log.changes_from(0)], "seq int, op string, index long, row_id long, old string, new string")
+
+
+@_query(_said(("from 2", "SELECT 3"), ("compacted", "SELECT 3"), ("too old", "SELECT NULL"), ("numbers go on", "SELECT 5"), ("generations", "SELECT 1"),
+              ("truncated", "SELECT 4"), ("drained", "SELECT 2"), ("left", "SELECT 0"), ("cleared", "SELECT 0"), ("pending", "SELECT 'False'")))
+def change_log_cursors(spark, sf):
+    t = _nation(spark, sf)
+    for i in range(5):
+        t.set_value(i, "n_name", f"name {i}")
+    out = [("from 2", len(t.log.changes_from(2)))]
+    t.log.compact(2)
+    out += [("compacted", len(t.log)), ("too old", t.log.changes_from(1)), ("numbers go on", t.log.total), ("generations", t.changeset_generation())]
+    t.log.truncate(4)
+    out += [("truncated", t.log.total), ("drained", len(t.log.drain())), ("left", len(t.log))]
+    t.delete_row(0)
+    t.clear_changeset()
+    return _answers(spark, [*out, ("cleared", t.pending_changes_count()), ("pending", t.has_pending_changes())])
+
+
+@_query(_said(("registered", "SELECT 2"), ("no changes", "SELECT 0"), ("before the tick", "SELECT count(*) FROM nation"), ("ticked", "SELECT 2"), ("after the tick", "SELECT count(*) + 1 FROM nation"),
+              ("pending", "SELECT 0"), ("one less", "SELECT 1"), ("version", "SELECT 1"), ("refreshed", "SELECT count(*) + 2 FROM nation"), ("unchanged", "SELECT 'False'"), ("over a view", "SELECT 2"),
+              ("display", "SELECT 'Table ''nation'' [' || (count(*) + 2) || ' rows x 3 columns]' FROM nation"), ("parents", "SELECT 'FilterView'")))
+def registry_and_freshness(spark, sf):
+    t = _nation(spark, sf)
+    view, groups = t.filter("n_nationkey >= 0"), t.group_by("n_regionkey", [("n", "n_nationkey", "count")])
+    out = [("registered", t.registered_view_count()), ("no changes", t.tick())]
+    t.append_row({"n_nationkey": 100, "n_name": "late", "n_regionkey": 1})
+    out += [("before the tick", len(view)), ("ticked", t.tick()), ("after the tick", len(view)), ("pending", t.pending_changes_count()), ("version", t.version())]
+    del groups
+    out.append(("one less", t.registered_view_count()))
+    t.append_row({"n_nationkey": 101, "n_name": "later", "n_regionkey": 1})
+    view.refresh()
+    chained = view.filter("n_nationkey >= 100")
+    return _answers(spark, [*out, ("refreshed", len(view)), ("unchanged", view.sync()), ("over a view", len(chained)), ("display", t.display()), ("parents", type(chained.parents[0]).__name__)])
+
+
+@_query(f"""{_EDITED}, e AS (SELECT CASE WHEN i = 9 THEN 0 ELSE c_nationkey END AS c_nationkey, c_acctbal FROM c WHERE i <> 1)
+  SELECT c_nationkey, count(c_acctbal) AS n FROM e WHERE c_acctbal > 0 GROUP BY 1 HAVING count(c_acctbal) > 2""")
+def view_over_view_ticks(spark, sf):
+    t = _customers(spark, sf)
+    view = t.filter("c_acctbal > 0").group_by("c_nationkey", [("n", "c_acctbal", "count")]).filter("n > 2")
+    t.set_value(9, "c_nationkey", 0)
+    t.delete_row(1)
+    t.tick()
+    return view.to_df()
+
+
+# -- the sync protocol: messages as a client sends them
+
+
+def _session(spark, sf):
+    from .streaming.protocol import Replica, Server
+
+    server, said, copy = Server(), [], Replica()
+    server.add(_nation(spark, sf))
+    session = server.connect(lambda m: (said.append(m), copy.receive(m)))
+    return (lambda **m: session.handle({"table_name": "nation", **m})), said, copy
+
+
+_CLIENT = ({"type": "Subscribe"}, {"type": "Query"}, {"type": "InsertRow", "row": {"n_nationkey": 77, "n_name": "Atoll", "n_regionkey": 3}},
+           {"type": "UpdateCell", "row_id": 2, "column": "n_name", "value": "Second"}, {"type": "DeleteRow", "row_id": 5})
+
+
+@_query("""WITH c AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS row_id FROM nation)
+  SELECT row_id, n_nationkey, CASE WHEN row_id = 2 THEN 'Second' ELSE n_name END AS n_name, n_regionkey FROM c WHERE row_id <> 5
+  UNION ALL SELECT count(*) + 1, 77, 'Atoll', 3 FROM c""")
+def protocol_replica(spark, sf):
+    """What a client has after a snapshot and the deltas that follow it."""
+    send, _, copy = _session(spark, sf)
+    for message in _CLIENT:
+        send(**message)
+    return spark.createDataFrame([(i, r["n_nationkey"], r["n_name"], r["n_regionkey"]) for i, r in copy.rows.items()], "row_id long, n_nationkey long, n_name string, n_regionkey int")
+
+
+@_query("SELECT unnest(range(6)) AS i, unnest(['Subscribed', 'TableData', 'RowInserted', 'CellUpdated', 'RowDeleted', 'Error']) AS type, unnest([NULL, 0, 1, 2, 3, NULL]) AS seq")
+def protocol_messages(spark, sf):
+    send, said, _ = _session(spark, sf)
+    for message in (*_CLIENT, {"type": "changed"}):
+        send(**message)
+    return spark.createDataFrame([(i, m["type"], m.get("seq")) for i, m in enumerate(said)], "i long, type string, seq int")
+
+
+@_query("SELECT n_regionkey, sum(n_nationkey)::DOUBLE AS total, count(*) AS n FROM nation WHERE n_nationkey >= 5 GROUP BY 1")
+def protocol_pipeline(spark, sf):
+    """A pipeline in the wire's own JSON, and the rows of the view data that come back."""
+    import json
+
+    send, said, _ = _session(spark, sf)
+    send(**json.loads("""{"type": "SetPipeline", "nodes": [
+      {"id": "kept", "source_id": "base", "kind": "filter", "predicate": "n_nationkey >= 5"},
+      {"id": "ranked", "source_id": "kept", "kind": "sort", "keys": [{"column": "n_nationkey", "descending": true}]},
+      {"id": "by", "source_id": "ranked", "kind": "group", "group_by": ["n_regionkey"],
+       "aggs": [{"alias": "total", "op": "sum", "column": "n_nationkey"}, {"alias": "n", "op": "count", "column": null}]}]}"""))
+    rows = [r["row"] for m in said if m["type"] == "ViewData" and m["node_id"] == "by" for r in m["rows"]]
+    return _frame(spark, rows, "n_regionkey int, total double, n long")
+
+
+@_query(_said(("date", "SELECT '2031-07-09'"), ("datetime", "SELECT '2031-07-09T08:05:00.250Z'"), ("number", "SELECT '2.5'"), ("no number", "SELECT NULL"), ("text", "SELECT 'x'"), ("flag", "SELECT 'True'"),
+              ("date back", "SELECT '2031-07-09'"), ("datetime back", "SELECT '2031-07-09 08:05:00.250000'"), ("no date", "SELECT 'ValueError'")))
+def wire_values(spark, sf):
+    import datetime as dt
+
+    from .streaming.protocol import from_wire, to_wire
+    from .types import ColumnType as K
+
+    day, at = dt.date(2031, 7, 9), dt.datetime(2031, 7, 9, 8, 5, 0, 250_000)
+    out = [("date", to_wire(day)), ("datetime", to_wire(at)), ("number", to_wire(2.5)), ("no number", to_wire(float("nan"))), ("text", to_wire("x")), ("flag", to_wire(True))]
+    out += [("date back", from_wire("2031-07-09", K.DATE)), ("datetime back", from_wire("2031-07-09T08:05:00.250Z", K.DATETIME))]
+    try:
+        from_wire("soon", K.DATE)
+    except ValueError as e:
+        out.append(("no date", type(e).__name__))
+    return _answers(spark, out)
+
+
+@_query("SELECT row_number() OVER (ORDER BY c_mktsegment DESC, c_acctbal NULLS LAST, c_custkey) - 1 AS place, c_custkey FROM customer")
+def mini_sorting(spark, sf):
+    from .plans.pipeline import mini_sort
+    from .sources.storage import numbered
+
+    rows = read_table(spark, sf, "customer").orderBy(*mini_sort("c_mktsegment desc, c_acctbal, c_custkey"))
+    return numbered(rows, "place")[0].select("place", "c_custkey")
+
+
+@_query("SELECT event_type, count(value) AS n, max(value) AS high FROM events GROUP BY 1")
+def stream_groups(spark, sf):
+    """Running groups over the events table as a stream, as they stand at its end."""
+    import uuid
+
+    from .sources.storage import shared_path
+    from .streaming.changes import streamed_groups
+
+    name = f"groups_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(read_table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    groups = streamed_groups(stream, ["event_type"], [("n", "value", "count"), ("high", "value", "max")])
+    writer = groups.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_path(spark, "groups-state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@_query("SELECT e.event_id AS id, e.event_type AS kind, e.value + 1 AS value FROM events e WHERE event_id % 3 <> 0")
+def stream_changes(spark, sf):
+    """All events as inserts, updates of each and deletes of every third, from files in any order, into a durable table."""
+    from pyspark.sql import types as T
+
+    from .sources.storage import shared_path
+    from .streaming.changes import StreamedTable
+
+    folder, events = shared_path(spark, "log"), read_table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "value")
+    change = lambda df, op, step: df.select((F.col("id") * 10 + step).alias("seq"), F.lit(op).alias("op"), F.col("id").alias("row_id"), "id", "kind", "value")
+    table = StreamedTable(spark, folder, T.StructType(events.schema.fields), shared_path(spark, "state"))
+    for df in (change(events.withColumn("value", F.col("value") + 1), "update", 2), change(events.where("id % 3 = 0"), "delete", 3), change(events, "insert", 1)):
+        df.write.mode("append").parquet(folder)
+        table.run()
+    return StreamedTable(spark, folder, table.row, table.checkpoint).table()
 
 
 # -- text round trips
@@ -435,10 +729,10 @@ def interner_stats(spark, sf):
 @_query("SELECT o_orderstatus, count(o_totalprice) AS n, round(quantile_cont(o_totalprice, 0.9), 4) AS high FROM orders WHERE o_totalprice > 150000 GROUP BY 1")
 def pipeline_spec(spark, sf):
     nodes = [
-        {"id": "big", "source_id": "base", "kind": "filter", "expr": "o_totalprice > 150000"},
+        {"id": "big", "source_id": "base", "kind": "filter", "predicate": "o_totalprice > 150000"},
         {"id": "ranked", "source_id": "big", "kind": "sort", "keys": [{"column": "o_totalprice", "descending": True}]},
-        {"id": "by", "source_id": "ranked", "kind": "group", "group_by": ["o_orderstatus"], "aggregates": [
-            {"alias": "n", "column": "o_totalprice", "function": "count"}, {"alias": "high", "column": "o_totalprice", "function": "p90"}]},
+        {"id": "by", "source_id": "ranked", "kind": "group", "group_by": ["o_orderstatus"], "aggs": [
+            {"alias": "n", "op": "count", "column": "o_totalprice"}, {"alias": "high", "op": "p90", "column": "o_totalprice"}]},
     ]
     return _rounded(build_pipeline(Table.from_dataframe("orders", read_table(spark, sf, "orders")), nodes)["by"].to_df(), "high")
 
@@ -455,10 +749,9 @@ def mini_language(spark, sf):
 def stream_filter(spark, sf):
     """Every row of the events table through a stream and into a stored table."""
     from .streaming.changes import streamed_filter
-    from .sources.storage import shared_folder
-    import uuid
+    from .sources.storage import shared_path
 
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     schema = read_table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     kept = streamed_filter(stream, "event_type = 'click' AND value > 20").select("event_id", "user_id", "value")

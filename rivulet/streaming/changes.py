@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.aggregates import specs, usable
 from ..operators.relational import filter_rows
-from ..sources.storage import materialise
+from ..sources.storage import remove
 
 META = ("seq", "op", "row_id")
 
@@ -28,42 +28,66 @@ def net(changes: DataFrame) -> DataFrame:
 
 
 def merge(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """State after the changes. Applying a batch again changes nothing: rows at or beyond a change's ``seq`` stay."""
-    both = state.withColumn("op", F.lit("insert")).unionByName(net(changes).select(*state.columns, "op"))
-    return net(both).where("op <> 'delete'").select(*state.columns)
+    """State after the changes; both have ``op``, and a deleted row stays as a mark of its ``seq``.
+
+    So applying a batch again changes nothing, and a change that comes late
+    neither undoes a newer one nor revives a deleted row.
+    """
+    return net(state.unionByName(changes.select(*state.columns))).select(*state.columns)
 
 
 class StreamedTable:
     """Keeps a table up to date from a folder of change files; ``run()`` handles what has arrived since.
 
-    The state is written per batch, so a batch that is run again starts from
-    the state before it. Views are functions of the state, called per batch.
+    Each batch's state is written below the checkpoint under the batch's
+    number, so an object made later on the same checkpoint goes on from there,
+    and a batch that is run again starts from the state before it and writes
+    the same. Only the last two states are kept. Views are functions of the
+    state, called per batch.
     """
 
     def __init__(self, spark: SparkSession, folder: str, row: T.StructType, checkpoint: str):
-        self.spark, self.folder, self.row, self.checkpoint = spark, folder, row, checkpoint
-        columns = T.StructType([T.StructField("seq", T.LongType()), T.StructField("row_id", T.LongType()), *row.fields])
-        self.state = spark.createDataFrame([], columns)
+        self.spark, self.folder, self.row, self.checkpoint = spark, folder, row, checkpoint.rstrip("/")
         self.batches = 0
         self.sinks: list[Callable[[DataFrame, int], None]] = []
 
     def on_batch(self, sink: Callable[[DataFrame, int], None]) -> None:
         self.sinks.append(sink)
 
+    def _path(self, number: int) -> str:
+        return f"{self.checkpoint}/rows/batch={number}"
+
+    def _written(self) -> list[int]:
+        """Numbers of the batches whose state was written to the end."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.checkpoint}/rows")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        folders = [f.getPath() for f in fs.listStatus(path)]
+        done = [f for f in folders if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+        return sorted(int(f.getName().partition("=")[2]) for f in done)
+
+    def _state(self, before: int | None = None) -> DataFrame:
+        schema = log_schema(self.row)
+        known = [n for n in self._written() if before is None or n < before]
+        return self.spark.read.schema(schema).parquet(self._path(known[-1])) if known else self.spark.createDataFrame([], schema)
+
     def _batch(self, changes: DataFrame, number: int) -> None:
-        self.state = materialise(merge(self.state, changes), "stream-state")
+        merge(self._state(number), changes).write.mode("overwrite").parquet(self._path(number))
         self.batches += 1
         for sink in self.sinks:
             sink(self.table(), number)
+        for old in [n for n in self._written() if n < number][:-1]:
+            remove(self.spark, self._path(old))
 
     def run(self) -> None:
         """One pass over all files that have arrived (``availableNow``)."""
         stream = self.spark.readStream.schema(log_schema(self.row)).parquet(self.folder)
-        query = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
+        query = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.checkpoint}/progress").trigger(availableNow=True).start()
         query.awaitTermination()
 
     def table(self) -> DataFrame:
-        return self.state.select(*[F.col(f"`{f.name}`") for f in self.row.fields])
+        return self._state().where("op <> 'delete'").select(*[F.col(f"`{f.name}`") for f in self.row.fields])
 
 
 def streamed_filter(stream: DataFrame, predicate) -> DataFrame:

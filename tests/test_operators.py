@@ -15,11 +15,13 @@ def rows(df):
 
 
 def test_join_modes_and_orphans(spark):
-    a = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "user_id int, name string")
-    b = spark.createDataFrame([(101, 1, 9.5), (102, 4, 4.5)], "order_id int, user_id int, amount double")
-    sizes = {h: join_rows(a, b, on="user_id", how=h).count() for h in ("inner", "left", "right", "full", "outer", "FULL_OUTER")}
-    assert sizes == {"inner": 1, "left": 3, "right": 2, "full": 4, "outer": 4, "FULL_OUTER": 4}
-    assert join_rows(a, b, on="user_id").columns == ["user_id", "name", "right_order_id", "right_user_id", "right_amount"]
+    """Rivers and gauges by basin: two gauges on one basin, a basin without any, gauges on no known river, keys in other columns."""
+    rivers = spark.createDataFrame([("Elbe", 7), ("Oder", 3), ("Ems", 3), ("Main", 12)], "river string, basin int")
+    gauges = spark.createDataFrame([(7, "up", 1.5), (7, "down", 2.25), (20, "lost", None), (3, "mid", 0.5), (None, "dry", 0.0)], "zone int, spot string, level double")
+    got = {h: rows(join_rows(rivers, gauges, left_on="basin", right_on="zone", how=h).select("river", "right_spot")) for h in ("inner", "left", "right", "full", "outer", "FULL_OUTER")}
+    met, alone, lost = [("Elbe", "down"), ("Elbe", "up"), ("Ems", "mid"), ("Oder", "mid")], [("Main", None)], [(None, "dry"), (None, "lost")]
+    assert got == {"inner": met, **{h: sorted(x, key=repr) for h, x in (("left", met + alone), ("right", met + lost), *((f, met + alone + lost) for f in ("full", "outer", "FULL_OUTER")))}}
+    assert join_rows(rivers, gauges, left_on="basin", right_on="zone").columns == ["river", "basin", "right_zone", "right_spot", "right_level"]
 
 
 def test_null_and_nan_keys_never_match(spark):
@@ -61,6 +63,20 @@ def test_projection_and_computed(spark):
     assert filter_rows(df, lambda r: r["s"] == "b").count() == 1
 
 
+def test_callables_get_the_columns_they_name(spark):
+    from rivulet.operators.relational import _named
+
+    names, limit = ["i", "s", "t"], 3
+    assert _named(lambda r: r["i"] > limit and r["t"] == "x", names) == ["i", "t"]
+    assert _named(lambda r: r["i"] > max(r.values()), names) == names and _named(lambda r: [r][0]["i"], names) == names
+    assert _named(lambda r: 1, names) == ["i"] and _named(str, names) == names
+    df = spark.createDataFrame([(1, "a"), (2, None)], "i int, s string")
+    for fn in (lambda r: r["s"] is None, lambda r: r.get("s") is None, lambda r: dict(r)["s"] is None):
+        assert rows(filter_rows(df, fn)) == [(2, None)]
+    plan = filter_rows(df, lambda r: r["i"] > 1)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+
+
 def test_sort_defaults_and_ties(spark):
     t = Table("t", Schema([("n", K.STRING, False), ("v", K.FLOAT64, True)]), spark=spark)
     t.append_rows([{"n": "a", "v": 2.0}, {"n": "b", "v": None}, {"n": "c", "v": 1.0}, {"n": "d", "v": 2.0}])
