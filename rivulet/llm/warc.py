@@ -297,12 +297,13 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
     names = ["page", "url", "payload", "bytes", "digest", "revisit", "refers_to"]
     none = F.lit(None).cast("string").alias("refers_to")
     small = rows.where(F.col("bytes") < LEAST_SHARED).select("page", "url", "payload", "bytes", "digest", F.lit(False).alias("revisit"), none)
-    key = firsts.select("digest", F.col("first").alias("page"), F.col("first_url").alias("url"))
-    key = [x.select("digest", F.coalesce("page", F.lit("")).alias("_p"), F.col("page").isNull().alias("_np"), F.coalesce("url", F.lit("")).alias("_u"), F.col("url").isNull().alias("_nu"), *more)
-           for x, more in ((key, []), (shared, ["payload", "bytes"]))]
-    on = ["digest", "_p", "_np", "_u", "_nu"]
-    held = key[1].groupBy(*on, "bytes").agg(F.first("payload").alias("payload")).join(key[0], on)  # a repeated row's payload leaves a task once
-    held = held.select(F.when(~F.col("_np"), F.col("_p")).alias("page"), F.when(~F.col("_nu"), F.col("_u")).alias("url"), "payload", "bytes", "digest", F.lit(False).alias("revisit"), none)
+    on = ["digest", "_p", "_np", "_u", "_nu"]  # null-safe, and the same for grouping and joining, so payloads are dealt out once
+    plain = lambda page, url: ("digest", F.coalesce(page, F.lit("")).alias("_p"), F.col(page).isNull().alias("_np"), F.coalesce(url, F.lit("")).alias("_u"), F.col(url).isNull().alias("_nu"))
+    held = shared.select(*plain("page", "url"), "payload").groupBy(*on).agg(F.first("payload").alias("payload"))  # a repeated row's payload leaves a task once
+    held = held.join(firsts.select(*plain("first", "first_url")), on).select(
+        F.when(~F.col("_np"), F.col("_p")).alias("page"), F.when(~F.col("_nu"), F.col("_u")).alias("url"), "payload",
+        F.octet_length("payload").cast("long").alias("bytes"), "digest", F.lit(False).alias("revisit"), none,
+    )
     rest = counts.join(firsts, "digest").withColumn("many", F.col("many") - F.when(is_first, 1).otherwise(0)).where("many > 0")
     rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(many - 1) div 65536")))).withColumn(
         "each", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(65536).cast("long"), F.col("many") - F.col("part") * 65536))))
