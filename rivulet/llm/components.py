@@ -2,11 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
 
+#: Edges that a task reduces to a forest at once.
+AT_ONCE = 1 << 20
+
+
+def least_members(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least member of each node's component, by repeated minima along the edges."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def combined(edges: DataFrame) -> DataFrame:
+    """``(a, b)`` with the same components: every task joins the edges it has into forests, fewer than its nodes, before any is shuffled."""
+
+    def reduce(parts: list[np.ndarray]) -> np.ndarray:
+        ends = np.concatenate(parts, axis=1)
+        nodes, at = np.unique(ends, return_inverse=True)
+        at = at.reshape(ends.shape)
+        root = least_members(at[0], at[1], len(nodes))
+        other = np.flatnonzero(root != np.arange(len(nodes)))
+        return np.stack([nodes[other], nodes[root[other]]])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        kept = 0
+        for batch in batches:
+            parts.append(np.stack([batch.column(c).to_numpy() for c in ("a", "b")]))
+            if sum(p.shape[1] for p in parts) - kept >= AT_ONCE:
+                parts = [reduce(parts)]
+                kept = parts[0].shape[1]
+                if kept >= AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], ["a", "b"])
+                    parts, kept = [], 0
+        if parts and (out := reduce(parts)).shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b"])
+
+    return edges.where("a IS NOT NULL AND b IS NOT NULL").mapInArrow(run, "a long, b long")
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())

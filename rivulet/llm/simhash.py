@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import numbered
 from .common import chunks, fresh, materialise, release_shuffles, table, utf8
-from .components import connected_components
+from .components import combined, connected_components, least_members
 
 #: Variants that a cell holds on average, and at most at once in memory.
 CELL_VARIANTS, MOST_VARIANTS = 2_000_000, 4_000_000
@@ -77,22 +77,6 @@ def _patterns(bits: range, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(bits, k)], np.uint64)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least member of each node's component, by repeated minima along the edges."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def _colliding(base: np.ndarray, own: np.ndarray, budget: np.ndarray, fixed: int, most: int, out: list) -> None:
     """Pairs of owners that share a variant of ``base`` which differs only in bits from ``fixed`` on, within the budget."""
     sizes = {b: len(_patterns_cached(fixed, b)) for b in np.unique(budget).tolist()}
@@ -143,7 +127,7 @@ def cell_links(fps: np.ndarray, moved: np.ndarray, budget: np.ndarray, fixed: in
     pairs = np.unique(np.concatenate(out), axis=0)
     a, b = pairs[:, 0], pairs[:, 1]
     close = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-    root = _forest(a[close], b[close], len(fps))
+    root = least_members(a[close], b[close], len(fps))
     other = np.flatnonzero(root != np.arange(len(fps)))
     return fps[other], fps[root[other]]
 
@@ -367,7 +351,8 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     texts = materialise(kept.join(wanted, F.col(id).eqNullSafe(F.col("_least"))).select("key", "_text"), "texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("_text").alias("_a")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("_text").alias("_b")), "b")
-    roots = connected_components(both.mapInArrow(verified, "a long, b long"))
+    linked = materialise(combined(both.mapInArrow(verified, "a long, b long")), "links")
+    roots = connected_components(combined(linked))
     release_shuffles(spark)
     rooted = reps.join(roots, reps["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -70,6 +70,19 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, **{x: 100 for x in range(101, 120)}, 201: 200, 202: 200}
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 50])
+def test_combined_edges_have_the_same_components(spark, monkeypatch, at_once):
+    from rivulet.llm import components
+
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
+    rng = random.Random(61)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(0, i) for i in range(1000, 1400)] + [(i, i + 1) for i in range(1000, 1399)] * 3
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    few = components.combined(df)
+    assert few.count() < len(edges) and components.combined(df.limit(0)).count() == 0
+    assert dict(map(tuple, connected_components(few).collect())) == dict(map(tuple, connected_components(df).collect()))
+
+
 def test_near_duplicates_against_brute_force(spark, docs):
     got = simhash.near_duplicates(docs.drop("fp")).collect()
     assert len(got) == docs.count()
