@@ -234,13 +234,23 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)
 
 
-def candidates(moved: np.ndarray, budget: np.ndarray, fixed: int, checks: np.ndarray) -> np.ndarray:
+def candidates(moved: np.ndarray, budget: np.ndarray, fixed: int, checks: np.ndarray, most: int = CELL_VARIANTS) -> np.ndarray:
     """Pairs (of places) that share a variant and whose 128-bit SimHashes agree in most bits.
 
     In a run of equal variants the first is paired with all that are close to
     it, and each of these with the one before it; those that are far from it
-    make a run of their own. So a group costs its size, not its square.
+    make a run of their own. So a group costs its size, not its square. Beyond
+    ``most`` variants they are made in two halves, by the next bit.
     """
+    if len(moved) + int((budget > 0).sum()) * (BITS - fixed) > most and fixed < BITS and len(moved) > 1:
+        bit, halves = np.uint64(1 << fixed), []
+        for want in (np.uint64(0), bit):
+            same = (moved & bit) == want
+            take = np.flatnonzero(same | (budget > 0))
+            same = same[take]
+            pairs = candidates(np.where(same, moved[take], moved[take] ^ bit), np.where(same, budget[take], budget[take] - 1), fixed + 1, checks[take], most)
+            halves.append(take[pairs])
+        return np.unique(np.concatenate(halves), axis=0)
     free = np.flatnonzero(budget > 0)
     flips = np.uint64(1) << np.arange(fixed, BITS, dtype=np.uint64)
     variants = np.concatenate([moved, (moved[free, None] ^ flips[None, :]).ravel()])

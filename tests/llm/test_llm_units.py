@@ -358,3 +358,20 @@ def test_order_minhash():
     assert like(text, moved) < like(text, near)  # the same k-mers in another order
     assert order_minhash.edited("abcdefg", "xy") == "abcdexy" and order_minhash.edited("ab", "xy") == "ab" and order_minhash.edited("abc", "") == "ab"
     assert order_minhash.to_text(order_minhash.from_text(order_minhash.to_text(fp([])))) == order_minhash.to_text(fp([]))
+
+
+def test_candidates_of_a_split_cell_join_what_brute_force_joins():
+    from rivulet.llm.components import least_members
+
+    rng, n = np.random.default_rng(3), 900
+    moved = rng.integers(0, 2**32, 40, dtype=np.uint64)[rng.integers(0, 40, n)]
+    for _ in range(2):
+        moved = moved ^ np.where(rng.random(n) < 0.6, np.uint64(1) << rng.integers(0, 32, n).astype(np.uint64), np.uint64(0))
+    checks = np.zeros((n, 2), np.uint64)
+    near = np.array([(i, j) for i in range(n) for j in range(i + 1, n) if int(moved[i] ^ moved[j]).bit_count() <= 2])
+    want = least_members(near[:, 0], near[:, 1], n)
+    for most in (10**9, 4_000, 10):
+        pairs = simhash.candidates(moved, np.ones(n, np.int8), 0, checks, most)
+        assert (np.bitwise_count(moved[pairs[:, 0]] ^ moved[pairs[:, 1]]) <= 2).all()
+        assert len(np.unique(pairs, axis=0)) == len(pairs)
+        assert np.array_equal(least_members(pairs[:, 0], pairs[:, 1], n), want)
