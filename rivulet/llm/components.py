@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, lean, materialise
 
 #: Edges that a task reduces to a forest at once.
 AT_ONCE = 1 << 20
@@ -31,8 +31,8 @@ def least_members(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def combined(edges: DataFrame) -> DataFrame:
-    """``(a, b)`` with the same components: every task joins the edges it has into forests, fewer than its nodes, before any is shuffled."""
+def forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(a, b)`` with the same components: a task joins the edges it has into forests, fewer than its nodes, before any is shuffled."""
 
     def reduce(parts: list[np.ndarray]) -> np.ndarray:
         ends = np.concatenate(parts, axis=1)
@@ -42,21 +42,23 @@ def combined(edges: DataFrame) -> DataFrame:
         other = np.flatnonzero(root != np.arange(len(nodes)))
         return np.stack([nodes[other], nodes[root[other]]])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[np.ndarray] = []
-        kept = 0
-        for batch in batches:
-            parts.append(np.stack([batch.column(c).to_numpy() for c in ("a", "b")]))
-            if sum(p.shape[1] for p in parts) - kept >= AT_ONCE:
-                parts = [reduce(parts)]
-                kept = parts[0].shape[1]
-                if kept >= AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], ["a", "b"])
-                    parts, kept = [], 0
-        if parts and (out := reduce(parts)).shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b"])
-
-    return edges.where("a IS NOT NULL AND b IS NOT NULL").mapInArrow(run, "a long, b long")
+    parts: list[np.ndarray] = []
+    kept = 0
+    for batch in batches:
+        parts.append(np.stack([batch.column(c).to_numpy() for c in ("a", "b")]))
+        if sum(p.shape[1] for p in parts) - kept >= AT_ONCE:
+            parts = [reduce(parts)]
+            kept = parts[0].shape[1]
+            if kept >= AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], ["a", "b"])
+                parts, kept = [], 0
+    if parts and (out := reduce(parts)).shape[1]:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b"])
+
+
+def combined(edges: DataFrame) -> DataFrame:
+    """The edges that ``forests`` leaves of each task's."""
+    return edges.where("a IS NOT NULL AND b IS NOT NULL").mapInArrow(lean(forests), "a long, b long")
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, discard, fresh, materialise, release_shuffles, table, utf8
+from .common import CHUNK_BYTES, chunks, discard, fresh, lean, materialise, release_shuffles, table, utf8
 
 #: A repeated passage has at least LEAST words, the gram at a minimiser K, a window of grams W.
 LEAST, K = 50, 20
@@ -310,7 +310,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     spark = docs.sparkSession
     named = docs.select(*keyed(docs, id, text), utf8(f"`{text}`").alias("_text")).where(F.col("bytes") >= 2 * LEAST - 1)
     key = "no_id boolean, doc long, h1 long, h2 long, bytes int"
-    found = materialise(named.mapInArrow(_suffixes, f"{key}, words long, grams array<long>, at array<int>, low array<tinyint>, high array<tinyint>"), "suffixes")
+    found = materialise(named.mapInArrow(lean(_suffixes), f"{key}, words long, grams array<long>, at array<int>, low array<tinyint>, high array<tinyint>"), "suffixes")
     found = found.where(f"words >= {LEAST}")
     lists = ["words", "grams", "at", "low", "high"]
     texts = found.groupBy(*_TEXT).agg(F.min(F.struct("no_id", "doc")).alias("least"), F.count("*").alias("many"), F.first(F.struct(*lists)).alias("own"))
@@ -327,13 +327,13 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     kept = each.join(often, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "at", "low", "high", "often")).alias("places"))
     places = materialise(texts.select("row", *KEY, "many").join(kept, "row"), "places")
     release_shuffles(spark)
-    contexts = materialise(named.join(places, KEY).select("_text", "row", "no_id", "doc", "many", "places").mapInArrow(_contexts, _CONTEXT), "contexts")
+    contexts = materialise(named.join(places, KEY).select("_text", "row", "no_id", "doc", "many", "places").mapInArrow(lean(_contexts), _CONTEXT), "contexts")
     discard(places)
     discard(often)
     release_shuffles(spark)
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rare = contexts.where("kind = 0").drop("kind").repartition(parts, "gram").sortWithinPartitions("gram", "right").mapInArrow(_compare, "row long, start long, stop long")
+    rare = contexts.where("kind = 0").drop("kind").repartition(parts, "gram").sortWithinPartitions("gram", "right").mapInArrow(lean(_compare), "row long, start long, stop long")
     stretches = contexts.where("kind = 1").select("row", "no_id", "doc", "at", "right")
     firsts = stretches.groupBy("right").agg(F.min(F.struct("no_id", "doc", "row", "at")).alias("first")).select("first.row", "first.at")
     others = stretches.select("row", "at").join(firsts, ["row", "at"], "left_anti").unionByName(contexts.where("kind = 2").select("row", "at"))
@@ -396,7 +396,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, batch.column("text").type) if f.name == "text" else batch.column(f.name) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    after = with_key.join(spans, own, "left").select(*[F.col(f"`{c}`") for c in (*schema.names, cuts)]).mapInArrow(run, schema)
+    after = with_key.join(spans, own, "left").select(*[F.col(f"`{c}`") for c in (*schema.names, cuts)]).mapInArrow(lean(run), schema)
     if "n_chars" in schema.names:
         after = after.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(schema["n_chars"].dataType))
     return after

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import numbered
-from .common import chunks, fresh, materialise, release_shuffles, table, utf8
-from .components import combined, connected_components, least_members
+from .common import chunks, fresh, lean, materialise, release_shuffles, table, utf8
+from .components import combined, connected_components, forests, least_members
 
 #: Variants that a cell holds on average, and at most at once in memory.
 CELL_VARIANTS, MOST_VARIANTS = 2_000_000, 4_000_000
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
             yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(fps.view(np.int64))], [id, "fp"])
 
     kept = docs.select(F.col(f"`{id}`"), utf8(f"`{text}`").alias("_text"))
-    return kept.mapInArrow(run, f"`{id}` {dict(kept.dtypes)[id]}, fp long")
+    return kept.mapInArrow(lean(run), f"`{id}` {dict(kept.dtypes)[id]}, fp long")
 
 
 def _patterns(bits: range, most: int) -> np.ndarray:
@@ -172,7 +172,7 @@ def links(fps: DataFrame, radius: int = 4, cell_variants: int = CELL_VARIANTS) -
         if parts:
             yield close(parts, at)
 
-    return sent.repartition(min(1 << low, 16_384), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return sent.repartition(min(1 << low, 16_384), "cell").sortWithinPartitions("cell").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
@@ -315,8 +315,8 @@ def _meeting(reps: DataFrame, low: int, turns: range) -> DataFrame:
         if parts:
             yield close(parts)
 
-    sent = reps.select("key", "sketch").mapInArrow(deal, "cell long, key long, fp long, c0 long, c1 long")
-    return sent.repartition(min(len(turns) << low, 16_384), "cell").sortWithinPartitions("cell", "key").mapInArrow(run, "a long, b long")
+    sent = reps.select("key", "sketch").mapInArrow(lean(deal), "cell long, key long, fp long, c0 long, c1 long")
+    return sent.repartition(min(len(turns) << low, 16_384), "cell").sortWithinPartitions("cell", "key").mapInArrow(lean(run), "a long, b long")
 
 
 def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -346,7 +346,7 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
 
     spark = docs.sparkSession
     kept = docs.select(F.col(f"`{id}`"), utf8(f"`{text}`").alias("_text"))
-    marks = materialise(kept.mapInArrow(marked, f"`{id}` {dict(kept.dtypes)[id]}, key long, sketch binary"), "sketches")
+    marks = materialise(kept.mapInArrow(lean(marked), f"`{id}` {dict(kept.dtypes)[id]}, key long, sketch binary"), "sketches")
     reps = materialise(marks.groupBy("key").agg(F.min(id).alias("least"), F.first("sketch").alias("sketch")), "distinct")
     low, n = 0, reps.count()
     while low < 24 and n > CELL_PRINTS << low:
@@ -361,7 +361,7 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     texts = materialise(kept.join(wanted, F.col(id).eqNullSafe(F.col("_least"))).select("key", "_text"), "texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("_text").alias("_a")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("_text").alias("_b")), "b")
-    linked = materialise(combined(both.mapInArrow(verified, "a long, b long")), "links")
+    linked = materialise(both.mapInArrow(lean(lambda batches: forests(verified(batches))), "a long, b long"), "links")
     roots = connected_components(combined(linked))
     release_shuffles(spark)
     rooted = reps.join(roots, reps["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
