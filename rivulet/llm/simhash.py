@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import numbered
-from .common import chunks, fresh, lean, materialise, release_shuffles, table, utf8
+from .common import chunks, discard, fresh, lean, materialise, release_shuffles, table, utf8
 from .components import combined, connected_components, forests, least_members
 
 #: Variants that a cell holds on average, and at most at once in memory.
 CELL_VARIANTS, MOST_VARIANTS = 2_000_000, 4_000_000
-#: Short SimHashes of ``similar`` and their bits (two sets of similarity 0.8 are within two bits by one of them with probability 0.99), how many are
-#: dealt out at a time, and fingerprints of a cell on average.
-TURNS, BITS, AT_A_TIME, CELL_PRINTS = 36, 32, 12, 1 << 18
+#: Short SimHashes of ``similar`` and their bits (two sets of similarity 0.8 are within two bits by one of them with probability 0.99), and
+#: fingerprints of a cell on average.
+TURNS, BITS, CELL_PRINTS = 36, 32, 1 << 18
+#: Up to which short SimHash each round deals them out. The first few find most links, so what they join isn't paired again by the others.
+ROUNDS = (6, 21, TURNS)
 #: Of 128 bits, two sets of similarity 0.8 differ in 19 on average (deviation 4), unrelated ones in 64 (deviation 6).
 CLOSE = 40
 
@@ -277,7 +279,7 @@ def candidates(moved: np.ndarray, budget: np.ndarray, fixed: int, checks: np.nda
 
 
 def _meeting(reps: DataFrame, low: int, turns: range) -> DataFrame:
-    """``(a, b)``: keys of candidates by some of the short SimHashes, dealt into cells by their low bits as in ``links``."""
+    """``(a, b)``: keys of candidates with unlike ``root`` by some of the short SimHashes, dealt into cells by their low bits as in ``links``."""
     masks = _patterns(range(low), 1)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,17 +291,19 @@ def _meeting(reps: DataFrame, low: int, turns: range) -> DataFrame:
                 m, shape = len(words), (len(words), len(turns), len(masks))
                 cells = (short[:, :, None] ^ masks) & np.uint64((1 << low) - 1) | (np.array(turns, np.uint64) << np.uint64(32))[None, :, None]
                 each = lambda x: pa.array(np.broadcast_to(x, shape).ravel().view(np.int64))
-                key = batch.column("key").to_numpy().reshape(m, 1, 1)
+                key, root = (batch.column(c).to_numpy().reshape(m, 1, 1) for c in ("key", "root"))
                 yield pa.RecordBatch.from_arrays(
-                    [each(cells), each(key), each(short[:, :, None]), *[each(words[:, k].reshape(m, 1, 1)) for k in (-2, -1)]], ["cell", "key", "fp", "c0", "c1"]
+                    [each(cells), each(key), each(root), each(short[:, :, None]), *[each(words[:, k].reshape(m, 1, 1)) for k in (-2, -1)]],
+                    ["cell", "key", "root", "fp", "c0", "c1"],
                 )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(parts: list[np.ndarray]) -> pa.RecordBatch:
-            cell, key, own, *checks = np.concatenate(parts, axis=1)
+            cell, key, root, own, *checks = np.concatenate(parts, axis=1)
             own, checks = own.view(np.uint64), np.stack(checks, axis=1).view(np.uint64)
             moved = own >> np.uint64(low) << np.uint64(low) | np.uint64(int(cell[0]) & ((1 << low) - 1))
             pairs = candidates(moved, 1 - np.bitwise_count(own ^ moved).astype(np.int8), low, checks)
+            pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
             return pa.RecordBatch.from_arrays([pa.array(key[pairs[:, 0]]), pa.array(key[pairs[:, 1]])], ["a", "b"])
 
         parts: list[np.ndarray] = []
@@ -315,17 +319,23 @@ def _meeting(reps: DataFrame, low: int, turns: range) -> DataFrame:
         if parts:
             yield close(parts)
 
-    sent = reps.select("key", "sketch").mapInArrow(lean(deal), "cell long, key long, fp long, c0 long, c1 long")
+    sent = reps.select("key", "root", "sketch").mapInArrow(lean(deal), "cell long, key long, root long, fp long, c0 long, c1 long")
     return sent.repartition(min(len(turns) << low, 16_384), "cell").sortWithinPartitions("cell", "key").mapInArrow(lean(run), "a long, b long")
 
 
+def _rooted(reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """The representatives with the root of their component, by default themselves."""
+    return reps.join(roots, reps["key"] == roots["node"], "left").select(*[reps[c] for c in reps.columns], F.coalesce("root", "key").alias("root"))
+
+
 def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(id, component_id)`` for every row: the least id that links of at least that Jaccard similarity of shingle sets reach.
 
     Rows of equal sets meet in one. Candidates are those within two bits by one
     of ``TURNS`` short SimHashes, found by ball hashing; each is verified on
-    the shingles themselves. ``id`` has to tell the rows apart. ``docs`` is
-    read twice.
+    the shingles themselves, round by round: what the links of earlier rounds
+    join, or what they have verified, isn't compared again. ``id`` has to tell
+    the rows apart. ``docs`` is read once and once more for each round.
     """
 
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,20 +361,25 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     low, n = 0, reps.count()
     while low < 24 and n > CELL_PRINTS << low:
         low += 1
-    met = None
-    for at in range(0, TURNS, AT_A_TIME):
-        part = materialise(_meeting(reps, low, range(at, min(TURNS, at + AT_A_TIME))).distinct(), "met")
-        met = part if met is None else met.unionByName(part)
-    pairs = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = reps.join(nodes, "key", "left_semi").select("key", F.col("least").alias("_least"))
-    texts = materialise(kept.join(wanted, F.col(id).eqNullSafe(F.col("_least"))).select("key", "_text"), "texts")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("_text").alias("_a")), "a").join(
-        texts.select(F.col("key").alias("b"), F.col("_text").alias("_b")), "b")
-    linked = materialise(both.mapInArrow(lean(lambda batches: forests(verified(batches))), "a long, b long"), "links")
-    roots = connected_components(combined(linked))
-    release_shuffles(spark)
-    rooted = reps.join(roots, reps["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    roots = tried = None
+    for start, stop in zip((0, *ROUNDS), ROUNDS):
+        dealt = reps.withColumn("root", F.col("key")) if roots is None else _rooted(reps, roots)
+        met = materialise(_meeting(dealt, low, range(start, stop)).distinct(), "met")
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        wanted = reps.join(nodes, "key", "left_semi").select("key", F.col("least").alias("_least"))
+        texts = materialise(kept.join(wanted, F.col(id).eqNullSafe(F.col("_least"))).select("key", "_text"), "texts")
+        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("_text").alias("_a")), "a").join(
+            texts.select(F.col("key").alias("b"), F.col("_text").alias("_b")), "b")
+        linked = materialise(both.mapInArrow(lean(lambda batches: forests(verified(batches))), "a long, b long"), "links")
+        known = linked if roots is None else linked.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = connected_components(combined(known))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        discard(met)
+        discard(texts)
+        release_shuffles(spark)
+    rooted = _rooted(reps, roots)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     label = rooted.select("key", "root").join(least, "root").select("key", "component_id")
     return marks.select(id, "key").join(label, "key").select(F.col(id), "component_id")
