@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import discard, materialise, read_table as table, shared_folder, shared_path, sweep
 
-__all__ = ["CHUNK_BYTES", "chunks", "discard", "fresh", "lean", "materialise", "release_shuffles", "shared_folder", "shared_path", "spread", "sweep", "table", "utf8"]
+__all__ = ["CHUNK_BYTES", "chunks", "discard", "fresh", "give_back", "lean", "materialise", "release_shuffles", "shared_folder", "shared_path", "spread", "sweep", "table", "utf8"]
 
 #: Bytes of text that a Python worker turns into words at a time.
 CHUNK_BYTES = 2 << 20
@@ -45,15 +45,20 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             start, done = stop, int(ends[stop - 1])
 
 
+def give_back() -> None:
+    """Freed memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after which the Python worker, which lives on beside the executor's heap, gives freed memory back to the system."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return task
 

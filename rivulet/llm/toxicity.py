@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, utf8
+from .common import chunks, give_back, table, utf8
 
 #: Labelled documents that the models are fitted on at most, and bytes of their texts, the last one apart.
 SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 24 << 20
@@ -212,7 +212,11 @@ def train(
     ddl = f"_id {dict(texts.dtypes)['_id']}, _h long, " + ", ".join(f"{y} int" for y in ys) + ", words binary"
     rows = texts.join(F.broadcast(wanted), ["_id", "_h"]).mapInArrow(run, ddl).groupBy("_id", "_h", *ys).agg(F.first("words").alias("words")).toPandas()
     rows = rows.sort_values(["words", *ys], ignore_index=True)
-    return fit_chain([np.frombuffer(w, np.uint64) for w in rows["words"]], {c: rows[y].to_numpy(np.int64) for c, y in zip(categories, ys)})
+    give_back()
+    chain = fit_chain([np.frombuffer(w, np.uint64) for w in rows["words"]], {c: rows[y].to_numpy(np.int64) for c, y in zip(categories, ys)})
+    del rows
+    give_back()
+    return chain
 
 
 def score(docs: DataFrame, chain: Sequence[Link], id: str = "doc_id", text: str = "text") -> DataFrame:
