@@ -25,8 +25,8 @@ from pyspark.sql.types import StructType
 
 from .common import fresh, materialise, table
 
-#: Rows of a shard that are put in order by one task, on average.
-RUN_ROWS = 1_000_000
+#: Rows of a shard that are put in order by one task, on average. They are whole documents.
+RUN_ROWS = 100_000
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -108,8 +108,6 @@ def shard(df: DataFrame, shards: int, seed: int = 11, run_rows: int = RUN_ROWS)
     sizes = shard_sizes(rows, shards)
     shipped = spark.sparkContext.broadcast((before, {p: i for i, p in enumerate(parts)}))
     runs = max(1, -(-rows // (shards * run_rows)))
-    schema = StructType(list(placed.schema.fields)).add("shard", "integer", False).add(own_run, "integer", False).add(own_key, "long", False)
-    arrow = to_arrow_schema(schema)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, number = shipped.value
@@ -126,14 +124,18 @@ def shard(df: DataFrame, shards: int, seed: int = 11, run_rows: int = RUN_ROWS)
                 at = part == p
                 to[at], keys[at] = state[p][0][row[at]], state[p][1][row[at]]
             made = [pa.array(to), pa.array((keys % runs).astype(np.int32)), pa.array(keys)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "shard", own_run, own_key])
 
-    dealt = placed.mapInArrow(deal, schema)
+    def dealt_out(rows: DataFrame) -> DataFrame:
+        schema = StructType(list(rows.schema.fields)).add("shard", "integer", False).add(own_run, "integer", False).add(own_key, "long", False)
+        return rows.mapInArrow(deal, schema)
+
+    dealt = dealt_out(placed)
     order = Window.partitionBy("shard", own_run).orderBy(own_key, own_part, own_row)
     ranked = dealt.withColumn("slot", F.row_number().over(order).cast("long") - 1)
     if runs > 1:
         (own_ahead,) = fresh(data, "_ahead")
-        sums = dealt.groupBy("shard", own_run).count()
+        sums = dealt_out(placed.select(own_part, own_row)).groupBy("shard", own_run).count()
         ahead = Window.partitionBy("shard").orderBy(own_run).rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("shard", own_run, F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias(own_ahead))
         ranked = ranked.join(sums, ["shard", own_run]).withColumn("slot", F.col("slot") + F.col(own_ahead))
@@ -158,9 +160,7 @@ def _stored(data: DataFrame, own_part: str, own_row: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
-    return shard(docs, 40).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    return shard(table(spark, sf_dir, "documents"), 40).select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -458,6 +458,24 @@ def test_sharding_query_holds_its_law(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
 
 
+def test_sharding_query_shuffles_whole_documents(spark, monkeypatch):
+    """The digests are those of the texts that come out of the operator, which gets all columns."""
+    import zlib
+
+    sf, shard, given = "/root/testdata/sf0.001", sharding.shard, []
+
+    def marked(df, shards):
+        given.append(df.columns)
+        return shard(df, shards).withColumn("text", F.concat(F.lit("\u00e9 "), F.coalesce("text", F.lit(""))))
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(sharding, "shard", marked)
+    got = sharding.query(spark, sf)
+    want = [(r["doc_id"], t) for r in docs.collect() for t in [("\u00e9 " + (r["text"] or "")).encode()]]
+    assert given == [docs.columns]
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got.collect()) == sorted((i, len(t) + 16, zlib.crc32(t)) for i, t in want)
+
+
 def test_shuffles_are_uniform(spark):
     """Over many seeds every row comes to every shard and slot equally often, wherever it stood."""
     df = spark.range(0, 12, 1, 3)
