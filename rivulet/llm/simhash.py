@@ -236,6 +236,27 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)
 
 
+#: Words of ``parity`` that hold bits.
+PARITY_WORDS = 4
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """The set's bucket counts modulo 2, as ``PARITY_WORDS`` words, and its size."""
+    buckets = 64 * PARITY_WORDS
+    odd = np.bincount((hashes % np.uint64(buckets)).astype(np.int64), minlength=buckets) & 1
+    return np.append(np.packbits(odd.astype(np.uint8)).view(np.uint64), np.uint64(len(hashes)))
+
+
+def possible(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two unequal sets can be that similar, by their ``parity``. Exact: a pair that is left out isn't.
+
+    Each member of only one of the sets turns one bit over, so there are as
+    many such members as bits that differ, or more.
+    """
+    both, apart = (size_a + size_b).astype(np.int64), np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return (both - apart) / np.maximum(both + apart, 1) >= similarity
+
+
 def candidates(moved: np.ndarray, budget: np.ndarray, fixed: int, checks: np.ndarray, most: int = CELL_VARIANTS) -> np.ndarray:
     """Pairs (of places) that share a variant and whose 128-bit SimHashes agree in most bits.
 
@@ -278,9 +299,12 @@ def candidates(moved: np.ndarray, budget: np.ndarray, fixed: int, checks: np.nda
     return out[0][out[0][:, 0] != out[0][:, 1]]
 
 
-def _meeting(reps: DataFrame, low: int, turns: range) -> DataFrame:
-    """``(a, b)``: keys of candidates with unlike ``root`` by some of the short SimHashes, dealt into cells by their low bits as in ``links``."""
-    masks = _patterns(range(low), 1)
+def _meeting(reps: DataFrame, low: int, turns: range, similarity: float) -> DataFrame:
+    """``(a, b)``: keys of candidates with unlike ``root`` by some of the short SimHashes, dealt into cells by their low bits as in ``links``.
+
+    Pairs that can't have the similarity, by their ``parity``, are left out.
+    """
+    masks, carried = _patterns(range(low), 1), ["c0", "c1", *[f"p{k}" for k in range(PARITY_WORDS)]]
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -292,18 +316,22 @@ def _meeting(reps: DataFrame, low: int, turns: range) -> DataFrame:
                 cells = (short[:, :, None] ^ masks) & np.uint64((1 << low) - 1) | (np.array(turns, np.uint64) << np.uint64(32))[None, :, None]
                 each = lambda x: pa.array(np.broadcast_to(x, shape).ravel().view(np.int64))
                 key, root = (batch.column(c).to_numpy().reshape(m, 1, 1) for c in ("key", "root"))
+                sized = short | words[:, -1:] << np.uint64(BITS)
                 yield pa.RecordBatch.from_arrays(
-                    [each(cells), each(key), each(root), each(short[:, :, None]), *[each(words[:, k].reshape(m, 1, 1)) for k in (-2, -1)]],
-                    ["cell", "key", "root", "fp", "c0", "c1"],
+                    [each(cells), each(key), each(root), each(sized[:, :, None]), *[each(words[:, k].reshape(m, 1, 1)) for k in range(-1 - len(carried), -1)]],
+                    ["cell", "key", "root", "fp", *carried],
                 )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(parts: list[np.ndarray]) -> pa.RecordBatch:
-            cell, key, root, own, *checks = np.concatenate(parts, axis=1)
-            own, checks = own.view(np.uint64), np.stack(checks, axis=1).view(np.uint64)
+            cell, key, root, sized, *rest = np.concatenate(parts, axis=1)
+            sized, (checks, odd) = sized.view(np.uint64), (np.stack(x, axis=1).view(np.uint64) for x in (rest[:2], rest[2:]))
+            own, sizes = sized & np.uint64((1 << BITS) - 1), sized >> np.uint64(BITS)
             moved = own >> np.uint64(low) << np.uint64(low) | np.uint64(int(cell[0]) & ((1 << low) - 1))
             pairs = candidates(moved, 1 - np.bitwise_count(own ^ moved).astype(np.int8), low, checks)
             pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
+            a, b = pairs[:, 0], pairs[:, 1]
+            pairs = pairs[possible(odd[a], odd[b], sizes[a], sizes[b], similarity)]
             return pa.RecordBatch.from_arrays([pa.array(key[pairs[:, 0]]), pa.array(key[pairs[:, 1]])], ["a", "b"])
 
         parts: list[np.ndarray] = []
@@ -319,7 +347,7 @@ def _meeting(reps: DataFrame, low: int, turns: range) -> DataFrame:
         if parts:
             yield close(parts)
 
-    sent = reps.select("key", "root", "sketch").mapInArrow(lean(deal), "cell long, key long, root long, fp long, c0 long, c1 long")
+    sent = reps.select("key", "root", "sketch").mapInArrow(lean(deal), ", ".join(f"{c} long" for c in ("cell", "key", "root", "fp", *carried)))
     return sent.repartition(min(len(turns) << low, 16_384), "cell").sortWithinPartitions("cell", "key").mapInArrow(lean(run), "a long, b long")
 
 
@@ -332,9 +360,10 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     """``(id, component_id)`` for every row: the least id that links of at least that Jaccard similarity of shingle sets reach.
 
     Rows of equal sets meet in one. Candidates are those within two bits by one
-    of ``TURNS`` short SimHashes, found by ball hashing; each is verified on
-    the shingles themselves, round by round: what the links of earlier rounds
-    join, or what they have verified, isn't compared again. ``id`` has to tell
+    of ``TURNS`` short SimHashes, found by ball hashing. Those that the bits of
+    ``parity`` don't prove to be less similar are verified on the shingles
+    themselves, round by round: what the links of earlier rounds join, or what
+    they have verified, isn't compared again. ``id`` has to tell
     the rows apart. ``docs`` is read once and once more for each round.
     """
 
@@ -342,7 +371,7 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
         for batch in chunks(batches, "_text"):
             sets = [shingles(t.as_py(), size) for t in batch.column("_text")]
             keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets], np.uint64).view(np.int64)
-            sketches = pa.array([sketch(x).tobytes() for x in sets], pa.binary())
+            sketches = pa.array([np.append(sketch(x), parity(x)).tobytes() for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(keys), sketches], [id, "key", "sketch"])
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +393,7 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     roots = tried = None
     for start, stop in zip((0, *ROUNDS), ROUNDS):
         dealt = reps.withColumn("root", F.col("key")) if roots is None else _rooted(reps, roots)
-        met = materialise(_meeting(dealt, low, range(start, stop)).distinct(), "met")
+        met = materialise(_meeting(dealt, low, range(start, stop), similarity).distinct(), "met")
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()

@@ -375,3 +375,22 @@ def test_candidates_of_a_split_cell_join_what_brute_force_joins():
         assert (np.bitwise_count(moved[pairs[:, 0]] ^ moved[pairs[:, 1]]) <= 2).all()
         assert len(np.unique(pairs, axis=0)) == len(pairs)
         assert np.array_equal(least_members(pairs[:, 0], pairs[:, 1], n), want)
+
+
+def test_parity_never_leaves_out_a_similar_pair():
+    """At the limit itself too; most pairs that are clearly less similar are left out."""
+    rng, out = np.random.default_rng(5), []
+    for n in (1, 9, 18, 45, 140, 600, 5000):
+        for apart in {0, 1, n // 18, n // 9, n // 9 + 1, n // 5, n // 3, n}:
+            for _ in range(6):
+                pool = np.unique(rng.integers(0, 2**63, 2 * n + 9, dtype=np.uint64))
+                a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[apart:n], pool[n : n + apart // 2]]))
+                if np.array_equal(a, b):
+                    continue
+                (*odd_a, size_a), (*odd_b, size_b) = simhash.parity(a), simhash.parity(b)
+                may = bool(simhash.possible(np.array([odd_a]), np.array([odd_b]), np.array([size_a]), np.array([size_b]), 0.8)[0])
+                like = simhash.similarity_of(a, b)
+                assert (int(size_a), int(size_b)) == (len(a), len(b)) and (may or like < 0.8)
+                if n == 140 and like < 0.65:
+                    out.append(may)
+    assert len(out) >= 12 and np.mean(out) < 0.1
