@@ -85,3 +85,26 @@ def test_sort_defaults_and_ties(spark):
     assert t.sort("v").get_parent_index(1) == 2
     with pytest.raises(ValueError):
         sort_keys(["a", "b"], [True])
+
+
+def test_keys_of_many_rows_on_both_sides(spark):
+    """Blocks of rows: every mode gives what the plain join gives, with keys of more rows than a block, without partner, null, NaN and both zeros."""
+    key = "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN double('NaN') WHEN id % 5 = 2 THEN {z}D WHEN id % 5 = 3 THEN {other}D ELSE 1.5D END AS k"
+    a = spark.range(0, 6_000, 1, 3).selectExpr(key.format(z="0.0", other="7.0"), "id", "id AS __pos")
+    b = spark.range(0, 1_500, 1, 2).selectExpr(key.format(z="-0.0", other="8.0"), "array(id) AS ids", "id AS __pos")
+    count = [F.count("*"), *[F.sum(F.coalesce(c, F.lit(-1))) for c in ("id", F.col("right_ids")[0])], F.sum(F.xxhash64("id", F.col("right_ids")[0], F.nanvl("k", F.lit(9.0)), F.nanvl("right_k", F.lit(9.0)), "__lpos", "__rpos") % 1_000_003)]
+    for how in ("inner", "left", "right", "full"):
+        plain, many = (join_rows(a, b, on="k", how=how, many=m) for m in (False, True))
+        assert plain.columns == many.columns and plain.dtypes == many.dtypes
+        assert plain.agg(*count).first() == many.agg(*count).first()
+        assert many.count() == 2 * 1_200 * 300 + (how in ("left", "full")) * 3_600 + (how in ("right", "full")) * 900
+
+
+def test_a_full_join_holds_no_key_in_memory(spark):
+    """All pairs of a key used to be held at once; a frame that gives other rows each time is read once."""
+    a, b = spark.range(10).selectExpr("id % 2 AS k", "id"), spark.range(10).selectExpr("id % 3 AS k", "id")
+    for many in (False, True):
+        assert "FullOuter" not in join_rows(a, b, on="k", how="full", many=many)._jdf.queryExecution().executedPlan().toString()
+    odd = spark.range(200).select(F.rand().alias("k"))
+    twice = join_rows(odd, odd, on="k", how="full")
+    assert twice.where("k IS NULL OR right_k IS NULL").count() in (0, 400) and twice.select("k").dropna().count() == 200
