@@ -156,7 +156,7 @@ for _how in ("inner", "left", "right", "full"):
         FROM (SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND user_id < 100) a
         {_how.upper()} JOIN (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error' AND user_id >= 50) b ON a.user_id = b.user_id""",
         f"join_{_how}",
-    )(lambda spark, sf, h=_how: join_rows(*_people(spark, sf), on="user_id", how=h))
+    )(lambda spark, sf, h=_how: join_rows(*_people(spark, sf), on="user_id", how=h, many=True))
 
 
 @_query("SELECT d.doc_id, d.lang, l.doc_id AS right_doc_id, l.quality AS right_quality, l.toxic AS right_toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -187,7 +187,7 @@ def join_nan_keys(spark, sf):
     key = lambda c: F.when(F.col(c) == 3, F.lit(float("nan"))).otherwise(F.col(c).cast("double")).alias("k")
     a = read_table(spark, sf, "customer").select("c_custkey", key("c_nationkey"))
     b = read_table(spark, sf, "supplier").select("s_suppkey", key("s_nationkey"))
-    return select_columns(join_rows(a, b, on="k"), ["c_custkey", "right_s_suppkey"])
+    return select_columns(join_rows(a, b, on="k", many=True), ["c_custkey", "right_s_suppkey"])
 
 
 @_query("SELECT a.event_type, b.event_type AS right_event_type, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id GROUP BY 1, 2")

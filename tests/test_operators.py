@@ -108,3 +108,11 @@ def test_a_full_join_holds_no_key_in_memory(spark):
     odd = spark.range(200).select(F.rand().alias("k"))
     twice = join_rows(odd, odd, on="k", how="full")
     assert twice.where("k IS NULL OR right_k IS NULL").count() in (0, 400) and twice.select("k").dropna().count() == 200
+
+
+def test_pairs_of_few_keys_are_made_by_all_tasks(spark):
+    """All pairs of the 24 nations used to be made by the one task that read the customers."""
+    import __spark_entry__ as entry
+
+    for name in ("join_nan_keys", "join_null_keys", "join_inner", "join_left", "join_right", "join_full"):
+        assert "REPARTITION_BY_NUM" in entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
