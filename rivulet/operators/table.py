@@ -5,7 +5,8 @@ that says which stretches of it are still there and which rows were put
 between them. Every mutation edits the list on the driver; only one that
 touches a row of the base reads it, by a scan pruned to that row. Reads lay the
 list over the base. When it grows too long, or too many rows wait on the
-driver, it is written into a new base.
+driver, it is written into a new base; updates alone are written as edits that
+lie over the base, until they come to a part of it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from ..types import ColumnType, Schema, convert
 
 #: Rows that wait on the driver, and pieces of the list, before a new base is written.
 FLUSH_ROWS, FLUSH_PIECES = 50_000, 256
+#: Which part of the base its written edits may come to before there is a new one, and how often edits are written till then.
+EDITED, EDIT_FILES = 8, 256
 POSITION, ROW_ID = "__pos", "__rid"
 _STORAGE = {"array", "fast_reads", "fastreads", "tiered_vector", "fast_updates", "fastupdates"}
 
@@ -53,7 +56,7 @@ class Held:
         return len(self.rows)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Change:
     """``op``: insert, delete or update. ``row_id`` is stable; ``index`` is the place at the time of the change."""
 
@@ -118,7 +121,7 @@ class Table:
         self._name, self.schema, self._interned = name, schema, use_string_interning
         self.spark = spark or SparkSession.active()
         self._base: DataFrame | None = None
-        self._at: Callable[[int], DataFrame] | None = None
+        self._at: Callable[..., DataFrame] | None = None
         self._ahead: dict[int, dict[str, Any]] = {}
         self._ids_are_places = False
         self._pieces: list[Stretch | Held] = []
@@ -135,7 +138,7 @@ class Table:
         """A root table over a DataFrame: Parquet files are only counted, other frames written once; nothing is collected."""
         table = cls(name, Schema.from_spark(df.schema), spark=df.sparkSession, **options)
         base, n, at = numbered(df, POSITION)
-        table._rebase(base.withColumn(ROW_ID, F.col(POSITION)), n, lambda place: at(place).withColumn(ROW_ID, F.col(POSITION)))
+        table._rebase(base.withColumn(ROW_ID, F.col(POSITION)), n, lambda *places: at(*places).withColumn(ROW_ID, F.col(POSITION)))
         table._next_id, table._ids_are_places = n, True
         return table
 
@@ -164,8 +167,9 @@ class Table:
         table.append_rows([dict(zip(names, r)) for r in rows])
         return table
 
-    def _rebase(self, base: DataFrame, n: int, at: Callable[[int], DataFrame]) -> None:
+    def _rebase(self, base: DataFrame, n: int, at: Callable[..., DataFrame]) -> None:
         self._base, self._at, self._pieces, self._updates, self._ahead = base, at, [Stretch(0, n)] if n else [], {}, {}
+        self._unedited, self._edits, self._base_rows, self._edited = (base, at), [], n, 0
         self._ids_are_places = False
 
     # -- metadata
@@ -291,6 +295,10 @@ class Table:
         self._settle()
 
     def set_value(self, row: int, column: str, value: Any) -> None:
+        self._set(row, column, value)
+        self._settle()
+
+    def _set(self, row: int, column: str, value: Any) -> None:
         number = self.schema.get_column_index(column)
         if number is None:
             raise KeyError(column)
@@ -307,10 +315,9 @@ class Table:
             self._updates.setdefault(place, {})[column] = value
         self.log.push("update", row, rid, column, old, value)
         self._version += 1
-        self._settle()
 
     def set_values(self, edits: Sequence[tuple[int, str, Any]]) -> int:
-        """``(row, column, value)`` edits, all or none; the base rows they touch are read by one scan."""
+        """``(row, column, value)`` edits, all or none; the base rows they touch are read together, from the files they are in."""
         for row, column, value in edits:
             number = self.schema.get_column_index(column)
             if number is None:
@@ -318,9 +325,12 @@ class Table:
             if not 0 <= row < len(self):
                 raise IndexError(f"row {row} is out of range")
             convert(value, column, *self.schema.get_column_info(number)[1:])
-        with self._read_ahead([row for row, _, _ in edits]):
-            for row, column, value in edits:
-                self.set_value(row, column, value)
+        for i in range(0, len(edits), FLUSH_ROWS):
+            part = edits[i : i + FLUSH_ROWS]
+            with self._read_ahead([row for row, _, _ in part]):
+                for row, column, value in part:
+                    self._set(row, column, value)
+            self._settle()
         return len(edits)
 
     def delete_rows(self, rows: Sequence[int]) -> int:
@@ -344,7 +354,7 @@ class Table:
                 wanted.add(self._pieces[k].start + row - starts[k])
         if wanted:
             keys = self.spark.createDataFrame([(p,) for p in sorted(wanted)], "__at long")
-            found = self._base.join(F.broadcast(keys), F.col(POSITION) == F.col("__at")).drop("__at")
+            found = self._at(min(wanted), max(wanted) + 1).join(F.broadcast(keys), F.col(POSITION) == F.col("__at")).drop("__at")
             self._ahead = {r[POSITION]: r.asDict() for r in found.toLocalIterator()}
         try:
             yield
@@ -380,14 +390,43 @@ class Table:
 
     def _settle(self) -> None:
         held = sum(len(p) for p in self._pieces if isinstance(p, Held))
-        if held > FLUSH_ROWS or len(self._pieces) > FLUSH_PIECES or len(self._updates) > FLUSH_ROWS:
+        if held > FLUSH_ROWS or len(self._pieces) > FLUSH_PIECES:
             self.flush()
+        elif len(self._updates) >= FLUSH_ROWS:
+            if (self._edited + len(self._updates)) * EDITED > self._base_rows or len(self._edits) >= EDIT_FILES:
+                self.flush()
+            else:
+                self._park()
+
+    def _park(self) -> None:
+        """Writes the waiting updates and lays them, the latest of each cell, over the base, which isn't written again."""
+        self._edits.append(materialise(self._waiting(), "edits").withColumn("__turn", F.lit(len(self._edits))))
+        self._edited, self._updates, self._snapshot = self._edited + len(self._updates), {}, None
+        edits = self._edits[0]
+        for more in self._edits[1:]:
+            edits = edits.unionByName(more)
+        if len(self._edits) > 1:
+            last = []
+            for n in self.column_names():
+                known = F.col(f"`__set_{n}`")
+                last += [F.max(known).alias(f"__set_{n}"), F.max_by(F.struct(F.col(f"`__new_{n}`").alias("v")), F.when(known, F.col("__turn")))["v"].alias(f"__new_{n}")]
+            edits = edits.groupBy("__at").agg(*last)
+        edits = edits.drop("__turn")
+        base, at = self._unedited
+
+        def lay(rows: DataFrame, edits: DataFrame) -> DataFrame:
+            return self._updated(rows, edits if self._edited > 20 * FLUSH_ROWS else F.broadcast(edits))
+
+        def part(place: int, stop: int | None = None) -> DataFrame:
+            return lay(at(place, stop), edits.where((F.col("__at") >= place) & (F.col("__at") < (place + 1 if stop is None else stop))))
+
+        self._base, self._at = lay(base, edits), part
 
     def flush(self) -> None:
         """Writes the table as it is into a new base and lets the old lineage go."""
         n = len(self)
         base = materialise(self.to_df(hidden=True), "table")
-        self._rebase(base, n, lambda place: base.where(F.col(POSITION) == place))
+        self._rebase(base, n, lambda place, stop=None: base.where((F.col(POSITION) >= place) & (F.col(POSITION) < (place + 1 if stop is None else stop))))
         self._snapshot = None
 
     # -- reads
@@ -418,7 +457,7 @@ class Table:
             else:
                 base = base.withColumn("__shift", F.lit(0))
             if self._updates:
-                base = self._updated(base)
+                base = self._updated(base, F.broadcast(self._waiting()))
             parts.append(base.withColumn(POSITION, F.col(POSITION) + F.col("__shift")).select(*schema.names))
         if held or not parts:
             parts.append(self.spark.createDataFrame(held, schema))
@@ -434,15 +473,18 @@ class Table:
         mid = len(stretches) // 2
         return F.when(F.col(POSITION) < stretches[mid][0], Table._shift(stretches[:mid])).otherwise(Table._shift(stretches[mid:]))
 
-    def _updated(self, base: DataFrame) -> DataFrame:
+    def _waiting(self) -> DataFrame:
+        """The updates that wait on the driver, by place in the base."""
         fields = [T.StructField("__at", T.LongType())]
         for n, t, _ in self.schema:
             fields += [T.StructField(f"__set_{n}", T.BooleanType()), T.StructField(f"__new_{n}", t.spark)]
         rows = [(p, *[x for n in self.column_names() for x in (n in new, new.get(n))]) for p, new in self._updates.items()]
-        edits = self.spark.createDataFrame(rows, T.StructType(fields))
-        joined = base.join(F.broadcast(edits), F.col(POSITION) == F.col("__at"), "left")
+        return self.spark.createDataFrame(rows, T.StructType(fields))
+
+    def _updated(self, base: DataFrame, edits: DataFrame) -> DataFrame:
+        joined = base.join(edits, F.col(POSITION) == F.col("__at"), "left")
         columns = [F.when(F.coalesce(F.col(f"`__set_{n}`"), F.lit(False)), F.col(f"`__new_{n}`")).otherwise(F.col(f"`{n}`")).alias(n) for n in self.column_names()]
-        return joined.select(*columns, POSITION, ROW_ID, "__shift")
+        return joined.select(*columns, *[c for c in base.columns if c not in self.column_names()])
 
     def get_row(self, index: int) -> dict[str, Any]:
         if not 0 <= index < len(self):

@@ -143,6 +143,36 @@ def test_many_ticks_put_the_layers_together(spark, monkeypatch):
         assert same(view.to_df(), fresh.select(*view.column_names()))
 
 
+def test_a_large_batch_of_edits_neither_rewrites_the_table_nor_reads_single_rows(spark, monkeypatch):
+    """Every further batch beyond the limit used to write the whole table, and each edit after that to read its row by a job of its own."""
+    from rivulet.operators import table
+
+    monkeypatch.setattr(table, "FLUSH_ROWS", 20)
+    t = Table.from_dataframe("d", spark.range(0, 2000, 1, 3).selectExpr("cast(id as int) k", "nullif(id, -1) * 2.0D v", "cast(id as string) s").orderBy("k"))
+    expect = [[i, i * 2.0, str(i)] for i in range(2000)]
+    flushes, at = [], t._at
+    t._unedited = t._unedited[0], lambda place, stop=None: flushes.append(place) or at(place) if stop is None else at(place, stop)
+    t._at = t._unedited[1]
+    monkeypatch.setattr(t, "flush", lambda: flushes.append("flush"))
+    old = t.to_df()
+    for i in range(0, 2000, 40):
+        expect[i][1] = -1.0
+    assert t.set_values([(i, "v", -1.0) for i in range(0, 2000, 40)]) == 50
+    edits = [(i, c, x) for i in range(40, 1200, 40) for c, x in (("v", None if i % 80 else 7.5), ("s", f"new {i}"))]
+    for i, c, x in edits:
+        expect[i]["kvs".index(c)] = x
+    assert t.set_values(edits) == len(edits) and not flushes
+    assert [list(r.values()) for r in t] == expect and [c.old for c in t.log.changes_from(50)][:2] == [-1.0, "40"]
+    assert t[40] == {"k": 40, "v": None if 40 % 80 else 7.5, "s": "new 40"} and t[1960]["v"] == -1.0 and t[41]["s"] == "41"
+    assert old.where("v < 0").isEmpty()
+    monkeypatch.undo()
+    t.delete_row(40)
+    t.set_value(40, "s", "after")
+    expect[41][2] = "after"
+    t.flush()
+    assert [list(r.values()) for r in t] == expect[:40] + expect[41:]
+
+
 def test_flush_and_base_edits(spark):
     t = Table.from_dataframe("d", spark.range(60).selectExpr("cast(id as int) k", "nullif(id, -1) * 2.0D v"))
     expect = [[i, i * 2.0] for i in range(60)]
