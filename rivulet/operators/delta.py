@@ -3,11 +3,11 @@
 A batch of changes is netted to the ids of the rows it touched; their images
 before and after come from two versions of the table by a semi-join. Each rule
 gives what a fresh build would: filters apply to both images; counts and sums
-of integers add and subtract; other aggregates, and all those of floating
-numbers, are built anew for the touched groups; joins drop and redo the rows of
-touched keys.
+of integers add and subtract; minima and maxima are kept with how often they
+occur; groups with a percentile or a sum of floating numbers are built anew if
+touched; joins drop and redo the rows of touched keys.
 
-What a sync writes is what changed: the rows built before stay, with a list of
+What a sync writes is what changed: the rows written at first stay, with a list of
 those that no longer count and a small table of new ones. Now and then both are
 put together.
 """
@@ -20,12 +20,12 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from ..functions.aggregates import specs
+from ..functions.aggregates import specs, usable
 from ..sources.storage import materialise
-from .relational import JoinType, filter_rows, group_rows, join_keys, join_rows
+from .relational import JoinType, _q, filter_rows, group_rows, join_keys, join_rows
 from .table import POSITION, ROW_ID, Table
 
-_INVERTIBLE = {"sum", "count", "avg"}
+_INVERTIBLE = {"sum", "count", "avg", "min", "max"}
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Syncs, and touched rows since, after which the rows are put together again.
 SYNCS, TOUCHED = 16, 50_000
@@ -68,6 +68,7 @@ class Layers:
         self.reset(rows)
 
     def reset(self, rows: DataFrame) -> None:
+        rows = materialise(rows, "kept")
         self.base, self.gone, self.fresh, self.syncs, self.touched = rows, None, None, 0, 0
 
     def rows(self) -> DataFrame:
@@ -78,7 +79,7 @@ class Layers:
         self.gone = gone if self.gone is None else self.merge(self.gone, gone)
         self.syncs, self.touched = self.syncs + 1, self.touched + touched
         if self.syncs >= SYNCS or self.touched > TOUCHED:
-            self.reset(materialise(self.rows(), "kept"))
+            self.reset(self.rows())
 
 
 class IncrementalFilter:
@@ -109,76 +110,132 @@ class IncrementalFilter:
 
 
 class IncrementalGroup:
-    """Groups. Where all aggregates are counts, sums and means of integers, signed states are added up; else touched groups are built anew."""
+    """Groups, kept as states where the aggregates allow it; else touched groups are built anew.
+
+    States are numbers of rows, counts, exact sums of integers, and the least
+    and greatest value with how often each occurs. What left and what came is
+    taken off and added; only a group whose extreme is gone altogether is read
+    again.
+    """
 
     def __init__(self, table: Table, by: str | Sequence[str], agg: Sequence[tuple]):
         self.tracker, self.by = Tracker(table), [by] if isinstance(by, str) else list(by)
         self.agg = specs(agg, self.tracker.before.schema)
         self.sources = list(dict.fromkeys(s for _, s, _ in self.agg))
-        kinds = self.tracker.before.schema
-        self.plain = all(f.kind in _INVERTIBLE for _, _, f in self.agg) and all(isinstance(kinds[s].dataType, _INTEGERS) for s in self.sources)
-        if self.plain:
-            self.layers = Layers(self._states(self.tracker.before, 1), lambda df, _: df, lambda a, _: a)
-        else:
-            merge = lambda a, b: materialise(a.unionByName(b).distinct(), "delta-keys")
-            self.layers = Layers(group_rows(self.tracker.before, self.by, self.agg), self._without, merge)
-
-    def _states(self, df: DataFrame, sign: int) -> DataFrame:
-        """Rows of each group, numbers and exact sums of each source, all times ``sign``."""
-        out = [F.sum(F.lit(sign)).alias("__rows")]
+        self.keys = self.by or ["__one"]
+        schema = self.tracker.before.schema
+        self.summed = [any(s == t and f.kind in ("sum", "avg") for _, t, f in self.agg) for s in self.sources]
+        self.extreme = [any(s == t and f.kind in ("min", "max") for _, t, f in self.agg) for s in self.sources]
+        self.plain = all(f.kind in _INVERTIBLE for _, _, f in self.agg) and all(isinstance(schema[s].dataType, _INTEGERS) for s, d in zip(self.sources, self.summed) if d)
+        merge = lambda a, b: materialise(a.unionByName(b).distinct(), "delta-keys")
+        self.layers = Layers(self._build(self.tracker.before), self._without, merge)
+
+    def _build(self, df: DataFrame) -> DataFrame:
+        return self._states(df) if self.plain else group_rows(df, self.by, self.agg)
+
+    def _keyed(self, df: DataFrame) -> DataFrame:
+        return df if self.by else df.withColumn("__one", F.lit(1))
+
+    def _states(self, df: DataFrame) -> DataFrame:
+        df, outs = self._keyed(df), [F.count("*").alias("__rows")]
         for i, s in enumerate(self.sources):
-            v = F.col(f"`{s}`")
-            out += [F.sum(F.when(v.isNotNull(), F.lit(sign)).otherwise(0)).alias(f"__n{i}"), F.sum(F.coalesce(v, F.lit(0)).cast("decimal(28,0)") * sign).cast("decimal(38,0)").alias(f"__s{i}")]
-        return df.groupBy(*self.by).agg(*out)
-
-    def _match(self, keys: DataFrame) -> tuple[DataFrame, Any]:
+            v = usable(df.schema, s)
+            outs.append(F.count(v).alias(f"__n{i}"))
+            if self.summed[i]:
+                outs.append(F.sum(F.coalesce(F.col(f"`{s}`"), F.lit(0)).cast("decimal(28,0)")).cast("decimal(38,0)").alias(f"__s{i}"))
+            if self.extreme[i]:
+                outs += [F.min(v).alias(f"__lo{i}"), F.max(v).alias(f"__hi{i}")]
+        states = df.groupBy(*_q(self.keys)).agg(*outs)
+        if not any(self.extreme):
+            return states
+        ends = [c for i, e in enumerate(self.extreme) if e for c in (f"__lo{i}", f"__hi{i}")]
+        named, match = self._match(states.select(*_q(self.keys), *ends), ends)
+        times = [F.count(F.when(usable(df.schema, self.sources[int(c[4:])]) == F.col(c), 1)).alias(f"{c}n") for c in ends]
+        counted = df.join(named, match).groupBy(*_q(self.keys)).agg(*times)
+        counted, match = self._match(counted, [f"{c}n" for c in ends])
+        return states.join(counted, match).select(*states.columns, *[f"{c}n" for c in ends])
+
+    def _match(self, keys: DataFrame, more: Sequence[str] = ()) -> tuple[DataFrame, Any]:
         """Null is a key like any other."""
-        named = keys.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(self.by)])
+        named = keys.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(self.keys)], *more)
         match = F.lit(True)
-        for i, k in enumerate(self.by):
+        for i, k in enumerate(self.keys):
             match = match & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
         return named, match
 
     def _without(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
         return rows.join(*self._match(keys), "left_anti")
 
-    def _summed(self, states: DataFrame) -> DataFrame:
-        return states.groupBy(*self.by).agg(*[F.sum(c).cast(states.schema[c].dataType).alias(c) for c in states.columns if c.startswith("__")])
+    def _moved(self, keys: DataFrame, left: DataFrame, came: DataFrame, after: DataFrame) -> DataFrame:
+        """The touched groups' states after rows that left and rows that came."""
+        sides = [self.layers.rows().join(*self._match(keys), "left_semi"), self._states(left), self._states(came)]
+        names, rows = [c for c in sides[0].columns if c not in self.keys], None
+        for i, side in enumerate(sides):
+            part = side.select(*_q(self.keys), *names, F.lit(i).alias("__side"))
+            rows = part if rows is None else rows.unionByName(part)
+        now = rows.groupBy(*_q(self.keys)).agg(*[F.max(F.when(F.col("__side") == i, F.col(c))).alias(f"{c}_{i}") for c in names for i in range(3)])
+        out = []
+        for c in names:
+            if c == "__rows" or c[2] in "ns":
+                zero = F.lit(0).cast(rows.schema[c].dataType)
+                kept, gone, new = (F.coalesce(F.col(f"{c}_{i}"), zero) for i in range(3))
+                out.append((kept - gone + new).cast(rows.schema[c].dataType).alias(c))
+            elif not c.endswith("n"):
+                was, gone, new = (F.col(f"{c}_{i}") for i in range(3))
+                times = [F.coalesce(F.col(f"{c}n_{i}"), F.lit(0).cast("long")) for i in range(3)]
+                rest = times[0] - F.when(gone == was, times[1]).otherwise(0)
+                further = was.isNull() | ((new <= was) if c[2] == "l" else (new >= was))
+                end = F.when(rest > 0, (F.least if c[2] == "l" else F.greatest)(was, new)).when(further, new)
+                out += [end.alias(c), (F.when((rest > 0) & (end == was), rest).otherwise(0) + F.when(new == end, times[2]).otherwise(0)).alias(f"{c}n")]
+        moved = now.select(*_q(self.keys), *out).where("__rows > 0").select(*_q(self.keys), *names)
+        if not any(self.extreme):
+            return moved
+        moved, short = materialise(moved, "delta-states"), F.lit(False)
+        for i, e in enumerate(self.extreme):
+            if e:
+                short = short | (F.col(f"__n{i}") > 0) & (F.col(f"__lo{i}").isNull() | F.col(f"__hi{i}").isNull())
+        again = moved.where(short).select(*_q(self.keys))
+        if again.isEmpty():
+            return moved
+        return moved.where(~short).unionByName(self._states(self._keyed(after).join(*self._match(again), "left_semi")))
 
     def sync(self) -> bool:
         taken = self.tracker.take()
         if taken is None:
             return False
         before, after, ids = taken
-        if ids is None:
-            self.layers.reset(self._states(after, 1) if self.plain else group_rows(after, self.by, self.agg))
+        if ids is None or not (self.by or self.plain):
+            self.layers.reset(self._build(after))
             return True
-        old, new = self.tracker.images(before, ids), self.tracker.images(after, ids)
+        names = list(dict.fromkeys([*self.by, *self.sources]))
+        images = [self.tracker.images(df, ids).select(*_q(names), F.lit(i).alias("__came")) for i, df in enumerate((before, after))]
+        images = self._keyed(materialise(images[0].unionByName(images[1]), "delta-images"))
+        keys = materialise(images.select(*_q(self.keys)).distinct(), "delta-keys")
         if self.plain:
-            self.layers.apply((), self._summed(self._states(old, -1).unionByName(self._states(new, 1))), len(ids))
-            if self.layers.fresh is None:  # put together: one row a group again
-                self.layers.reset(materialise(self._summed(self.layers.base).where("__rows > 0"), "kept"))
+            fresh = self._moved(keys, *[images.where(F.col("__came") == i).drop("__came") for i in range(2)], after)
         else:
-            keys = materialise(old.select(*self.by).union(new.select(*self.by)).distinct(), "delta-keys")
-            self.layers.apply(keys, group_rows(after.join(*self._match(keys), "left_semi"), self.by, self.agg), len(ids))
+            fresh = group_rows(after.join(*self._match(keys), "left_semi"), self.by, self.agg)
+        self.layers.apply(keys, fresh, len(ids))
         return True
 
     def frame(self) -> DataFrame:
         """With the first row's place, by which groups are read in order."""
-        firsts = self.tracker.before.groupBy(*self.by).agg(F.min(F.struct(POSITION)).alias("__first"))
-        named = firsts.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(self.by)], "__first")
-        return self.to_df().join(named, self._match(firsts)[1]).drop(*[f"__k{i}" for i in range(len(self.by))])
+        firsts = self._keyed(self.tracker.before).groupBy(*_q(self.keys)).agg(F.min(F.struct(POSITION)).alias("__first"))
+        named, match = self._match(firsts, ["__first"])
+        rows = self.to_df() if self.by else self._keyed(self.to_df())
+        return rows.join(named, match).drop(*[f"__k{i}" for i in range(len(self.keys))], "__one")
 
     def to_df(self) -> DataFrame:
+        rows = self.layers.rows()
         if not self.plain:
-            return self.layers.rows()
-        rows = self._summed(self.layers.rows()).where("__rows > 0")
+            return rows
         out = []
         for o, s, f in self.agg:
             i = self.sources.index(s)
-            n, total = F.col(f"__n{i}"), F.col(f"__s{i}").cast("double")
-            out.append({"count": n, "sum": F.when(n > 0, total), "avg": F.when(n > 0, total / n)}[f.kind].alias(o))
-        return rows.select(*self.by, *out)
+            n, total = F.col(f"__n{i}"), F.col(f"__s{i}").cast("double") if self.summed[i] else None
+            value = {"count": lambda: n, "sum": lambda: F.when(n > 0, total), "avg": lambda: F.when(n > 0, total / n), "min": lambda: F.col(f"__lo{i}"), "max": lambda: F.col(f"__hi{i}")}[f.kind]()
+            out.append(value.alias(o))
+        return rows.select(*_q(self.by), *out)
 
 
 class IncrementalJoin:

@@ -173,6 +173,32 @@ def test_a_large_batch_of_edits_neither_rewrites_the_table_nor_reads_single_rows
     assert [list(r.values()) for r in t] == expect[:40] + expect[41:]
 
 
+def test_maintained_extremes_are_moved_not_built_anew(spark, monkeypatch):
+    """Least and greatest values follow their number of occurrences; a group is read again only when an extreme has left altogether."""
+    from rivulet.operators import delta
+
+    def never(*_):
+        raise AssertionError("built anew")
+
+    t = harbour(spark)
+    t.append_rows([{"ship": s, "draught": d, "crew": c} for s, d, c in (("Tern", 7.5, 40), ("Umber", float("nan"), 2), ("Vole", None, 50), ("Wren", 7.5, 1))])
+    agg = [("lo", "crew", "min"), ("hi", "crew", "max"), ("total", "crew", "sum")]
+    views = [t.group_by("draught", agg).maintain(), t.group_by([], agg[:2]).maintain()]
+    files = [v._kept.layers.base.inputFiles() for v in views]
+    assert all(files) and all("/kept-" in f for fs in files for f in fs)
+    steps = (
+        lambda: (t.set_value(4, "crew", 7), t.set_value(0, "crew", 1), t.set_value(2, "draught", float("nan"))),
+        lambda: (t.delete_row(8), t.append_row({"ship": "Yawl", "draught": 7.5, "crew": -3}), t.set_value(1, "crew", None)),
+    )
+    for i, step in enumerate(steps):
+        with monkeypatch.context() as m:
+            m.setattr(delta, "group_rows", never)
+            step()
+            t.tick()
+        for v in views:
+            assert same(v.to_df(), v.build().select(*v.column_names())), i
+
+
 def test_flush_and_base_edits(spark):
     t = Table.from_dataframe("d", spark.range(60).selectExpr("cast(id as int) k", "nullif(id, -1) * 2.0D v"))
     expect = [[i, i * 2.0] for i in range(60)]
